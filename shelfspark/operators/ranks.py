@@ -29,8 +29,8 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int |
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: Column,
             sums: dict[str, Column] | None = None,
-            maxima: dict[str, Column] | None = None) -> DataFrame:
-    """Running sums and maxima per key up to and including each row.
+            maxima: dict[str, Column] | None = None, inclusive: bool = True) -> DataFrame:
+    """Running sums and maxima per key up to each row, itself included unless told otherwise.
 
     ``bucket`` must not fall along the order (a date, an id range): rows of one bucket meet
     in one task, whole keys never do.
@@ -47,7 +47,8 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket:
         *at,
         *[F.sum(f"_all_{name}").over(earlier).alias(f"_pre_{name}") for name in sums],
         *[F.max(f"_all_{name}").over(earlier).alias(f"_pre_{name}") for name in maxima])
-    inside = W.partitionBy(*at).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    inside = W.partitionBy(*at).orderBy(*order).rowsBetween(
+        W.unboundedPreceding, W.currentRow if inclusive else -1)
     local = rows.select(
         *df.columns, "_bucket",
         *[F.sum(f"_in_{name}").over(inside).alias(f"_own_{name}") for name in sums],
