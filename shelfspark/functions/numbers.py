@@ -31,8 +31,10 @@ TRUE_WORDS = ["1", "true", "t", "yes", "y", "in stock", "instock", "available",
 FALSE_WORDS = ["0", "false", "f", "no", "n", "out of stock", "outofstock", "unavailable", "sold out"]
 
 FLOAT = r"(?i)^[+-]?(?:\d+\.?\d*(?:e[+-]?\d+)?|\.\d+(?:e[+-]?\d+)?|inf|infinity)$"
-ONE_SEPARATOR_THREE_DIGITS = r"^[^.,]*[.,][^.,]{3}$"
-LAST_SEPARATOR_IS_COMMA = r",[^.,]*$"
+LONE_THOUSANDS = r"^([^.,]*)[.,]([^.,]{3})$"
+COMMA_BEFORE_LAST_DOT = r",(?=.*\.[^.,]*$)"
+DOT_BEFORE_LAST_COMMA = r"\.(?=.*,[^.,]*$)"
+BELOW_ZERO = r"^-(?=.*[1-9]).*$"
 
 
 def detect_currency(raw: Column) -> Column:
@@ -48,13 +50,10 @@ def detect_currency(raw: Column) -> Column:
 def normalise_number(text: Column) -> Column:
     """Plain decimal text: the last separator is the decimal point, unless it is the only
     one and exactly three characters follow it."""
-    digits = F.translate(text, "  '", "")
-    return (
-        F.when(digits == "", None)
-        .when(digits.rlike(ONE_SEPARATOR_THREE_DIGITS), F.translate(digits, ".,", ""))
-        .when(digits.rlike(LAST_SEPARATOR_IS_COMMA), F.translate(digits, ",.", "."))
-        .otherwise(F.translate(digits, ",", ""))
-    )
+    digits = F.translate(text, "  '", "")
+    whole = F.regexp_replace(digits, LONE_THOUSANDS, "$1$2")
+    dotted = F.regexp_replace(whole, COMMA_BEFORE_LAST_DOT, "")
+    return F.translate(F.regexp_replace(dotted, DOT_BEFORE_LAST_COMMA, ""), ",", ".")
 
 
 def first_number(raw: Column) -> Column:
@@ -64,9 +63,9 @@ def first_number(raw: Column) -> Column:
 
 def parse_price(raw: Column) -> Column:
     """First price in the text as decimal(18,4); negatives and non-prices give null."""
-    text = F.regexp_replace(raw, PRICE_NOISE, " ")
-    value = first_number(text).try_cast("decimal(18,4)")
-    return F.when(~raw.rlike(NOT_A_PRICE) & (value >= 0), value)
+    number = first_number(F.regexp_replace(raw, PRICE_NOISE, " "))
+    value = F.regexp_replace(number, BELOW_ZERO, "").try_cast("decimal(18,4)")
+    return F.when(~raw.rlike(NOT_A_PRICE), value)
 
 
 def parse_int(raw: Column) -> Column:
@@ -85,7 +84,7 @@ def parse_rating(raw: Column, source_scale: float = 5.0) -> Column:
     """Rating on a 0-5 scale; ``x/y`` brings its own scale when y is above zero."""
     def number(text: Column) -> Column:
         plain = F.translate(F.trim(text), ",", ".")
-        return F.when(plain.rlike(FLOAT), plain.try_cast("double"))
+        return F.regexp_extract(plain, FLOAT, 0).try_cast("double")
 
     slash = F.instr(raw, "/")
     below = number(F.substring(raw, slash + 1, F.length(raw)))

@@ -84,8 +84,7 @@ def clean_text(raw: Column, max_length: int | None = None) -> Column:
     text = _clean_batches(raw)
     if max_length is None:
         return text
-    return F.when(F.length(text) > max_length,
-                  F.rtrim(F.substring(text, 1, max_length))).otherwise(text)
+    return F.rtrim(F.substring(text, 1, max_length))
 
 
 def clean_plain(raw: Column) -> Column:
@@ -113,7 +112,7 @@ def _split_on_first(text: Column, separators: tuple[str, ...]) -> Column:
     for separator in reversed(separators):
         literal = "\\Q" + separator + "\\E"
         parts = F.when(F.contains(text, F.lit(separator)), F.split(text, literal)).otherwise(parts)
-    return F.filter(F.transform(parts, F.trim), lambda part: part != "")
+    return F.filter(F.transform(parts, lambda part: F.trim(part)), lambda part: part != "")
 
 
 def split_categories_plain(cleaned: Column) -> Column:
@@ -133,7 +132,7 @@ def normalise_sku(cleaned: Column) -> Column:
 
 def first_of_delimited(packed: Column, delimiter: str = "~") -> Column:
     """First segment of a packed list that is not blank."""
-    parts = F.transform(F.split(packed, "\\Q" + delimiter + "\\E"), F.trim)
+    parts = F.transform(F.split(packed, "\\Q" + delimiter + "\\E"), lambda part: F.trim(part))
     return F.get(F.filter(parts, lambda part: part != ""), F.lit(0))
 
 

@@ -6,8 +6,7 @@ from importlib import import_module
 
 from shelfspark.plans.registry import ORACLES, QUERIES
 
-MODULES = ("feed_queries", "catalog_queries", "quality_queries", "search_queries",
-           "evaluation_queries", "answer_queries", "telemetry_queries", "stream_queries")
+MODULES = ("feed_queries", "catalog_queries", "quality_queries")
 
 
 def _load() -> None:
