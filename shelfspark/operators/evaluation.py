@@ -21,7 +21,7 @@ def dedupe_ranking(rankings: DataFrame, keys: Sequence[str] = ("qid",)) -> DataF
     """First occurrence of each sku per list, ranks closed up."""
     first = rankings.groupBy(*keys, "sku").agg(F.min("rank").alias("_first"))
     return first.withColumn("rank", F.row_number().over(
-        W.partitionBy(*keys).orderBy("_first"))).drop("_first")
+        W.partitionBy(*keys).orderBy("_first", "sku"))).drop("_first")
 
 
 def gain(rel: Column, exponential: bool = True) -> Column:

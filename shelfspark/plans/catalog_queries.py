@@ -131,13 +131,14 @@ def dedupe_output_order(spark, sf):
 
 def _stored_hashes(products: DataFrame) -> DataFrame:
     """What an earlier run left: one in four missing, one in three stale, one in nine unknown."""
-    hashed = delta.with_content_hash(products)
+    hashed = delta.with_content_hash(products).select("tenant", "sku", "content_hash")
     n = _n()
-    kept = hashed.where(n % 4 != 0).select("tenant", "sku", F.when(n % 3 == 0, "stale").otherwise(
-        F.col("content_hash")).alias("content_hash"))
-    gone = hashed.where(n % 9 == 0).select(
-        "tenant", F.concat("sku", F.lit("-old")).alias("sku"), "content_hash")
-    return kept.unionByName(gone)
+    kept = F.when(n % 4 != 0, F.struct(F.col("sku"), F.when(n % 3 == 0, "stale").otherwise(
+        F.col("content_hash")).alias("content_hash")))
+    gone = F.when(n % 9 == 0, F.struct(F.concat("sku", F.lit("-old")).alias("sku"),
+                                       F.col("content_hash")))
+    return hashed.select("tenant", F.explode(F.array_compact(F.array(kept, gone))).alias("h")
+                         ).select("tenant", "h.*")
 
 
 DELTA_SQL = f"""{fq.MAPPED_SQL},

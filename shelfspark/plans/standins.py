@@ -126,11 +126,18 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def golden_queries(spark: SparkSession, sf: str) -> DataFrame:
-    """The first words of every benchmark passage, asked in every tenant."""
+    """The first words of every benchmark passage, asked in every tenant.
+
+    A third each as they are, as a wish and with a product code.
+    """
     words = F.slice(F.filter(F.split(F.col("text"), r"[^\p{L}\p{N}]+"), lambda w: w != ""),
                     1, QUERY_WORDS)
+    asked, third = F.array_join(words, " "), F.col("item_id") % 3
+    shaped = F.when(third == 1, F.concat(F.lit("something for "), asked)).when(
+        third == 2, F.concat(asked, F.lit(" AB-12"), F.col("item_id").cast("string"))
+        ).otherwise(asked)
     return table(spark, sf, "benchmark").select(
-        "item_id", F.array_join(words, " ").alias("query"), F.col("text").alias("passage"),
+        "item_id", shaped.alias("query"), F.col("text").alias("passage"),
         F.explode(F.array(*map(F.lit, GOLDEN_TENANTS))).alias("tenant")).withColumn(
         "qid", F.concat("tenant", F.lit("-"), F.col("item_id").cast("string")))
 
@@ -201,8 +208,10 @@ docs AS (
 GOLDEN_SQL = r"""
 golden AS (
   SELECT t.tenant || '-' || item_id AS qid, t.tenant, text AS passage,
-    array_to_string(list_filter(string_split_regex(text, '[^\p{L}\p{N}]+'),
-                                lambda w: w <> '')[1:6], ' ') AS query
+    CASE item_id % 3 WHEN 1 THEN 'something for ' ELSE '' END
+      || array_to_string(list_filter(string_split_regex(text, '[^\p{L}\p{N}]+'),
+                                lambda w: w <> '')[1:6], ' ')
+      || CASE item_id % 3 WHEN 2 THEN ' AB-12' || item_id ELSE '' END AS query
   FROM benchmark, (VALUES ('en'), ('fr'), ('de'), ('es')) t(tenant)),
 judgments AS (
   SELECT qid, g.tenant, 'D' || doc_id AS sku, 2 AS rel

@@ -79,6 +79,3 @@ def incremental_ingest(feed: DataFrame, table: CatalogTable, ledger_path: str,
     (feed.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
      .trigger(availableNow=True).start().awaitTermination())
 
-
-def empty_like(spark: SparkSession, frame: DataFrame) -> DataFrame:
-    return spark.createDataFrame([], frame.schema)
