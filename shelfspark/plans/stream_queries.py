@@ -48,7 +48,7 @@ def stream_usage(spark, sf):
 
 @register("stream_latency", f"""WITH {tq.HIST_SQL.replace(
     "date_trunc('minute', ts) AS m", "date_trunc('minute', ts) AS m, ts")}
-SELECT stage, epoch_us(at) AS at, n, round({tq._interpolated(0.5)}, 6) AS p50,
+SELECT stage, epoch_us("at") AS "at", n, round({tq._interpolated(0.5)}, 6) AS p50,
   round({tq._interpolated(0.95)}, 6) AS p95, round({tq._interpolated(0.99)}, 6) AS p99
 FROM totals""")
 def stream_latency(spark, sf):

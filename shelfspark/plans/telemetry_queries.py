@@ -90,8 +90,8 @@ SELECT model, token_type, CAST(sum(n) AS BIGINT) AS total FROM t GROUP BY 1, 2""
 def agg_counters_tokens(spark, sf):
     long = st.usage(spark, sf).select("model", F.inline(F.array(
         F.struct(F.lit("input").alias("token_type"), F.col("input_tokens").alias("n")),
-        F.struct(F.lit("output"), F.col("output_tokens")),
-        F.struct(F.lit("cached"), F.col("cache_read_tokens")))))
+        F.struct(F.lit("output").alias("token_type"), F.col("output_tokens").alias("n")),
+        F.struct(F.lit("cached").alias("token_type"), F.col("cache_read_tokens").alias("n")))))
     return tel.counters(long, ["model", "token_type"], F.col("n"))
 
 
@@ -165,9 +165,9 @@ CHAT = tel.CHAT_BOUNDS
 CASES = " ".join(f"WHEN seconds <= {b} THEN {i}" for i, b in enumerate(CHAT))
 HIST_SQL = f"""samples AS (SELECT event_type AS stage, date_trunc('minute', ts) AS m,
     value / 10 AS seconds FROM events),
-  spread AS (SELECT stage, m + to_minutes(CAST(j AS BIGINT)) AS at, CASE {CASES} ELSE {len(CHAT)}
+  spread AS (SELECT stage, m + to_minutes(CAST(j AS BIGINT)) AS "at", CASE {CASES} ELSE {len(CHAT)}
     END AS b FROM samples, {_slots_sql(5)}),
-  totals AS (SELECT stage, at, count(*) AS n,
+  totals AS (SELECT stage, "at", count(*) AS n,
     {', '.join(f'count(*) FILTER (b <= {i}) AS c{i}' for i in range(len(CHAT)))}
     FROM spread GROUP BY 1, 2)"""
 
@@ -183,7 +183,7 @@ def _interpolated(p: float) -> str:
 
 
 @register("hist_quantile", f"""WITH {HIST_SQL}
-SELECT stage, epoch_us(at) AS at, n, round({_interpolated(0.5)}, 6) AS p50,
+SELECT stage, epoch_us("at") AS "at", n, round({_interpolated(0.5)}, 6) AS p50,
   round({_interpolated(0.95)}, 6) AS p95, round({_interpolated(0.99)}, 6) AS p99 FROM totals""")
 def hist_quantile(spark, sf):
     return plain(tel.hist_quantile(_samples(spark, sf), ["stage"], "seconds"))
@@ -201,17 +201,17 @@ def rate_by_labels(spark, sf):
 def _sustained_sql(source: str, keys: str, breach: str, minutes: int) -> str:
     return f"""b AS (SELECT *, coalesce({breach}, false) AS breach FROM {source}),
     g AS (SELECT *, NOT breach OR NOT coalesce(lag(breach) OVER w, false)
-      OR epoch_us(at) - epoch_us(lag(at) OVER w) > 60000000 AS edge FROM b
-      WINDOW w AS (PARTITION BY {keys} ORDER BY at)),
-    h AS (SELECT *, max(CASE WHEN edge THEN at END) OVER (PARTITION BY {keys} ORDER BY at) AS since
+      OR epoch_us("at") - epoch_us(lag("at") OVER w) > 60000000 AS edge FROM b
+      WINDOW w AS (PARTITION BY {keys} ORDER BY "at")),
+    h AS (SELECT *, max(CASE WHEN edge THEN "at" END) OVER (PARTITION BY {keys} ORDER BY "at") AS since
       FROM g)
-    SELECT {keys}, epoch_us(at) AS at, CASE WHEN NOT breach THEN 'normal'
-      WHEN epoch_us(at) - epoch_us(since) >= {minutes} * 60000000 THEN 'firing'
+    SELECT {keys}, epoch_us("at") AS "at", CASE WHEN NOT breach THEN 'normal'
+      WHEN epoch_us("at") - epoch_us(since) >= {minutes} * 60000000 THEN 'firing'
       ELSE 'pending' END AS state FROM h"""
 
 
 @register("alert_latency", f"""WITH {HIST_SQL},
-p AS (SELECT stage, at, {_interpolated(0.99)} AS p99 FROM totals),
+p AS (SELECT stage, "at", {_interpolated(0.99)} AS p99 FROM totals),
 {_sustained_sql('p', 'stage', 'p99 > 5', 2)}""")
 def alert_latency(spark, sf):
     fired = tel.alert_latency(_samples(spark, sf), ["stage"], "seconds", limit=5.0, for_minutes=2)
@@ -219,7 +219,7 @@ def alert_latency(spark, sf):
 
 
 @register("alert_claims", f"""WITH
-r AS (SELECT user_id % 2 AS shard, date_trunc('minute', ts) + to_minutes(CAST(j AS BIGINT)) AS at,
+r AS (SELECT user_id % 2 AS shard, date_trunc('minute', ts) + to_minutes(CAST(j AS BIGINT)) AS "at",
     sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS errors
   FROM events, {_slots_sql(15)} GROUP BY 1, 2),
 {_sustained_sql('r', 'shard', 'errors > 0', 15)}""")
@@ -230,13 +230,13 @@ def alert_claims(spark, sf):
 
 
 @register("alert_cost", f"""{U_SQL}
-SELECT event_id, round(CAST(sum(cost_usd) OVER (PARTITION BY merchant ORDER BY created_at
-    RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS DOUBLE), 6) AS spend_1h,
+SELECT event_id, CAST(100000000 * sum(cost_usd) OVER (PARTITION BY merchant ORDER BY created_at
+    RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS BIGINT) AS spend_1h_e8,
   sum(cost_usd) OVER (PARTITION BY merchant ORDER BY created_at
     RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) > 0.005 AS breached FROM usage""")
 def alert_cost(spark, sf):
-    return plain(tel.alert_cost(usage(spark, sf), ["merchant"], 0.005).select(
-        "event_id", "spend_1h", "breached"))
+    return tel.alert_cost(usage(spark, sf), ["merchant"], 0.005).select(
+        "event_id", (F.col("spend_1h") * 100000000).cast("long").alias("spend_1h_e8"), "breached")
 
 
 # --- rate limits ----------------------------------------------------------------------
