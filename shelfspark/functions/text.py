@@ -18,6 +18,7 @@ CATEGORY_SEPARATORS = (">>", "->", "»", ">", "|", "/", "\\")
 MODEL_CATEGORY_SEPARATORS = (">", "/", "|")
 
 WHITESPACE = "[\\s\\x1c-\\x1f]+"
+NEEDS_REPAIR = "[&<]|[^\\x00-\\x7f]"
 _TAG = re.compile(r"<[^>]+>")
 _SPACE = re.compile(r"\s+")
 
@@ -78,10 +79,12 @@ def _strip_html_batches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def clean_text(raw: Column, max_length: int | None = None) -> Column:
     """Repair encoding, drop markup, fold compatibility characters, collapse white space.
 
-    Null gives the empty string. Entity tables and Unicode folding have no Spark
-    function, so this is one Arrow-batched call.
+    Null gives the empty string. Entity tables and Unicode folding have no Spark function,
+    so cells that hold markup or non-ASCII text take one Arrow-batched call; all others are
+    cleaned in the JVM and reach Python only as nulls.
     """
-    text = _clean_batches(raw)
+    dirty = raw.rlike(NEEDS_REPAIR)
+    text = F.when(dirty, _clean_batches(F.when(dirty, raw))).otherwise(clean_plain(raw))
     if max_length is None:
         return text
     return F.rtrim(F.substring(text, 1, max_length))
@@ -103,7 +106,9 @@ def fix_mojibake(raw: Column) -> Column:
 
 def split_categories(raw: Column) -> Column:
     """Category path from feed text, whatever separator it uses."""
-    return _split_batches(raw)
+    dirty = raw.rlike(NEEDS_REPAIR)
+    return F.when(dirty, _split_batches(F.when(dirty, raw))).otherwise(
+        split_categories_plain(clean_plain(raw)))
 
 
 def _split_on_first(text: Column, separators: tuple[str, ...]) -> Column:

@@ -66,7 +66,7 @@ def no_filters() -> Column:
 def matches(f: Column) -> Column:
     """The same clauses with the filter struct as a column (a join condition)."""
     def unless_empty(values: Column, test: Column) -> Column:
-        return (F.coalesce(F.size(values), F.lit(0)) <= 0) | F.coalesce(test, F.lit(False))
+        return values.isNull() | (F.size(values) == 0) | F.coalesce(test, F.lit(False))
 
     def unless_null(bound: Column, test: Column) -> Column:
         return bound.isNull() | F.coalesce(test, F.lit(False))
@@ -74,12 +74,12 @@ def matches(f: Column) -> Column:
     return (
         unless_null(f["min_price"], F.col("price") >= f["min_price"])
         & unless_null(f["max_price"], F.col("price") <= f["max_price"])
-        & unless_empty(f["brands"], F.array_contains(f["brands"], F.col("brand")))
-        & unless_empty(f["categories"], F.arrays_overlap("category_path", f["categories"]))
+        & unless_null(f["min_rating"], F.col("rating") >= f["min_rating"])
         & (~F.coalesce(f["in_stock_only"], F.lit(False))
            | F.coalesce(F.col("in_stock"), F.lit(False)))
         & unless_empty(f["genders"], F.array_contains(f["genders"], F.col("gender")))
-        & unless_null(f["min_rating"], F.col("rating") >= f["min_rating"]))
+        & unless_empty(f["brands"], F.array_contains(f["brands"], F.col("brand")))
+        & unless_empty(f["categories"], F.arrays_overlap("category_path", f["categories"])))
 
 
 def _stat_columns(metric: str) -> list[Column]:

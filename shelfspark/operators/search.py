@@ -35,13 +35,25 @@ def searchable_text() -> Column:
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
-    return queries.select("qid", "tenant", F.explode(
-        F.array_distinct(word_tokens(F.col("query")))).alias("term"))
+    """Distinct terms per query."""
+    return exploded(queries.select("qid", "tenant", F.array_distinct(
+        word_tokens(F.col("query"))).alias("term")))
+
+
+def exploded(rows: DataFrame, column: str = "term") -> DataFrame:
+    """One row per element. The outer form plus a null test is used on purpose: a plain
+    explode makes the optimizer test the size first, which computes the tokens again."""
+    return rows.withColumn(column, F.explode_outer(column)).where(F.col(column).isNotNull())
+
+
+def document_tokens(docs: DataFrame) -> Column:
+    """Stored tokens when the catalog keeps them, else computed from the text."""
+    return F.col("tokens") if "tokens" in docs.columns else word_tokens(F.col("text"))
 
 
 def corpus_stats(docs: DataFrame) -> DataFrame:
     """Document count and mean length per tenant."""
-    return docs.select("tenant", F.size(word_tokens(F.col("text"))).alias("dl")).groupBy(
+    return docs.select("tenant", F.size(document_tokens(docs)).alias("dl")).groupBy(
         "tenant").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
@@ -51,8 +63,8 @@ def postings(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     docs: tenant, sku, text. The terms of one document start in one task, so the counts
     are complete before the shuffle.
     """
-    tokens = docs.select("tenant", "sku", word_tokens(F.col("text")).alias("_t"))
-    seen = tokens.select("tenant", "sku", F.size("_t").alias("dl"), F.explode("_t").alias("term"))
+    tokens = docs.select("tenant", "sku", document_tokens(docs).alias("term"))
+    seen = exploded(tokens.withColumn("dl", F.size("term")))
     if terms is not None:
         seen = seen.join(terms.select("tenant", "term").distinct(), ["tenant", "term"],
                          "left_semi")

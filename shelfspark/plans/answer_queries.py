@@ -43,7 +43,7 @@ def _turn_rows(spark: SparkSession, sf: str) -> DataFrame:
     def sku(prefix, n):
         return F.concat(F.lit(prefix), n.cast("string"))
 
-    rows = table(spark, sf, "orders").select(
+    rows = st.wide(spark, sf, "orders").select(
         k.alias("k"), F.concat(F.lit("t"), (k % 3).cast("string")).alias("tenant"),
         F.col("o_custkey").cast("string").alias("conversation_id"), k.alias("turn"),
         sku("P-", k % 200).alias("own1"), sku("p-", (k * 7) % 200).alias("own2"),

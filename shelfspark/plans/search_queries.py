@@ -95,7 +95,7 @@ b AS (SELECT doc_id, ('0x' || substr(md5(term), 1, 8))::UBIGINT % 64 AS b, CAST(
 SELECT doc_id, CAST(b AS BIGINT) AS at, round(CAST(CAST(c / sqrt(sum(c * c) OVER (PARTITION BY doc_id)) AS FLOAT) AS DOUBLE), 5)
   AS x FROM b""")
 def embed_documents(spark, sf):
-    vectors = table(spark, sf, "documents").select("doc_id", F.posexplode(
+    vectors = st.wide(spark, sf, "documents").select("doc_id", F.posexplode(
         hashed_embedder()("text")).alias("at", "x"))
     return plain(vectors.where("x > 0").withColumn("x", F.round(F.col("x").cast("double"), 5)))
 
@@ -195,7 +195,7 @@ def _shopper(spark, sf, name="orders"):
     pick = lambda n: F.get(words, ((k * n + F.floor(k / 16)) % len(SHOPPER_WORDS)).cast("int"))
     text = F.concat_ws(" ", pick(1), F.when(k % 3 == 0, F.lower(F.split_part(
         "o_orderpriority", F.lit("-"), F.lit(2)))), pick(5), F.when(k % 7 == 0, pick(3)))
-    return table(spark, sf, name).select("o_orderkey", text.alias("query"))
+    return st.wide(spark, sf, name).select("o_orderkey", text.alias("query"))
 
 
 SHOPPER_SQL = (
@@ -373,7 +373,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(0.4 * vec + 0
 SELECT qid, tenant, sku, rank FROM r WHERE rank <= 10""")
 def search_filtered(spark, sf):
     """Per-query filters: text length as price, source as brand."""
-    extra = table(spark, sf, "documents").select(
+    extra = st.wide(spark, sf, "documents").select(
         F.col("lang").alias("tenant"), F.concat(F.lit("D"), F.col("doc_id").cast("string"))
         .alias("sku"), "text", F.col("n_chars").cast("decimal(18,4)").alias("price"),
         F.col("source").alias("brand"), F.array().cast("array<string>").alias("category_path"),

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.plans.registry import table
+from shelfspark.sources.feeds import widen
 
 PRODUCT_ROWS = """
 SELECT concat('t', CAST(p_partkey % 3 AS STRING)) AS tenant,
@@ -92,9 +93,13 @@ def rows(spark: SparkSession, sf: str, sql: str, *names: str) -> DataFrame:
     return spark.sql(sql, **{name: table(spark, sf, name) for name in names})
 
 
+def wide(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return widen(table(spark, sf, name))
+
+
 def products(spark: SparkSession, sf: str, reviews: bool = False) -> DataFrame:
     """The catalog; ratings and review counts only when asked for (they read lineitem)."""
-    base = rows(spark, sf, PRODUCT_ROWS, "part")
+    base = spark.sql(PRODUCT_ROWS, part=wide(spark, sf, "part"))
     if reviews:
         rated = rows(spark, sf, RATINGS, "lineitem")
         base = base.join(rated, base.p_partkey == rated.l_partkey, "left").drop("l_partkey")
@@ -120,7 +125,7 @@ def usage(spark: SparkSession, sf: str) -> DataFrame:
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
     """Text corpus as a searchable catalog: tenant is the language."""
-    return table(spark, sf, "documents").select(
+    return wide(spark, sf, "documents").select(
         F.col("lang").alias("tenant"), F.concat(F.lit("D"), F.col("doc_id").cast("string"))
         .alias("sku"), "text")
 
@@ -158,9 +163,9 @@ def judgments(spark: SparkSession, sf: str) -> DataFrame:
         word_list(F.col("passage")), F.lit(2)).alias("anchor"))
     held = docs(spark, sf).withColumn("_w", word_list(F.col("text"))).where(
         F.size("_w") >= ANCHOR_WORDS).select(
-        "tenant", "sku", "text", F.explode(F.array_distinct(F.transform(
+        "tenant", "sku", "text", F.explode_outer(F.transform(
             F.sequence(F.lit(1), F.size("_w") - ANCHOR_WORDS + 1),
-            lambda i: joined(F.col("_w"), i)))).alias("anchor"))
+            lambda i: joined(F.col("_w"), i))).alias("anchor"))
     return held.join(asked, ["tenant", "anchor"]).where(
         F.contains("text", F.col("passage"))).select(
         "qid", "tenant", "sku", F.lit(2).alias("rel")).distinct()

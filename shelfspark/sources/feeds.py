@@ -29,6 +29,14 @@ def read_feed(spark: SparkSession, paths: str | Sequence[str], tenant: str | Non
     return feed if tenant is None else feed.withColumn("tenant", F.lit(tenant))
 
 
+def widen(rows: DataFrame) -> DataFrame:
+    """Spread a scan with fewer partitions than cores (a few small files) before costly
+    per-row work; a scan that already fills the cluster is left alone."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    have = rows._jdf.queryExecution().toRdd().getNumPartitions()
+    return rows.repartition(cores) if have < cores else rows
+
+
 def union_feeds(feeds: Sequence[DataFrame]) -> DataFrame:
     """Rows of all feeds; a column missing from one is null there."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), feeds)
