@@ -50,7 +50,7 @@ def detect_currency(raw: Column) -> Column:
 def normalise_number(text: Column) -> Column:
     """Plain decimal text: the last separator is the decimal point, unless it is the only
     one and exactly three characters follow it."""
-    digits = F.translate(text, "  '", "")
+    digits = F.translate(text, "\u00a0 '", "")
     whole = F.regexp_replace(digits, LONE_THOUSANDS, "$1$2")
     dotted = F.regexp_replace(whole, COMMA_BEFORE_LAST_DOT, "")
     return F.translate(F.regexp_replace(dotted, DOT_BEFORE_LAST_COMMA, ""), ",", ".")
