@@ -5,23 +5,26 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shelfspark.operators.ranks import top_k
+from shelfspark.operators.ranks import bounded, dense_index, top_k
 from shelfspark.operators.search import fuse
 
 ALPHAS = [i / 10 for i in range(11)]
 METRIC_COLUMNS = ["ndcg_10", "recall_10", "recall_50", "precision_10", "mrr", "hit_10"]
 TRACKED = ("ndcg_10", "recall_10", "mrr")
 TOLERANCE = 0.03
+RANKS_PER_BUCKET = 4096
 
 
 def dedupe_ranking(rankings: DataFrame, keys: Sequence[str] = ("qid",)) -> DataFrame:
-    """First occurrence of each sku per list, ranks closed up."""
+    """First occurrence of each sku per list, ranks closed up.
+
+    Lists are numbered in rank buckets, so a list of any length is spread over tasks.
+    """
     first = rankings.groupBy(*keys, "sku").agg(F.min("rank").alias("_first"))
-    return first.withColumn("rank", F.row_number().over(
-        W.partitionBy(*keys).orderBy("_first", "sku"))).drop("_first")
+    return dense_index(first, keys, [F.col("_first"), F.col("sku")],
+                       F.floor(F.col("_first") / RANKS_PER_BUCKET), "rank").drop("_first")
 
 
 def gain(rel: Column, exponential: bool = True) -> Column:
@@ -60,7 +63,7 @@ def score_queries(queries: DataFrame, rankings: DataFrame, judgments: DataFrame,
         F.min(F.when(hit, rank)).alias("first"))
     base = queries
     if by:
-        base = queries.join(rankings.select(*by).distinct())
+        base = queries.crossJoin(bounded(rankings.select(*by).distinct()))
     ideal = ideal_dcg(judgments, 10, exponential)
     all_scores = base.join(ideal, "qid", "left").join(found, keys, "left")
 

@@ -13,11 +13,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from shelfspark.session import materialise
+
 SALTS = 16
 ROW_BITS = 33
 SKETCH_ACCURACY = 10_000
 BRACKET_MARGIN = 0.002
 WHOLE_RANGE_BELOW = 5_000
+BROADCAST_ROWS = 50_000
 
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int | Column,
@@ -90,22 +93,30 @@ def upper_median_rank(n: Column, p: float) -> Column:
     return F.floor(n / 2).cast("long")
 
 
+def bounded(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A materialised small table, marked for broadcast once its row count is known to fit;
+    beyond the limit the join is left to a shuffle."""
+    kept = materialise(small)
+    return F.broadcast(kept) if kept.count() <= limit else kept
+
+
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: Column,
                     quantiles: dict[str, float], rule=nearest_rank) -> DataFrame:
     """count, null_count, min, max, mean and exact quantiles per key.
 
     A mergeable sketch brackets each quantile; only values inside the bracket are grouped
-    and ordered, everything below is one count. A bracket that misses its rank stops the
-    job rather than giving a wrong number.
+    and ordered, everything below is one count. The bracket table (one row per key) is
+    materialised, so the data are read twice in all: once for it, once for the selection. A
+    bracket that misses its rank stops the job rather than giving a wrong number.
     """
     names, probs = list(quantiles), list(quantiles.values())
     rows = df.select(*keys, value.cast("double").alias("_v"))
     ends = [max(0.0, p - BRACKET_MARGIN) for p in probs] + [
         min(1.0, p + BRACKET_MARGIN) for p in probs]
-    stats = rows.groupBy(*keys).agg(
+    stats = bounded(rows.groupBy(*keys).agg(
         F.count("_v").alias("count"), F.count_if(F.col("_v").isNull()).alias("null_count"),
         F.min("_v").alias("min"), F.max("_v").alias("max"), F.avg("_v").alias("mean"),
-        F.percentile_approx("_v", ends, SKETCH_ACCURACY).alias("_ends"))
+        F.percentile_approx("_v", ends, SKETCH_ACCURACY).alias("_ends")))
     whole = F.col("count") <= WHOLE_RANGE_BELOW
     brackets = F.array(*[
         F.struct(
@@ -117,7 +128,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: Column,
         for i, p in enumerate(probs)])
     bounds = stats.select(*keys, brackets.alias("_b"))
     present = rows.where(F.col("_v").isNotNull())
-    met = present.join(bounds, list(keys)) if keys else present.crossJoin(F.broadcast(bounds))
+    met = present.join(bounds, list(keys)) if keys else present.crossJoin(bounds)
     hits = (met.select(*keys, "_v", F.explode("_b").alias("b")).where(F.col("_v") <= F.col("b.hi"))
             .groupBy(*keys, "b.q", "b.rank",
                      F.when(F.col("_v") >= F.col("b.lo"), F.col("_v")).alias("v"))

@@ -175,11 +175,12 @@ def plan_queries(queries: DataFrame, merchants: DataFrame | None = None,
     return planned.drop("_alpha", "_rerank")
 
 
-def candidate_lists(queries: DataFrame, docs: DataFrame, embedder=None,
-                    depth: int = POOL) -> DataFrame:
+def candidate_lists(queries: DataFrame, docs: DataFrame, embedder=None, depth: int = POOL,
+                    index: DataFrame | None = None) -> DataFrame:
     """Scaled keyword and vector lists of all queries.
 
-    docs: tenant, sku, text and optionally embedding and the filter fields. With a
+    docs: tenant, sku, text and optionally tokens, embedding and the filter fields; what the
+    catalog already stores (also ``index``, its saved postings) is not computed again. With a
     ``filters`` column the filters apply before either list is cut, while term statistics
     stay those of the whole tenant.
     """
@@ -188,7 +189,7 @@ def candidate_lists(queries: DataFrame, docs: DataFrame, embedder=None,
         docs = docs.withColumn("embedding", embed("text"))
     if "embedding" not in queries.columns:
         queries = queries.withColumn("embedding", embed("query"))
-    keyword = bm25(queries, docs)
+    keyword = bm25(queries, docs, index)
     if "filters" not in queries.columns:
         return scaled_lists(keyword, vector_search(queries, docs, depth), depth)
     asked = scopes(queries)
@@ -204,7 +205,7 @@ def candidate_lists(queries: DataFrame, docs: DataFrame, embedder=None,
 
 def search(queries: DataFrame, docs: DataFrame, merchants: DataFrame | None = None,
            embedder=None, scorer=lexical_pair_score, top: int = POOL,
-           max_limit: int | None = None, **options) -> DataFrame:
+           max_limit: int | None = None, index: DataFrame | None = None, **options) -> DataFrame:
     """Hits of every query: qid, tenant, sku, rank, score, rank_before_rerank, rerank_score,
     query_class, alpha_used, reranked.
 
@@ -213,7 +214,7 @@ def search(queries: DataFrame, docs: DataFrame, merchants: DataFrame | None = No
     """
     depth = max(top, max_limit or top)
     planned = plan_queries(queries, merchants, **options)
-    lists = candidate_lists(queries, docs, embedder, depth)
+    lists = candidate_lists(queries, docs, embedder, depth, index)
     settings = planned.select("qid", "query", "query_class", "alpha_used", "do_rerank", "limit")
     fused = fuse(lists.join(settings, "qid"), F.col("alpha_used"))
     pool = top_k(fused, ["qid"], [F.desc("score"), F.asc("sku")], depth).withColumn(

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from shelfspark.session import materialise
 
 KEYS = ["tenant", "sku"]
+PRUNED_BUCKETS = 5_000
 
 
 def shard_of(tenant: Column) -> Column:
@@ -89,14 +90,27 @@ class CatalogTable:
             "shard": shard_of(F.col("tenant")), "sku_bucket": sku_bucket(self.buckets)}))
         merged = changes
         if self.exists():
-            touched = changes.select("shard", "sku_bucket").distinct()
-            old = self._stored().join(touched, ["shard", "sku_bucket"], "left_semi")
+            old = self._touched(changes)
             # Materialised first: the files read here are the ones replaced below.
             merged = materialise(merge_upsert(old, changes))
         (merged.repartition("shard", "sku_bucket").write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic")
          .partitionBy("shard", "sku_bucket").parquet(self.path))
 
+    def _touched(self, changes: DataFrame) -> DataFrame:
+        """Stored rows of the buckets the changes fall in.
+
+        Up to a fixed number of buckets their names become a partition filter, so the other
+        folders are not even listed; beyond it the same rows come from a join.
+        """
+        stored, at = self._stored(), ["shard", "sku_bucket"]
+        touched = changes.select(*at).distinct()
+        names = touched.limit(PRUNED_BUCKETS + 1).collect()
+        if len(names) > PRUNED_BUCKETS:
+            return stored.join(touched, at, "left_semi")
+        return stored.where(F.concat_ws("/", *at).isin(
+            [f"{n['shard']}/{n['sku_bucket']}" for n in names]))
+
     def upsert(self, changes: DataFrame) -> None:
         self._merge(changes.withColumn("deleted", F.lit(False)))
 
