@@ -47,12 +47,11 @@ def anchored_windows(requests: DataFrame, window_seconds: int = WINDOW_SECONDS,
     """Requests (key, request_id, ts) with the start of the window each falls in (start_us).
 
     A group holds one time chunk of one hash bucket of keys, so neither a busy key nor a
-    long history ends up in one task; ``key_buckets`` defaults to the shuffle partitions.
+    long history ends up in one task; ``key_buckets`` defaults to the cluster's cores.
     """
     width = window_seconds * 1_000_000
     span = width * chunk_windows
-    buckets = key_buckets or int(
-        requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = key_buckets or requests.sparkSession.sparkContext.defaultParallelism
     rows = requests.select(
         "key", "request_id", "ts", F.unix_micros("ts").alias("us"),
         F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int").alias("slot")).withColumn(

@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from shelfspark.operators.answer_cache import RING, THRESHOLD, TTL_SECONDS
+from shelfspark.session import SETTINGS
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 
 LIMIT_OUTPUT = ("key string, request_id long, ts timestamp, window_start timestamp, count long, "
                 "allowed boolean, retry_after long")
@@ -126,19 +129,22 @@ class ConversationState(StatefulProcessor):
         pass
 
 
+def _keyed(rows: DataFrame, key: str, processor: StatefulProcessor, output: str) -> DataFrame:
+    """The processor over the rows of each key; its state needs the RocksDB store."""
+    rows.sparkSession.conf.set(STATE_STORE, SETTINGS[STATE_STORE])
+    return rows.groupBy(key).transformWithStateInPandas(processor, output, "Append", "None")
+
+
 def rate_limit_stream(requests: DataFrame, limit: int, window_seconds: int) -> DataFrame:
     """requests: key, request_id, ts."""
-    return requests.groupBy("key").transformWithStateInPandas(
-        RateLimiter(limit, window_seconds), LIMIT_OUTPUT, "Append", "None")
+    return _keyed(requests, "key", RateLimiter(limit, window_seconds), LIMIT_OUTPUT)
 
 
 def answer_cache_stream(events: DataFrame, **options) -> DataFrame:
     """events: tenant, kind (0 query, 1 invalidate, 2 store), id, ts, embedding."""
-    return events.groupBy("tenant").transformWithStateInPandas(
-        AnswerCache(**options), CACHE_OUTPUT, "Append", "None")
+    return _keyed(events, "tenant", AnswerCache(**options), CACHE_OUTPUT)
 
 
 def conversation_stream(messages: DataFrame) -> DataFrame:
     """messages: conv_id, turn, role, text."""
-    return messages.groupBy("conv_id").transformWithStateInPandas(
-        ConversationState(), CONVERSATION_OUTPUT, "Append", "None")
+    return _keyed(messages, "conv_id", ConversationState(), CONVERSATION_OUTPUT)
