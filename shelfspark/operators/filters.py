@@ -98,16 +98,31 @@ def catalog_stats(products: DataFrame, metric: str = "price", **filters: Any) ->
 def catalog_stats_many(requests: DataFrame, products: DataFrame) -> DataFrame:
     """catalog_stats for a table of requests (rid, tenant, metric, filters).
 
-    Products meet only their tenant's requests and are reduced to one row per request
-    before the shuffle.
+    Requests that ask the same thing are answered once. Those naming brands meet products
+    on (tenant, brand), the others on the tenant, salted either way; every task reduces its
+    products to one row per question before the shuffle.
     """
-    met = spread_join(products, requests, ["tenant"], F.col("sku")).where(matches(F.col("filters")))
+    question = F.concat_ws("/", "tenant", "metric", F.to_json("filters"))
+    asked = requests.withColumn("_q", question)
+    distinct = asked.select("_q", "tenant", "metric", "filters").dropDuplicates(["_q"])
+    brands = F.col("filters.brands")
+    named = F.coalesce(F.size(brands) > 0, F.lit(False))
+    narrow = products.select("tenant", "sku", "brand", "category_path", "in_stock", "gender",
+                             "price", "rating", "review_count")
+    by_brand = spread_join(
+        narrow, distinct.where(named).withColumn("brand", F.explode(F.array_distinct(brands))),
+        ["tenant", "brand"], F.col("sku"))
+    by_tenant = spread_join(narrow, distinct.where(~named), ["tenant"], F.col("sku"))
     value = F.when(F.col("metric") == "price", F.col("price").cast("double"))
     value = value.when(F.col("metric") == "rating", F.col("rating"))
     value = value.when(F.col("metric") == "review_count", F.col("review_count").cast("double"))
-    found = met.withColumn("_v", value).groupBy("rid").agg(*_stat_columns("_v"))
-    return requests.select("rid", "tenant", "metric").join(found, "rid", "left").withColumn(
-        "count", F.coalesce("count", F.lit(0)))
+
+    def hits(met: DataFrame) -> DataFrame:
+        return met.where(matches(F.col("filters"))).select("_q", value.alias("_v"))
+
+    found = hits(by_brand).unionByName(hits(by_tenant)).groupBy("_q").agg(*_stat_columns("_v"))
+    return asked.select("rid", "tenant", "metric", "_q").join(found, "_q", "left").drop(
+        "_q").withColumn("count", F.coalesce("count", F.lit(0)))
 
 
 def preview(products: DataFrame, limit: int, **equal: Any) -> DataFrame:

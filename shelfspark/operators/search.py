@@ -141,8 +141,7 @@ def rerank(pool: DataFrame, texts: DataFrame,
 
 def scopes(queries: DataFrame) -> DataFrame:
     """Queries with scope: one id per tenant and distinct filter."""
-    return queries.withColumn("scope", F.concat_ws(
-        "/", "tenant", F.hex(F.xxhash64(F.to_json("filters")))))
+    return queries.withColumn("scope", F.concat_ws("/", "tenant", F.to_json("filters")))
 
 
 def scoped_products(asked: DataFrame, products: DataFrame) -> DataFrame:
