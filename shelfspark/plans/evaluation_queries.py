@@ -309,3 +309,30 @@ SELECT fixed.alpha AS fixed_alpha, round(fixed.m, 6) AS fixed_macro,
   round(best.m, 6) AS dynamic_macro, round(best.m - fixed.m, 6) AS advantage FROM fixed, best""")
 def dynamic_advantage(spark, sf):
     return plain(ev.dynamic_advantage(_sweep(spark, sf)))
+
+
+# --- one metric at a time -------------------------------------------------------------
+
+def _one_metric(name: str, columns: str) -> None:
+    wanted = [c.strip() for c in columns.split(",")]
+    shown = ", ".join(f"round({c}, 6) AS {c}" for c in wanted)
+
+    @register(name, f"WITH {RANKINGS_SQL} SELECT qid, {shown} FROM scores")
+    def metric(spark, sf):
+        return plain(ev.score_queries(*_line_rankings(spark, sf)).select("qid", *wanted))
+
+
+_one_metric("m_ndcg", "ndcg_10")
+_one_metric("m_recall", "recall_10, recall_50")
+_one_metric("m_precision", "precision_10")
+_one_metric("m_rr", "mrr")
+_one_metric("m_hit", "hit_10")
+
+
+@register("m_dcg", f"""WITH {RANKINGS_SQL} SELECT qid, round(dcg, 6) AS dcg FROM found""")
+def m_dcg(spark, sf):
+    _, rankings, judged = _line_rankings(spark, sf)
+    hits = ev.join_judgments(ev.dedupe_ranking(rankings), judged)
+    counted = (F.col("rank") <= 10) & (F.col("rel") > 0)
+    return plain(hits.groupBy("qid").agg(F.sum(F.when(counted, ev.discounted(
+        F.col("rel"), F.col("rank")))).alias("dcg")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shelfspark.functions.usage import with_cost
 from shelfspark.functions.vectors import cosine_similarity
 from shelfspark.operators import delta, embeddings, enrich, quality
+from shelfspark.operators import feed_mapping as fm
 from shelfspark.operators.telemetry import enrich_cost
 from shelfspark.plans import feed_queries as fq
 from shelfspark.plans import standins as st
@@ -470,3 +471,27 @@ SELECT CAST(sum(input_tokens) AS BIGINT) AS input_tokens,
 FROM usage""")
 def agg_enrich_cost(spark, sf):
     return plain(enrich_cost(with_cost(st.usage(spark, sf)), table(spark, sf, "part")))
+
+
+@register("join_pairs", """
+SELECT CAST(a.label AS VARCHAR) AS grp, count(*) AS n_pairs, round(avg(list_sum(list_transform(
+  list_zip(a.embedding, b.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)))), 6)
+  AS mean_similarity
+FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY 1""")
+def join_pairs(spark, sf):
+    """Pairs i < j within each group, counted and averaged without forming them."""
+    sums = embeddings.vector_sums(table(spark, sf, "embeddings"), F.col("label"))
+    n = F.col("n")
+    pairs = n * (n - 1) / 2
+    return plain(sums.where(n > 1).select(
+        "grp", pairs.cast("long").alias("n_pairs"),
+        ((F.col("norm2") - F.col("squares")) / 2 / pairs).alias("mean_similarity")))
+
+
+@register("join_lookup_enrichment", f"""WITH {st.PRODUCTS_SQL.strip()}, {fq.LABELS_SQL}
+SELECT tenant, coalesce(label, 'Other > Uncategorized') AS display_category, count(*) AS n
+FROM products LEFT JOIN labels_by_name ON key = title GROUP BY 1, 2""")
+def join_lookup_enrichment(spark, sf):
+    labelled = fm.enrich_category(st.products(spark, sf), fq.name_labels(spark, sf),
+                                  F.col("title"))
+    return labelled.groupBy("tenant", "display_category").agg(F.count("*").alias("n"))

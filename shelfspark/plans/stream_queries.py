@@ -72,6 +72,12 @@ r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, idx DESC)
 SELECT tenant, lpad(CAST(qid AS VARCHAR), 12, '0') AS qid, lpad(CAST(sid AS VARCHAR), 12, '0')
   AS store_id, round(sim, 6) AS similarity FROM r WHERE rn = 1""")
 def stream_answer_cache(spark, sf):
+    hits = stateful.answer_cache_stream(_cache_stream(spark, sf), threshold=0.2, ring=30,
+                                        ttl_seconds=4 * 3600)
+    return plain(runs.drain(hits, "cache"))
+
+
+def _cache_stream(spark, sf):
     stores, asked, cleared = aq.cache_logs(spark, sf)
     vector = F.col("embedding").cast("array<double>").alias("embedding")
     events = stores.select("tenant", F.lit(2).alias("kind"), F.col("store_id").alias("id"), "ts",
@@ -80,9 +86,20 @@ def stream_answer_cache(spark, sf):
     ).unionByName(cleared.select(
         "tenant", F.lit(1).alias("kind"), F.lit("").alias("id"), "ts",
         F.array().cast("array<double>").alias("embedding")))
-    rows = _ordered_stream(spark, events, "cache-in", "ts", "2132-02-10 00:00:00")
-    hits = stateful.answer_cache_stream(rows, threshold=0.2, ring=30, ttl_seconds=4 * 3600)
-    return plain(runs.drain(hits, "cache"))
+    return _ordered_stream(spark, events, "cache-in", "ts", "2132-02-10 00:00:00")
+
+
+@register("semantic_cache")
+def semantic_cache(spark, sf):
+    """What-if replay: a query that misses is stored, a hit suppresses its store.
+
+    Each answer depends on all before it, so there is no plain SQL for it; the tests compare
+    it with a sequential replay.
+    """
+    questions = _cache_stream(spark, sf).where("kind < 2")
+    hits = stateful.answer_cache_stream(questions, threshold=0.2, ring=30,
+                                        ttl_seconds=4 * 3600, replay=True)
+    return plain(runs.drain(hits, "replay"))
 
 
 @register("stream_conversation_state", """

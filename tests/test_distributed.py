@@ -93,7 +93,7 @@ def test_rate_limit(spark, chunk_windows):
         rows, 3, 60_000_000)
 
 
-def brute_cache(events, threshold, ring, ttl):
+def brute_cache(events, threshold, ring, ttl, replay=False):
     held, stored, hits = {}, {}, {}
     for tenant, us, kind, id_, v in sorted(events, key=lambda e: (e[1], e[2], e[3])):
         entries = held.setdefault(tenant, [])
@@ -109,6 +109,10 @@ def brute_cache(events, threshold, ring, ttl):
             scored = [(round(float(np.dot(v, w)), 9), i) for i, (_, w) in enumerate(entries)]
             if scored and max(scored)[0] >= threshold:
                 hits[id_] = entries[max(scored)[1]][0]
+            elif replay:
+                entries.append((id_, v))
+                del entries[:-ring]
+                stored[tenant] = us
     return hits
 
 
@@ -144,6 +148,11 @@ def test_answer_cache_batch_and_stream(spark, seed):
     hits = runs.drain(stateful.answer_cache_stream(stream, threshold=.95, ring=10,
                                                    ttl_seconds=80_000), "cache-test")
     assert {r.qid: r.store_id for r in hits.collect()} == expected
+    asked = [e for e in events if e[2] < 2]
+    replayed = runs.drain(stateful.answer_cache_stream(
+        stream.where("kind < 2"), threshold=.95, ring=10, ttl_seconds=80_000, replay=True), "replay")
+    assert {r.qid: r.store_id for r in replayed.collect()} == brute_cache(
+        asked, .95, 10, 80_000_000_000, True)
 
 
 def test_knn_matches_brute_force(spark):
