@@ -38,3 +38,24 @@ def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from shelfspark.llm.line_dedup import dedup_report
 
     return dedup_report(_table(spark, folder, "documents"))
+
+
+def _words_49k() -> str:
+    """The tokenizer file of the token queries; the operators take any such path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@_register
+def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    from shelfspark.llm.encode import code_report
+
+    return code_report(_table(spark, folder, "documents"), _words_49k())
+
+
+@_register
+def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    from shelfspark.llm.token_counts import count_report
+
+    return count_report(_table(spark, folder, "documents"), _words_49k())
