@@ -187,7 +187,7 @@ _FIRST_MARK = 0xD800
 _classes: list[np.ndarray] = []
 
 
-def _class_table() -> np.ndarray:
+def class_table() -> np.ndarray:
     if not _classes:
         kinds = {"L": LETTER, "N": NUMBER}
         table = np.array([kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)],
@@ -220,7 +220,7 @@ class Splitter:
         texts = [self.normal(raw[a:b - 1].decode()) for a, b in zip(edges, edges[1:])]
         joined = "\n".join([*texts, ""])
         points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-        kind = _class_table()[points]
+        kind = class_table()[points]
         new = np.ones(len(kind), bool)
         new[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == NUMBER) | (kind[1:] == SPECIAL)
         starts = np.flatnonzero(new)

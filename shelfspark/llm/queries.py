@@ -59,3 +59,17 @@ def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     from shelfspark.llm.token_counts import count_report
 
     return count_report(_table(spark, folder, "documents"), _words_49k())
+
+
+@_register
+def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
+    from shelfspark.llm.quality_fm import quality_report
+
+    return quality_report(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+@_register
+def op2_language(spark: SparkSession, folder: str) -> DataFrame:
+    from shelfspark.llm.lang_id import language_report
+
+    return language_report(_table(spark, folder, "documents"))
