@@ -73,3 +73,10 @@ def op2_language(spark: SparkSession, folder: str) -> DataFrame:
     from shelfspark.llm.lang_id import language_report
 
     return language_report(_table(spark, folder, "documents"))
+
+
+@_register
+def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    from shelfspark.llm.quality_rules import rule_report
+
+    return rule_report(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
