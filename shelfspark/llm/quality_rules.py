@@ -22,12 +22,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfspark.session import materialise
+
 BUCKETS = 1 << 16
 #: The bound of the labelled sample, which is broadcast.
 TRUSTED_ROWS = 50_000
 PSEUDO_COUNT = 2.0
-THRESHOLD = -0.05
+THRESHOLD = -0.08
 MIN_WORDS = 50
+MILLION = 1_000_000
 #: A document fails with more than this share of its words in repeated windows.
 MAX_REPEAT_PERCENT = 50
 #: Fixed values of the rules.
@@ -91,37 +94,31 @@ def pair_hashes(h: Column) -> Column:
                        lambda x, i: F.xxhash64(x, h[i + 1]))
 
 
+def grams_of(hashes: Column) -> Column:
+    """Hashes of all words and of all pairs of neighbouring words."""
+    return let(hashes, lambda h: F.concat(h, pair_hashes(h)))
+
+
+def bucket_of(gram: Column, buckets: int) -> Column:
+    return F.pmod(gram, F.lit(buckets)).cast("int")
+
+
 def bucket_ratios(hashed: DataFrame, trusted: DataFrame, buckets: int = BUCKETS,
                   pseudo: float = PSEUDO_COUNT) -> DataFrame:
-    """One row with ``ratios``: the logarithm of the ratio of both multinomials for each bucket.
+    """``bucket`` and ``ratio``, the logarithm of the ratio of both multinomials in millionths.
 
-    ``trusted`` holds the ids (``doc_id``) of the trusted documents, a bounded number.
+    ``trusted`` holds the ids (``doc_id``) of the trusted documents, a bounded number. Whole
+    millionths make sums of ratios the same in any order.
     """
     marked = hashed.select("doc_id", "hashes").join(
         F.broadcast(trusted.withColumn("good", F.lit(1))), "doc_id", "left")
-    grams = marked.select("good", F.explode(F.concat("hashes", let(F.col("hashes"), pair_hashes))).alias("g"))
-    counts = grams.groupBy(F.pmod("g", F.lit(buckets)).cast("int").alias("bucket")).agg(
-        F.count("*").alias("raw"), F.count("good").alias("target"))
-    listed = counts.agg(
-        F.sum("raw").alias("all_raw"), F.sum("target").alias("all_target"),
-        F.sort_array(F.collect_list(F.struct("bucket", "raw", "target"))).alias("counts"))
-    scale = F.col("all_target") / F.col("all_raw")
-    told = F.transform("counts", lambda c: F.struct(
-        c["bucket"].alias("bucket"),
-        F.log((c["target"] + pseudo) / (c["raw"] * scale + pseudo)).alias("ratio")))
-    return listed.select(told.alias("told")).select(_dense("told", buckets).alias("ratios"))
-
-
-def _dense(told: str, buckets: int) -> Column:
-    """An entry for each bucket, 0 where none was counted, from entries sorted by bucket."""
-    def fill(t: Column) -> Column:
-        gaps = F.transform(t, lambda c, i: F.array_repeat(
-            F.lit(0.0), c["bucket"] - F.when(i == 0, F.lit(-1)).otherwise(F.get(t, i - 1)["bucket"]) - 1))
-        filled = F.flatten(F.transform(F.arrays_zip(gaps.alias("gap"), t.alias("own")), lambda z: F.concat(
-            z["gap"], F.array(z["own"]["ratio"]))))
-        return let(filled, lambda f: F.concat(f, F.array_repeat(F.lit(0.0), buckets - F.size(f))))
-
-    return let(F.col(told), fill)
+    grams = marked.select("good", F.explode(grams_of(F.col("hashes"))).alias("gram"))
+    counts = materialise(grams.groupBy(bucket_of(F.col("gram"), buckets).alias("bucket")).agg(
+        F.count("*").alias("raw"), F.count("good").alias("target")))
+    total = counts.agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).first()
+    scale = (total["target"] or 0) / (total["raw"] or 1)
+    ratio = F.log((F.col("target") + pseudo) / (F.col("raw") * scale + pseudo))
+    return counts.select("bucket", F.round(ratio * MILLION).cast("long").alias("ratio"))
 
 
 def trusted_ids(labels: DataFrame, doc: str = "doc_id", limit: int = TRUSTED_ROWS) -> DataFrame:
@@ -136,23 +133,26 @@ def rule_report(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: s
                 threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
     """Per document: the base counts, base_failed, the score ``llr`` and kept."""
     hashed = with_hashes(docs, doc, text)
-    ratios = bucket_ratios(hashed, trusted_ids(labels), buckets).scalar()
+    ratios = bucket_ratios(hashed, trusted_ids(labels), buckets)
     h, t = F.col("hashes"), F.col("text")
-    n = F.size(h)
-
-    def total(hashes: Column) -> Column:
-        return F.aggregate(hashes, F.lit(0.0), lambda s, x: s + F.get(
-            ratios, F.pmod(x, F.lit(buckets)).cast("int")))
-
-    llr = F.when(n == 0, 0.0).otherwise((total(h) + total(let(h, pair_hashes))) / (2 * n - 1))
-    counted = hashed.select(
-        "doc_id", n.cast("long").alias("n_words"),
+    base = hashed.select(
+        # Ids of documents may repeat; this one is the row's, and a task run again gives it again.
+        F.monotonically_increasing_id().alias("row"), "doc_id",
+        F.size(h).cast("long").alias("n_words"),
         F.length(F.regexp_replace(t, SPACE_RUNS, "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace(t, NOT_SYMBOLS, "")).cast("long").alias("n_symbols"),
         repeated_lines(t).cast("long").alias("n_dup_lines"),
         repeated_words(h).cast("long").alias("n_repeat_words"),
-        F.coalesce(llr, F.lit(0.0)).alias("llr"))
-    failed = (F.col("n_words") < MIN_WORDS) | (
-        100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return counted.withColumn("base_failed", failed).withColumn(
-        "kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
+        grams_of(h).alias("grams"))
+    counts = [c for c in base.columns if c != "grams"]
+    # A row's n-grams are summed in the task that made them; one row a document is shuffled. The
+    # table of ratios has at most `buckets` rows.
+    summed = (base.select(*counts, F.explode_outer("grams").alias("gram"))
+              .select(*counts, bucket_of(F.col("gram"), buckets).alias("bucket"))
+              .join(F.broadcast(ratios), "bucket", "left")
+              .groupBy(*counts).agg(F.coalesce(F.sum("ratio"), F.lit(0)).alias("total")))
+    n = F.col("n_words")
+    failed = (n < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * n)
+    return (summed.withColumn("llr", F.when(n == 0, 0.0).otherwise(F.col("total") / MILLION / (2 * n - 1)))
+            .withColumn("base_failed", failed)
+            .withColumn("kept", ~failed & (F.col("llr") >= threshold)).drop("row", "total"))

@@ -80,3 +80,10 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     from shelfspark.llm.quality_rules import rule_report
 
     return rule_report(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+@_register
+def op3_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    from shelfspark.llm.jaccard_join import near_duplicates
+
+    return near_duplicates(_table(spark, folder, "documents"))
