@@ -87,3 +87,10 @@ def op3_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     from shelfspark.llm.jaccard_join import near_duplicates
 
     return near_duplicates(_table(spark, folder, "documents"))
+
+
+@_register
+def op10_page_text(spark: SparkSession, folder: str) -> DataFrame:
+    from shelfspark.llm.page_text import extract
+
+    return extract(_table(spark, folder, "pages"))
