@@ -1,11 +1,60 @@
-"""The stages of the corpus pipeline."""
+"""The stages of the corpus pipeline: each takes all documents that its predecessor kept."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from shelfspark.llm import decontaminate as benchmarks
+from shelfspark.llm import encode, jaccard_join, lang_id, line_dedup
+from shelfspark.llm.frames import written
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the others teach; those without a letter go."""
+    return lang_id.keep_known(docs)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with lines kept in the first document that holds them; none goes."""
+    short = line_dedup.dedup_lines(docs)
+    return short.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates, the one of the least id."""
+    return jaccard_join.keep_one(docs)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of a benchmark item."""
+    return benchmarks.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of each document in place of its text."""
+    coded = encode.encode(docs, tokenizer_path())
+    return coded.withColumn("n_tokens", F.size("ids").cast("long")).drop("text")
+
 
-STAGES: list = []
+#: Names and functions, in order.
+STAGES: list[tuple[str, Stage]] = [
+    ("language", language), ("lines", lines), ("near_duplicates", near_duplicates),
+    ("benchmark", benchmark), ("tokens", tokens)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return docs

@@ -94,3 +94,10 @@ def op10_page_text(spark: SparkSession, folder: str) -> DataFrame:
     from shelfspark.llm.page_text import extract
 
     return extract(_table(spark, folder, "pages"))
+
+
+@_register
+def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    from shelfspark.llm.token_files import file_report
+
+    return file_report(_table(spark, folder, "documents"), _words_49k())
