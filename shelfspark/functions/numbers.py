@@ -26,7 +26,7 @@ NOT_A_PRICE = (
 PRICE_NOISE = (
     r"(?i)\(.*?\)|\b(?:onwards?|only|approx\.?|starting(?:\s+at)?|mrp|incl\.?|excl\.?)\b|/-"
 )
-NUMBER = "-?\\d[\\d\\s.,'\u00a0]*\\d|-?\\d"
+NUMBER = r"-?\d[\d\s\x1c-\x1f\x85\p{Z}.,']*\d|-?\d"
 TRUE_WORDS = ["1", "true", "t", "yes", "y", "in stock", "instock", "available", "in_stock"]
 FALSE_WORDS = ["0", "false", "f", "no", "n", "out of stock", "outofstock", "unavailable", "sold out"]
 

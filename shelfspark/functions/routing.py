@@ -126,8 +126,8 @@ def classify_query(queries: DataFrame, query_col: str = "query") -> DataFrame:
                         .otherwise(IDENTIFIER),
         "confidence": F.when(empty | silent, 0.0).otherwise(
             F.bround(F.try_divide(top, e + a + i), 3)),
-        "reasons": F.when(empty, F.array(F.lit("empty query")))
-                    .when(silent, F.array(F.lit("no signal"))).otherwise(reasons),
+        "reasons": F.when(empty, F.array(F.lit("blank")))
+                    .when(silent, F.array(F.lit("nothing recognised"))).otherwise(reasons),
         "has_identifier": ids > 0,
     }).select(*queries.columns, "query_class", "confidence", "reasons", "has_identifier")
 
@@ -154,19 +154,22 @@ def decide_rerank(query: Column, explicit: Column | None = None, merchant: Colum
     return F.coalesce(explicit, by_shape) if explicit is not None else by_shape
 
 
+LENGTH_REASON = " words long"
+
+
 def classify_complexity(message: Column, rounds: Column | None = None) -> Column:
     """struct<tier, reasons> for one message."""
     rounds = F.lit(0) if rounds is None else rounds
     joins = _hits(message, CASELESS + CONSTRAINT_JOIN)
     length = _hits(message, "(?U)" + MESSAGE_TOKEN)
     reasons = F.array_compact(F.array(
-        F.when(message.rlike(CASELESS + COMPARISON_CUE), "comparison language"),
-        F.when(joins >= 2, F.concat(joins.cast("string"), F.lit(" constraint joins"))),
+        F.when(message.rlike(CASELESS + COMPARISON_CUE), "compares things"),
+        F.when(joins >= 2, F.concat(joins.cast("string"), F.lit(" conditions joined"))),
         F.when(length >= LONG_MESSAGE_TOKENS,
-               F.concat(F.lit("long message ("), length.cast("string"), F.lit(" tokens)")))))
+               F.concat(length.cast("string"), F.lit(LENGTH_REASON)))))
     late = rounds >= ESCALATE_AFTER_ROUNDS
     return F.struct(
         F.when(late | (F.size(reasons) > 0), "reasoning").otherwise("fast").alias("tier"),
-        F.when(late, F.array(F.concat(F.lit("tool round "), rounds.cast("string"))))
+        F.when(late, F.array(F.concat(F.lit("after tool call "), rounds.cast("string"))))
          .when(F.size(reasons) > 0, reasons)
-         .otherwise(F.array(F.lit("no escalation signal"))).alias("reasons"))
+         .otherwise(F.array(F.lit("nothing asks for reasoning"))).alias("reasons"))

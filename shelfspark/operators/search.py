@@ -103,14 +103,29 @@ def _scaled(hits: DataFrame, name: str) -> DataFrame:
                        / (high - low)).otherwise(F.lit(1.0)).alias(name))
 
 
-def scaled_lists(keyword: DataFrame, vector: DataFrame, depth: int = POOL) -> DataFrame:
-    """Both lists, cut to depth and scaled, side by side; absent counts 0.
+def pool_depths(planned: DataFrame, top: int = POOL) -> tuple[DataFrame, int]:
+    """``pool`` per query, ``top`` or its own limit if that is larger; and the largest of all."""
+    depths = planned.select("qid", F.greatest(F.lit(top), F.col("limit")).cast("int").alias("pool"))
+    return depths, depths.agg(F.max("pool")).first()[0] or top
 
-    The windows run over at most ``depth`` rows per query.
+
+def _own_depth(ranked: DataFrame, depths: DataFrame | None) -> DataFrame:
+    """Rows within their query's own depth, of lists cut at the largest."""
+    if depths is None:
+        return ranked
+    return ranked.join(depths, "qid").where(F.col("rank") <= F.col("pool")).drop("pool")
+
+
+def scaled_lists(keyword: DataFrame, vector: DataFrame, depth: int = POOL,
+                 depths: DataFrame | None = None) -> DataFrame:
+    """Both lists, cut and scaled, side by side; absent counts 0.
+
+    ``depth`` is the largest pool of any query, by which the lists are cut before they are
+    shuffled; ``depths`` (qid, pool) then cuts each query's lists at its own.
     """
     best = [F.desc("score"), F.asc("sku")]
-    kw = _scaled(top_k(keyword, ["qid"], best, depth).drop("rank"), "kw")
-    vec = _scaled(top_k(vector, ["qid"], best, depth).drop("rank"), "vec")
+    kw = _scaled(_own_depth(top_k(keyword, ["qid"], best, depth), depths).drop("rank"), "kw")
+    vec = _scaled(_own_depth(top_k(vector, ["qid"], best, depth), depths).drop("rank"), "vec")
     return kw.join(vec, ["tenant", "qid", "sku"], "full_outer").na.fill(0.0, ["kw", "vec"])
 
 
@@ -175,8 +190,8 @@ def plan_queries(queries: DataFrame, merchants: DataFrame | None = None,
 
 
 def candidate_lists(queries: DataFrame, docs: DataFrame, embedder=None, depth: int = POOL,
-                    index: DataFrame | None = None) -> DataFrame:
-    """Scaled keyword and vector lists of all queries.
+                    index: DataFrame | None = None, depths: DataFrame | None = None) -> DataFrame:
+    """Scaled keyword and vector lists of all queries, cut as ``scaled_lists`` says.
 
     docs: tenant, sku, text and optionally tokens, embedding and the filter fields; what the
     catalog already stores (also ``index``, its saved postings) is not computed again. With a
@@ -190,7 +205,7 @@ def candidate_lists(queries: DataFrame, docs: DataFrame, embedder=None, depth: i
         queries = queries.withColumn("embedding", embed("query"))
     keyword = bm25(queries, docs, index)
     if "filters" not in queries.columns:
-        return scaled_lists(keyword, vector_search(queries, docs, depth), depth)
+        return scaled_lists(keyword, vector_search(queries, docs, depth), depth, depths)
     asked = scopes(queries)
     allowed = scoped_products(asked, docs.drop("text"))
     keyword = keyword.join(asked.select("qid", "scope"), "qid").join(
@@ -199,24 +214,25 @@ def candidate_lists(queries: DataFrame, docs: DataFrame, embedder=None, depth: i
                            allowed.select(F.col("scope").alias("tenant"), "sku", "embedding"),
                            depth)
     vector = vector.drop("tenant").join(asked.select("qid", "tenant"), "qid")
-    return scaled_lists(keyword, vector, depth)
+    return scaled_lists(keyword, vector, depth, depths)
 
 
 def search(queries: DataFrame, docs: DataFrame, merchants: DataFrame | None = None,
            embedder=None, scorer=lexical_pair_score, top: int = POOL,
-           max_limit: int | None = None, index: DataFrame | None = None, **options) -> DataFrame:
+           index: DataFrame | None = None, **options) -> DataFrame:
     """Hits of every query: qid, tenant, sku, rank, score, rank_before_rerank, rerank_score,
     query_class, alpha_used, reranked.
 
-    queries: qid, tenant, query and optionally limit, alpha, rerank, filters. The pool
-    holds ``top`` candidates, or ``max_limit`` when a query may ask for more.
+    queries: qid, tenant, query and optionally limit, alpha, rerank, filters. A query's pool
+    holds ``top`` candidates, or its own limit when it asks for more.
     """
-    depth = max(top, max_limit or top)
     planned = plan_queries(queries, merchants, **options)
-    lists = candidate_lists(queries, docs, embedder, depth, index)
+    depths, depth = pool_depths(planned, top)
+    lists = candidate_lists(queries, docs, embedder, depth, index, depths)
     settings = planned.select("qid", "query", "query_class", "alpha_used", "do_rerank", "limit")
     fused = fuse(lists.join(settings, "qid"), F.col("alpha_used"))
-    pool = top_k(fused, ["qid"], [F.desc("score"), F.asc("sku")], depth).withColumn(
+    best = top_k(fused, ["qid"], [F.desc("score"), F.asc("sku")], depth)
+    pool = _own_depth(best, depths).withColumn(
         "rank_before_rerank", F.col("rank") - 1).drop("rank", "kw", "vec")
     plain = pool.where(~F.col("do_rerank")).withColumns({
         "rank": F.col("rank_before_rerank") + 1, "rerank_score": F.lit(None).cast("double")})

@@ -466,8 +466,8 @@ def join_tool_call_result(spark, sf):
 
 CACHE_SQL = """ev AS (SELECT event_id, 'm' || (event_id % 2) AS tenant, epoch_us(ts) * 3 AS us,
     event_type AS kind, embedding FROM events JOIN embeddings
-    ON vec_id = event_id % (SELECT least(40, count(*)) FROM embeddings)
-    WHERE event_id % 7 < 4 AND event_type <> 'signup'),
+    ON vec_id = event_id % (SELECT count(*) FROM embeddings)
+    WHERE event_type <> 'signup'),
   st0 AS (SELECT *, lag(us) OVER (PARTITION BY tenant ORDER BY us, event_id) AS prev FROM ev
     WHERE kind IN ('click', 'error')),
   inv AS (SELECT tenant, us FROM ev WHERE kind = 'purchase' AND event_id % 20 = 3),
@@ -493,8 +493,8 @@ CACHE_SQL = """ev AS (SELECT event_id, 'm' || (event_id % 2) AS tenant, epoch_us
 def cache_logs(spark: SparkSession, sf: str):
     """Stores, queries and invalidations over events, times stretched threefold."""
     e = table(spark, sf, "embeddings")
-    size = e.agg(F.least(F.lit(40), F.count("*")).alias("size"))
-    ev = table(spark, sf, "events").where("event_id % 7 < 4 AND event_type <> 'signup'").crossJoin(
+    size = e.agg(F.count("*").alias("size"))
+    ev = table(spark, sf, "events").where("event_type <> 'signup'").crossJoin(
         F.broadcast(size)).withColumn("vec_id", F.col("event_id") % F.col("size")).join(
         e.select("vec_id", "embedding"), "vec_id").select(
         "event_id", F.concat(F.lit("m"), (F.col("event_id") % 2).cast("string")).alias("tenant"),

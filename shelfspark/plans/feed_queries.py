@@ -20,7 +20,7 @@ from shelfspark.plans.shapes import (
 from shelfspark.session import scratch_path
 from shelfspark.sources import feeds
 
-MAPPING = fm.ColumnMapping.from_config({
+MAPPING = fm.stored_mapping({
     "sku": "id", "title": "name", "description": "descr", "brand": "maker", "category": "cat",
     "price": "mrp", "in_stock": "stock", "rating": "stars", "review_count": "reviews",
     "attribute_columns": ["colour", "gender"], "added_by_a_newer_version": 1})

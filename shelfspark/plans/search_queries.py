@@ -115,12 +115,13 @@ def embed_queries(spark, sf):
 
 @register("vector_search", f"""{VECTORS_SQL},
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, sku) AS rank FROM vec)
-SELECT qid, tenant, sku, round(score, 6) AS score FROM r WHERE rank <= 10""")
+SELECT qid, tenant, sku, round(score, 4) AS score FROM r WHERE rank <= 10""")
 def vector_search(spark, sf):
     embed = hashed_embedder()
     asked = queries(spark, sf).withColumn("embedding", embed("query"))
     corpus = st.docs(spark, sf).withColumn("embedding", embed("text"))
-    return plain(hs.vector_search(asked, corpus, 10))
+    found = hs.vector_search(asked, corpus, 10)
+    return found.select("qid", "tenant", "sku", F.round("score", 4).alias("score"))
 
 
 def _lists(spark, sf):
@@ -239,7 +240,7 @@ def classify_complexity(spark, sf):
     routed = table(spark, sf, "conversations").withColumn(
         "r", routing.classify_complexity(F.col("text"), rounds))
     return routed.select("conv_id", "turn", F.col("r.tier").alias("tier"), F.exists(
-        "r.reasons", lambda x: F.startswith(x, F.lit("long message"))).alias("is_long"))
+        "r.reasons", lambda x: F.endswith(x, F.lit(routing.LENGTH_REASON))).alias("is_long"))
 
 
 @register("alpha_resolve", f"""WITH {SHOPPER_SQL}, {_class_sql('shopper', 'query')}
@@ -340,12 +341,16 @@ def rerank(spark, sf):
     return plain(hits.where("reranked").select("qid", "sku", "rerank_score"))
 
 
-@register("topk_per_query", f"""{RANKED_SQL}
-SELECT qid, sku, rank_before + 1 AS rank FROM pool JOIN golden USING (qid)
-WHERE rank_before < 1 + length(qid) % 7""")
+# Limits from 1 to 100, each query with a pool of its own.
+OWN_LIMIT = "(1 + CAST(split_part(qid, '-', 2) AS INT) * 37 % 100)"
+DEEP_SQL = RANKED_SQL.replace("WHERE r <= 50", f"WHERE r <= greatest(50, {OWN_LIMIT})").replace(
+    "WHERE rank_before < 50", f"WHERE rank_before < greatest(50, {OWN_LIMIT})")
+
+
+@register("topk_per_query", f"""{DEEP_SQL}
+SELECT qid, sku, rank_before + 1 AS rank FROM pool WHERE rank_before < {OWN_LIMIT}""")
 def topk_per_query(spark, sf):
-    asked = queries(spark, sf).withColumns({
-        "rerank": F.lit(False), "limit": 1 + F.length("qid") % 7})
+    asked = queries(spark, sf).withColumns({"rerank": F.lit(False), "limit": F.expr(OWN_LIMIT)})
     return plain(hs.search(asked, st.docs(spark, sf)).select("qid", "sku", "rank"))
 
 

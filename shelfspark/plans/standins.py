@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfspark.operators.ranks import bounded
 from shelfspark.plans.registry import table
 from shelfspark.sources.feeds import widen
 
@@ -85,7 +86,6 @@ FROM {events}
 """
 
 GOLDEN_TENANTS = ("en", "fr", "de", "es")
-QUERY_WORDS = 6
 ANCHOR_WORDS = 3
 
 
@@ -131,12 +131,11 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def golden_queries(spark: SparkSession, sf: str) -> DataFrame:
-    """The first words of every benchmark passage, asked in every tenant.
+    """The words of every benchmark passage, asked in every tenant.
 
     A third each as they are, as a wish and with a product code.
     """
-    words = F.slice(F.filter(F.split(F.col("text"), r"[^\p{L}\p{N}]+"), lambda w: w != ""),
-                    1, QUERY_WORDS)
+    words = F.filter(F.split(F.col("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     asked, third = F.array_join(words, " "), F.col("item_id") % 3
     shaped = F.when(third == 1, F.concat(F.lit("something for "), asked)).when(
         third == 2, F.concat(asked, F.lit(" AB-12"), F.col("item_id").cast("string"))
@@ -150,24 +149,41 @@ def golden_queries(spark: SparkSession, sf: str) -> DataFrame:
 def judgments(spark: SparkSession, sf: str) -> DataFrame:
     """rel 2 for each document holding a query's passage.
 
-    Passages meet documents on three consecutive words (skipping the first, which may be
-    glued to what precedes it); containment is then checked on the whole texts.
+    A passage's inner words stand alone in any text that holds it, so passages meet documents on
+    up to three of them; texts are fetched for the pairs that meet, and containment is checked
+    on the whole texts. Passages of one or two words have no inner word and are tested
+    directly, in a broadcast whose size is checked.
     """
     def word_list(text):
         return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
-    def joined(words, at):
-        return F.array_join(F.slice(words, at, ANCHOR_WORDS), " ")
-
-    asked = golden_queries(spark, sf).select("qid", "tenant", "passage", joined(
-        word_list(F.col("passage")), F.lit(2)).alias("anchor"))
-    held = docs(spark, sf).withColumn("_w", word_list(F.col("text"))).where(
-        F.size("_w") >= ANCHOR_WORDS).select(
-        "tenant", "sku", "text", F.explode_outer(F.transform(
-            F.sequence(F.lit(1), F.size("_w") - ANCHOR_WORDS + 1),
-            lambda i: joined(F.col("_w"), i))).alias("anchor"))
-    return held.join(asked, ["tenant", "anchor"]).where(
-        F.contains("text", F.col("passage"))).select(
+    def joined(words, at, n):
+        return F.array_join(F.slice(words, at, n), " ")
+
+    passages = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("passage")).withColumn(
+        "_w", word_list(F.col("passage")))
+    inner = F.least(F.lit(ANCHOR_WORDS), F.size("_w") - 2)
+    anchored = passages.where(F.size("_w") > 2).select(
+        "item_id", inner.alias("n"), joined(F.col("_w"), F.lit(2), inner).alias("anchor"))
+    texts = docs(spark, sf)
+    words = texts.select("tenant", "sku", word_list(F.col("text")).alias("_w"))
+
+    def runs_of(n):
+        starts = F.when(F.size("_w") >= n, F.sequence(F.lit(1), F.size("_w") - n + 1))
+        return F.coalesce(F.transform(starts, lambda i: F.struct(
+            F.lit(n).alias("n"), joined(F.col("_w"), i, n).alias("anchor"))), F.array())
+
+    runs = F.flatten(F.array(*map(runs_of, range(1, ANCHOR_WORDS + 1))))
+    met = words.select("tenant", "sku", F.explode(runs).alias("_r")).select(
+        "tenant", "sku", "_r.n", "_r.anchor").join(anchored, ["n", "anchor"]).select(
+        "tenant", "sku", "item_id").distinct()
+    held = met.join(passages.select("item_id", "passage"), "item_id").join(
+        texts, ["tenant", "sku"]).where(F.contains("text", F.col("passage")))
+    short = bounded(passages.where(F.size("_w") <= 2).select("item_id", "passage"))
+    found = held.select("tenant", "sku", "item_id").unionByName(
+        texts.join(short, F.contains("text", F.col("passage"))).select("tenant", "sku", "item_id"))
+    asked = golden_queries(spark, sf).select("qid", "tenant", "item_id")
+    return found.join(asked, ["tenant", "item_id"]).select(
         "qid", "tenant", "sku", F.lit(2).alias("rel")).distinct()
 
 
@@ -215,7 +231,7 @@ golden AS (
   SELECT t.tenant || '-' || item_id AS qid, t.tenant, text AS passage,
     CASE item_id % 3 WHEN 1 THEN 'something for ' ELSE '' END
       || array_to_string(list_filter(string_split_regex(text, '[^\p{L}\p{N}]+'),
-                                lambda w: w <> '')[1:6], ' ')
+                                lambda w: w <> ''), ' ')
       || CASE item_id % 3 WHEN 2 THEN ' AB-12' || item_id ELSE '' END AS query
   FROM benchmark, (VALUES ('en'), ('fr'), ('de'), ('es')) t(tenant)),
 judgments AS (

@@ -52,8 +52,8 @@ def test_rejections_duplicates_and_order(spark):
     assert stats.reasons == {"missing or empty SKU": 1, "missing or empty title": 1}
 
 
-def test_mapping_from_config_and_exclusive_options():
-    mapping = fm.ColumnMapping.from_config({"sku": "id", "unknown": 1, "attribute_columns": ["a"]})
+def test_stored_mapping_and_exclusive_options():
+    mapping = fm.stored_mapping({"sku": "id", "unknown": 1, "attribute_columns": ["a"]})
     assert mapping.sku == "id" and mapping.attribute_columns == ("a",)
     with pytest.raises(ValueError):
         fm.resolve_mapping(fm.FeedAdapter(mapping), mapping)
