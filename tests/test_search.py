@@ -10,29 +10,28 @@ from shelfspark.functions.vectors import hashed_embedder
 from shelfspark.operators import delta, evaluation, filters, search
 from shelfspark.operators import feed_mapping as fm
 
-# A small outdoor shop: sku, title, description, price, brand.
+# A kitchen and garden shop: sku, title, description, price, brand.
 SHOP = """
-BOOT-WP-10|Trailhead Waterproof Hiking Boots|Grippy sole, ankle support, sealed seams|129|Trailhead
-BOOT-WP-11|Trailhead Waterproof Hiking Boots Wide Fit|Wide fit version, ankle support|139|Trailhead
-BOOT-TR-05|Summit Trail Running Boots|Lightweight trail boots for rocky terrain|99|Summit
-SHOE-RUN-21|Pace Runner Road Running Shoes|Breathable mesh, cushioned sole|89|Pace
-JCKT-RN-22|Trailhead Waterproof Rain Jacket|Packable, sealed seams, hood|149|Trailhead
-SHRT-FRM-B2|Acme Slim Fit Formal Shirt Blue|Wrinkle-resistant, slim fit|34|Acme
-SHRT-FRM-W3|Acme Slim Fit Formal Shirt White|Wrinkle-resistant, slim fit|34|Acme
-HDPH-BT-01|Acme Wireless Noise Cancelling Headphones|Bluetooth, 30h battery|89|Acme
-HDPH-BT-02|Acme Wireless Sport Earbuds|Bluetooth, sweat resistant|49|Acme
-WATC-SM-07|PulseFit Smartwatch Series 3|Heart-rate tracking, GPS, 5-day battery|129|PulseFit
-BTTL-SS-500|Acme Stainless Steel Water Bottle 500ml|Vacuum insulated, keeps cold 24h|18|Acme
-TENT-2P-01|Summit 2-Person Backpacking Tent|Lightweight, 3-season|189|Summit
+PAN-CI-28|Ironwood Cast Iron Frying Pan|Even heat, pouring lips, oven safe|64|Ironwood
+PAN-CI-32|Ironwood Cast Iron Frying Pan Large|For six portions, oven safe|72|Ironwood
+PAN-AL-24|Feder Light Aluminium Crepe Pan|Flat rim, quick to heat|31|Feder
+POT-ST-05|Ladle House Enamel Stock Pot|Five litres, tight lid|58|Ladle House
+WOK-CS-30|Ironwood Carbon Steel Wok|Round bottom, beech handle|49|Ironwood
+KNF-CH-20|Halde Chef Knife Walnut|Twenty centimetre blade, walnut handle|85|Halde
+KNF-CH-O2|Halde Chef Knife Olive|Twenty centimetre blade, olive handle|85|Halde
+LMP-SO-01|Halde Solar Garden Lantern|Dusk sensor, warm light|39|Halde
+LMP-SO-02|Halde Solar Path Spikes|Set of four, dusk sensor|27|Halde
+HOS-RB-25|Feder Rubber Hose|Twenty five metres, brass ends|44|Feder
+JAR-GL-750|Halde Glass Storage Jar 750ml|Clip lid, rubber seal|9|Halde
+BIN-CP-60|Ladle House Compost Bin|Sixty litres, vented|55|Ladle House
 """.strip()
 
 GOLDEN = {
-    "BOOT-WP-10": {"BOOT-WP-10": 2}, "HDPH-BT-01": {"HDPH-BT-01": 2},
-    "BTTL-SS-500": {"BTTL-SS-500": 2},
-    "Trailhead waterproof hiking boots": {"BOOT-WP-10": 2, "BOOT-WP-11": 2},
-    "Acme slim fit formal shirt": {"SHRT-FRM-B2": 2, "SHRT-FRM-W3": 2},
-    "Acme wireless bluetooth headphones": {"HDPH-BT-01": 2, "HDPH-BT-02": 1},
-    "something to wear to a formal office": {"SHRT-FRM-B2": 2, "SHRT-FRM-W3": 2},
+    "PAN-CI-28": {"PAN-CI-28": 2}, "LMP-SO-01": {"LMP-SO-01": 2}, "JAR-GL-750": {"JAR-GL-750": 2},
+    "Ironwood cast iron frying pan": {"PAN-CI-28": 2, "PAN-CI-32": 2},
+    "Halde chef knife": {"KNF-CH-20": 2, "KNF-CH-O2": 2},
+    "Halde solar dusk sensor": {"LMP-SO-01": 2, "LMP-SO-02": 2},
+    "something with a chef knife blade": {"KNF-CH-20": 2, "KNF-CH-O2": 2},
 }
 
 
@@ -44,7 +43,7 @@ def shop(spark):
     feeds = raw.withColumn("tenant", F.explode(F.array(F.lit("one"), F.lit("two"))))
     # The second tenant sells the same skus under other names.
     feeds = feeds.withColumn("title", F.when(F.col("tenant") == "two", F.concat(
-        F.lit("Garden hose "), "feed_seq")).otherwise(F.col("title"))).withColumn(
+        F.lit("Paper kite "), "feed_seq")).otherwise(F.col("title"))).withColumn(
         "description", F.when(F.col("tenant") == "one", F.col("description")))
     products = fm.accepted(fm.map_feed(feeds, fm.ColumnMapping(), keep_raw=False)).drop("raw")
     stored = delta.stored_projection(products)
@@ -83,52 +82,52 @@ def test_golden_set(spark, shop):
 
 
 def test_tenants_never_mix(spark, shop):
-    both = ask(spark, ["Trailhead waterproof hiking boots"]).unionByName(
-        ask(spark, ["garden hose 3"], "two"))
+    both = ask(spark, ["Ironwood cast iron frying pan"]).unionByName(
+        ask(spark, ["paper kite 3"], "two"))
     hits = search.search(both, shop, embedder=hashed_embedder(256)).collect()
-    assert {h.tenant for h in hits if h.qid == "garden hose 3"} == {"two"}
-    assert {h.tenant for h in hits if h.qid != "garden hose 3"} == {"one"}
-    first = [h.sku for h in hits if h.qid == "garden hose 3" and h["rank"] == 1]
-    assert first == ["SHOE-RUN-21"]
+    assert {h.tenant for h in hits if h.qid == "paper kite 3"} == {"two"}
+    assert {h.tenant for h in hits if h.qid != "paper kite 3"} == {"one"}
+    first = [h.sku for h in hits if h.qid == "paper kite 3" and h["rank"] == 1]
+    assert first == ["POT-ST-05"]
 
 
 def test_filters_apply_before_ranking(spark, shop):
-    wanted = F.from_json(F.lit('{"brands": ["Summit"], "max_price": 150}'),
+    wanted = F.from_json(F.lit('{"brands": ["Feder"], "max_price": 40}'),
                          search.matches.__globals__["FILTER_FIELDS"])
-    hits = run(spark, shop, ["Trailhead waterproof hiking boots"], filters=wanted).collect()
-    assert [h.sku for h in hits] == ["BOOT-TR-05"]
-    nothing = run(spark, shop, ["boots"], filters=filters.no_filters()).collect()
+    hits = run(spark, shop, ["Ironwood cast iron frying pan"], filters=wanted).collect()
+    assert [h.sku for h in hits] == ["PAN-AL-24"]
+    nothing = run(spark, shop, ["pan"], filters=filters.no_filters()).collect()
     assert len(nothing) == 10
 
 
 def test_alpha_ends_are_keyword_and_vector(spark, shop):
-    query = "Acme wireless bluetooth headphones"
+    query = "Halde solar dusk sensor"
     asked = ask(spark, [query])
-    keyword = search.top_k(search.bm25(asked, shop), ["qid"], [F.desc("score"), F.asc("sku")], 3)
+    keyword = search.top_k(search.bm25(asked, shop), ["qid"], [F.desc("score"), F.asc("sku")], 2)
     zero = run(spark, shop, [query], alpha=F.lit(0.0), rerank=F.lit(False))
-    assert [r.sku for r in zero.where("rank <= 3").orderBy("rank").collect()] == [
+    assert [r.sku for r in zero.where("rank <= 2").orderBy("rank").collect()] == [
         r.sku for r in keyword.orderBy("rank").collect()]
 
 
 def test_rerank_is_stable_and_skipped_for_codes(spark, shop):
-    queries = ["formal shirt", "BOOT-WP-10"]
+    queries = ["chef knife", "PAN-CI-28"]
     asked = ask(spark, queries)
     hits = search.search(asked, shop, embedder=hashed_embedder(256), rerank_default=True)
     rows = {(h.qid, h["rank"]): h for h in hits.collect()}
-    assert rows["formal shirt", 1].reranked and not rows["BOOT-WP-10", 1].reranked
-    assert {rows["formal shirt", i].sku for i in (1, 2)} == {"SHRT-FRM-B2", "SHRT-FRM-W3"}
-    assert rows["formal shirt", 1].rank_before_rerank < rows["formal shirt", 2].rank_before_rerank
-    assert rows["formal shirt", 1].score == rows["formal shirt", 1].rerank_score == 1.5
+    assert rows["chef knife", 1].reranked and not rows["PAN-CI-28", 1].reranked
+    assert {rows["chef knife", i].sku for i in (1, 2)} == {"KNF-CH-20", "KNF-CH-O2"}
+    assert rows["chef knife", 1].rank_before_rerank < rows["chef knife", 2].rank_before_rerank
+    assert rows["chef knife", 1].score == rows["chef knife", 1].rerank_score == 1.5
 
 
 def test_sorted_pool(spark, shop):
-    hits = run(spark, shop, ["Acme"], limit=F.lit(50), rerank=F.lit(False))
+    hits = run(spark, shop, ["Halde"], limit=F.lit(50), rerank=F.lit(False))
     cheap = search.search_sorted(hits, shop, "price_asc", 3).orderBy("rank").collect()
-    assert [c.sort_value for c in cheap] == [18.0, 34.0, 34.0]
+    assert [c.sort_value for c in cheap] == [9.0, 27.0, 31.0]
 
 
 def test_stats_count_rows_without_the_metric(spark, shop):
-    got = filters.catalog_stats(shop, "rating", brands=["Acme"]).where("tenant = 'one'").first()
+    got = filters.catalog_stats(shop, "rating", brands=["Halde"]).where("tenant = 'one'").first()
     assert (got["count"], got.minimum, got["mean"]) == (5, None, None)
 
 
@@ -163,3 +162,13 @@ def test_dcg_gains(spark, exponential, expected):
     hits = spark.createDataFrame([(3, 1), (2, 2), (1, 3)], "rel int, rank int")
     dcg = hits.agg(F.sum(evaluation.discounted(F.col("rel"), F.col("rank"), exponential))).first()[0]
     assert dcg == pytest.approx(expected, abs=1e-6) and not math.isnan(dcg)
+
+
+def test_pools_follow_each_query(spark):
+    """A query that asks for more than the usual pool gets it, beside one that doesn't."""
+    docs = spark.range(300).select(F.lit("one").alias("tenant"), F.concat(
+        F.lit("s"), F.lpad(F.col("id").cast("string"), 3, "0")).alias("sku"), F.lit("red bowl").alias("text"))
+    asked = spark.createDataFrame([("a", "one", "bowl", 100), ("b", "one", "bowl", 7), ("c", "one", "red", 60)],
+                                  "qid string, tenant string, query string, limit int")
+    hits = search.search(asked, docs).groupBy("qid").count().collect()
+    assert {h["qid"]: h["count"] for h in hits} == {"a": 100, "b": 7, "c": 60}
