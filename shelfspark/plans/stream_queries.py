@@ -17,33 +17,55 @@ from shelfspark.sources.catalog import CatalogTable
 from shelfspark.streaming import runs, stateful, windows
 
 
-def stream_of(spark: SparkSession, frame: DataFrame, name: str, files: int = 1) -> DataFrame:
-    """A file stream holding the frame's rows, one file per micro-batch."""
-    path = scratch_path(spark, name)
-    frame.repartition(files).write.parquet(path)
-    return spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(path)
+SLICE_FILES = 4
 
 
-def _ordered_stream(spark: SparkSession, frame: DataFrame, name: str, order: str,
-                    cut: str) -> DataFrame:
-    """A stream whose two batches follow each other in event time."""
+def _stream(spark: SparkSession, slices: list[DataFrame], name: str) -> DataFrame:
+    """A stream with one micro-batch for each slice, every slice spread over several files."""
     path = scratch_path(spark, name)
-    first = frame.where(F.col(order) < F.lit(cut).cast(frame.schema[order].dataType))
-    first.coalesce(1).write.parquet(path)
-    rest = frame.where(F.col(order) >= F.lit(cut).cast(frame.schema[order].dataType))
-    rest.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    files = []
+    for rows in slices:
+        before = sum(files)
+        rows.repartition(SLICE_FILES).write.mode("append").parquet(path)
+        files.append(len(spark.read.parquet(path).inputFiles()) - before)
+    if len(set(files)) > 1:
+        # Too few rows to fill all files: slices are kept apart by having one file each.
+        path = scratch_path(spark, name)
+        for rows in slices:
+            rows.repartition(1).write.mode("append").parquet(path)
+        files = [1]
+    return spark.readStream.schema(slices[0].schema).option("maxFilesPerTrigger", files[0]).parquet(path)
+
+
+def _sliced(frame: DataFrame, order: str, cuts: list[str]) -> list[DataFrame]:
+    """The rows between neighbouring cuts of their order."""
+    at = [F.lit(c).cast(frame.schema[order].dataType) for c in cuts]
+    edges = [None, *at, None]
+    return [frame.where((F.lit(True) if low is None else F.col(order) >= low)
+                        & (F.lit(True) if high is None else F.col(order) < high))
+            for low, high in zip(edges, edges[1:])]
+
+
+def _closing(frame: DataFrame, time: str) -> DataFrame:
+    """A last slice: every first row again, which comes too late, and the last one ten years on,
+    which closes all windows before it and leaves its own open."""
+    first, last = frame.agg(F.min(time), F.max(time)).first()
+    return frame.where(F.col(time) == F.lit(first)).unionByName(
+        frame.where(F.col(time) == F.lit(last)).withColumn(
+            time, F.expr(f"`{time}` + INTERVAL 10 YEARS").cast(frame.schema[time].dataType)))
 
 
-CUT = "2024-01-15 00:00:00"
+CUTS = ["2024-01-10 00:00:00", "2024-01-20 00:00:00"]
 
 
 @register("stream_usage", f"""WITH {st.USAGE_SQL}
 SELECT epoch_us(date_trunc('day', created_at)) AS window_start, model, count(*) AS calls, {tq.SUMS},
   round(CAST(sum(cost_usd) AS DOUBLE), 6) AS cost_usd FROM usage GROUP BY 1, 2""")
 def stream_usage(spark, sf):
-    rows = stream_of(spark, st.usage(spark, sf), "usage-in")
-    return plain(runs.drain(windows.stream_usage(with_cost(rows)), "usage", "complete"))
+    usage = st.usage(spark, sf)
+    slices = [*_sliced(usage, "created_at", CUTS), _closing(usage, "created_at")]
+    rows = _stream(spark, slices, "usage-in")
+    return plain(runs.drain(windows.stream_usage(with_cost(rows)), "usage"))
 
 
 @register("stream_latency", f"""WITH {tq.HIST_SQL.replace(
@@ -52,9 +74,10 @@ SELECT stage, epoch_us("at") AS "at", n, round({tq._interpolated(0.5)}, 6) AS p5
   round({tq._interpolated(0.95)}, 6) AS p95, round({tq._interpolated(0.99)}, 6) AS p99
 FROM totals""")
 def stream_latency(spark, sf):
-    rows = stream_of(spark, tq._samples(spark, sf), "latency-in")
+    samples = tq._samples(spark, sf)
+    rows = _stream(spark, [*_sliced(samples, "ts", CUTS), _closing(samples, "ts")], "latency-in")
     out = windows.stream_latency(rows, ["stage"], "seconds")
-    return plain(runs.drain(out, "latency", "complete"))
+    return plain(runs.drain(out, "latency"))
 
 
 @register("stream_rate_limit", f"""WITH {tq.LIMIT_SQL.format(width=21600000000)}
@@ -62,7 +85,7 @@ SELECT key, event_id AS request_id, start AS window_start, count, count <= 4 AS
   CASE WHEN count <= 4 THEN 0 ELSE CAST(ceil((start + 21600000000 - us) / 1000000.0) AS BIGINT) END
     AS retry_after FROM counted""")
 def stream_rate_limit(spark, sf):
-    rows = _ordered_stream(spark, tq.requests(spark, sf), "requests", "ts", CUT)
+    rows = _stream(spark, _sliced(tq.requests(spark, sf), "ts", CUTS), "requests")
     return plain(runs.drain(stateful.rate_limit_stream(rows, 4, 21600), "limits").drop("ts"))
 
 
@@ -86,7 +109,7 @@ def _cache_stream(spark, sf):
     ).unionByName(cleared.select(
         "tenant", F.lit(1).alias("kind"), F.lit("").alias("id"), "ts",
         F.array().cast("array<double>").alias("embedding")))
-    return _ordered_stream(spark, events, "cache-in", "ts", "2132-02-10 00:00:00")
+    return _stream(spark, _sliced(events, "ts", ["2132-01-25 00:00:00", "2132-02-10 00:00:00"]), "cache-in")
 
 
 @register("semantic_cache")
@@ -109,7 +132,7 @@ SELECT conv_id, turn, count(*) OVER w AS n_messages,
 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
 def stream_conversation_state(spark, sf):
     messages = table(spark, sf, "conversations")
-    rows = _ordered_stream(spark, messages, "messages", "turn", "3")
+    rows = _stream(spark, _sliced(messages, "turn", ["2", "4"]), "messages")
     return plain(runs.drain(stateful.conversation_stream(rows), "conversations"))
 
 
@@ -117,7 +140,7 @@ def stream_conversation_state(spark, sf):
 SELECT tenant, sku, title, round(price, 6) AS price, brand FROM deduped""")
 def incremental_ingest(spark, sf):
     """The messy feed as two micro-batches into a stored catalog."""
-    feed = _ordered_stream(spark, st.messy_feed(spark, sf), "feed", "feed_seq", "1000000000")
+    feed = _stream(spark, _sliced(st.messy_feed(spark, sf), "feed_seq", ["1000000000"]), "feed")
     store = CatalogTable(spark, scratch_path(spark, "catalog"), buckets=4)
     runs.incremental_ingest(feed, store, scratch_path(spark, "ledger"),
                             scratch_path(spark, "ingest-state"), mapping=fq.MAPPING)
