@@ -45,12 +45,13 @@ def shared_dir(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        # The setting can't be changed in a running session; the context remembers the folder.
+        folder = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="spark-")
+    if known.isEmpty():
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 

@@ -55,14 +55,36 @@ def add_missing_columns(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 class CatalogTable:
-    """One catalog folder."""
+    """One catalog folder.
+
+    The number of buckets is stored with the table when it is first written; a table opened again
+    keeps it, whatever ``buckets`` says, since a product must always fall in the same folder.
+    """
+
+    LAYOUT = "_buckets-"
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
-        self.spark, self.path, self.buckets = spark, path, buckets
+        self.spark, self.path = spark, path
+        self.buckets = self._stored_buckets() or buckets
+
+    def _folder(self, name: str = ""):
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}{name}")
+        return folder.getFileSystem(self.spark._jsc.hadoopConfiguration()), folder
+
+    def _stored_buckets(self) -> int | None:
+        fs, pattern = self._folder(f"/{self.LAYOUT}*")
+        found = fs.globStatus(pattern)
+        if not found:
+            return None
+        return int(found[0].getPath().getName().removeprefix(self.LAYOUT))
+
+    def _store_buckets(self) -> None:
+        if self._stored_buckets() is None:
+            fs, marker = self._folder(f"/{self.LAYOUT}{self.buckets}")
+            fs.create(marker).close()
 
     def exists(self) -> bool:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        fs, hadoop = self._folder()
         if not fs.exists(hadoop):
             return False
         try:
@@ -86,6 +108,7 @@ class CatalogTable:
         return self.scan(tenant, ["tenant", "sku", "content_hash"])
 
     def _merge(self, changes: DataFrame) -> None:
+        self._store_buckets()
         changes = materialise(changes.withColumns({
             "shard": shard_of(F.col("tenant")), "sku_bucket": sku_bucket(self.buckets)}))
         merged = changes
@@ -126,6 +149,5 @@ class CatalogTable:
 
     def drop_tenant(self, tenant: str) -> bool:
         """Drop one tenant's partition folder."""
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/shard=t-{tenant}")
-        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        fs, folder = self._folder(f"/shard=t-{tenant}")
         return bool(fs.delete(folder, True))

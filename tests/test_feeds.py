@@ -144,3 +144,25 @@ def test_roundtrip_ignores_float_noise(spark):
                                   "tenant string, sku string, price double, title string")
     issues = {(r.sku, r.field) for r in delta.roundtrip_diff(left, right, ["price", "title"]).collect()}
     assert issues == {("b", "price"), ("c", "missing")}
+
+
+def test_reopened_catalog_keeps_its_buckets(spark, tmp_path):
+    path = f"file://{tmp_path}/catalog"
+    rows = spark.range(50).select(F.lit("t").alias("tenant"), F.concat(F.lit("s"), "id").alias("sku"),
+                                  F.lit("old").alias("title"), F.lit("h").alias("content_hash"))
+    catalog.CatalogTable(spark, path, buckets=4).upsert(rows)
+    again = catalog.CatalogTable(spark, path)
+    assert again.buckets == 4
+    again.upsert(rows.withColumn("title", F.lit("new")))
+    assert {(r["title"], r["count"]) for r in again.scan().groupBy("title").count().collect()} == {("new", 50)}
+
+
+def test_raw_rows_are_those_before_the_hook(spark):
+    rows = feed(spark, [("a", "one", "5"), ("", "two", "6"), (" ", "three", "7")], ["id", "name", "price"])
+    changed = fm.map_feed(rows, fm.ColumnMapping(sku="id", title="name"),
+                          preprocess=lambda f: f.withColumn("id", F.nullif("id", F.lit(" "))).drop("price"))
+    raw = {r.feed_seq: r.raw for r in fm.rejected(changed).collect()}
+    assert raw == {1: {"id": "", "name": "two", "price": "6"}, 2: {"id": " ", "name": "three", "price": "7"}}
+    picked = fm.map_feed(rows, fm.ColumnMapping(sku="id", title="name"),
+                         preprocess=lambda f: f.select("tenant", "feed_seq", "id", "name"))
+    assert {r.feed_seq: r.raw["price"] for r in fm.rejected(picked).collect()} == {1: "6", 2: "7"}
