@@ -160,6 +160,16 @@ def job_ledger(outcome: DataFrame, stats: DataFrame, errors: DataFrame) -> DataF
                     F.coalesce("truncated", F.lit(False)).alias("truncated")))
 
 
+def failed_jobs(feed: DataFrame, reason: str) -> DataFrame:
+    """One ledger row per tenant of a batch that could not be ingested; its counts are unknown."""
+    unknown = [F.lit(None).cast("long").alias(c) for c in
+               ("total", "ok", "failed", "duplicates", "indexed", "unchanged", "deleted")]
+    return feed.select("tenant").distinct().select(
+        "tenant", F.lit("failed").alias("status"), *unknown,
+        F.to_json(F.array(F.struct(F.lit(reason).alias("error_reason")))).alias("errors_json"),
+        F.lit(False).alias("truncated"))
+
+
 def latest_jobs(jobs: DataFrame, key: str = "tenant", at: str = "created_at") -> DataFrame:
     """The newest job per tenant."""
     rest = [c for c in jobs.columns if c != key]

@@ -113,7 +113,9 @@ def src_jsonl_enrichment(spark, sf):
     lines = table(spark, sf, "part").select(
         "p_partkey", F.create_map("p_name", "p_type").alias("classifications"))
     path = scratch_path(spark, "labels")
-    lines.orderBy("p_partkey").coalesce(1).write.json(path, ignoreNullFields=False)
+    # Several files, whose names follow the order of the lines.
+    (lines.repartitionByRange(4, "p_partkey").sortWithinPartitions("p_partkey").drop("p_partkey")
+     .write.json(path, ignoreNullFields=False))
     return feeds.read_enrichment(spark, path)
 
 

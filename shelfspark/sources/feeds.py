@@ -49,16 +49,19 @@ def latest_labels(lines: DataFrame, order: Sequence[str]) -> DataFrame:
 
 
 def read_enrichment(spark: SparkSession, path: str) -> DataFrame:
-    """Labels from a JSON-lines file; a missing file gives no labels."""
+    """Labels from JSON-lines files, read in the order of their names; a missing path gives none."""
     schema = T.StructType([T.StructField(
         "classifications", T.MapType(T.StringType(), T.StringType()))])
     try:
-        lines = spark.read.schema(schema).json(path)
+        lines = spark.read.schema(schema).json(path).select(
+            "classifications", F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("block"))
     except AnalysisException as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
-        lines = spark.createDataFrame([], schema)
-    return latest_labels(lines.withColumn("line", F.monotonically_increasing_id()), ["line"])
+        lines = spark.createDataFrame([], schema).withColumns({"file": F.lit(""), "block": F.lit(0)})
+    return latest_labels(lines.withColumn("line", F.monotonically_increasing_id()),
+                         ["file", "block", "line"])
 
 
 def parse_log_lines(lines: DataFrame, column: str = "value") -> DataFrame:

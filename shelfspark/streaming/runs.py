@@ -12,6 +12,9 @@ from shelfspark.session import materialise, scratch_path
 from shelfspark.sources.catalog import CatalogTable
 
 
+MAX_REASON_CHARS = 2000
+
+
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run the stream until its source is used up and read what it wrote.
 
@@ -69,13 +72,22 @@ def ingest_batch(feed: DataFrame, table: CatalogTable, mapping: fm.ColumnMapping
 
 def incremental_ingest(feed: DataFrame, table: CatalogTable, ledger_path: str,
                        checkpoint: str, **options) -> None:
-    """Micro-batches of a feed stream through ingest_batch, one ledger file set per batch."""
-    def run(batch: DataFrame, number: int) -> None:
-        ledger = ingest_batch(batch, table, **options)
+    """Micro-batches of a feed stream through ingest_batch, one ledger file set per batch.
+
+    A batch that fails is entered as failed before its error ends the stream.
+    """
+    def enter(ledger: DataFrame, number: int) -> None:
         # The batch number names the folder, so a repeated batch replaces its own rows.
         ledger.withColumn("batch_number", F.lit(number)).write.mode("overwrite").parquet(
             f"{ledger_path}/batch={number}")
 
+    def run(batch: DataFrame, number: int) -> None:
+        try:
+            enter(ingest_batch(batch, table, **options), number)
+        except Exception as error:
+            enter(delta.failed_jobs(batch, str(error)[:MAX_REASON_CHARS]), number)
+            raise
+
     (feed.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
      .trigger(availableNow=True).start().awaitTermination())
 

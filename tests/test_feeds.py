@@ -166,3 +166,18 @@ def test_raw_rows_are_those_before_the_hook(spark):
     picked = fm.map_feed(rows, fm.ColumnMapping(sku="id", title="name"),
                          preprocess=lambda f: f.select("tenant", "feed_seq", "id", "name"))
     assert {r.feed_seq: r.raw["price"] for r in fm.rejected(picked).collect()} == {1: "6", 2: "7"}
+
+
+def test_failed_batches_are_in_the_ledger(spark, tmp_path):
+    rows = feed(spark, [("a", "one", "5"), ("b", "two", "6")], ["sku", "title", "price"])
+    rows.write.parquet(f"file://{tmp_path}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"file://{tmp_path}/in")
+    broken = fm.FeedAdapter(fm.ColumnMapping(), postprocess=lambda m: m.withColumn(
+        "title", F.raise_error(F.lit("no such catalogue"))))
+    table = catalog.CatalogTable(spark, f"file://{tmp_path}/table", buckets=2)
+    with pytest.raises(Exception, match="no such catalogue"):
+        runs.incremental_ingest(stream, table, f"file://{tmp_path}/ledger", f"file://{tmp_path}/state",
+                                adapter=broken)
+    entry = spark.read.parquet(f"file://{tmp_path}/ledger/*").first()
+    assert (entry.tenant, entry.status, entry.total) == ("m", "failed", None)
+    assert "no such catalogue" in entry.errors_json
