@@ -116,9 +116,11 @@ def profiles(docs: DataFrame, lang: str = "lang", text: str = "text", top: int =
                 points, owner = _letters(piece)
                 if not points.any():
                     continue
-                # By language; a language's texts stay apart by their blanks.
+                # By language; texts stay apart by their blanks, the first has one before it.
                 order = np.argsort(index[owner], kind="stable")
-                for whose, grams, counts in _counted(points[order], index[owner][order], len(names)):
+                mine = index[owner][order]
+                for whose, grams, counts in _counted(np.append(0, points[order]), np.append(mine[0], mine),
+                                                     len(names)):
                     for k in np.unique(whose).tolist():
                         parts = gathered.setdefault(names[k], [])
                         parts.append((grams[whose == k], counts[whose == k]))
