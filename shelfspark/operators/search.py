@@ -221,7 +221,7 @@ def search(queries: DataFrame, docs: DataFrame, merchants: DataFrame | None = No
            embedder=None, scorer=lexical_pair_score, top: int = POOL,
            index: DataFrame | None = None, **options) -> DataFrame:
     """Hits of every query: qid, tenant, sku, rank, score, rank_before_rerank, rerank_score,
-    query_class, alpha_used, reranked.
+    query_class, alpha_used, reranked, retrieved_count (candidates before the limit).
 
     queries: qid, tenant, query and optionally limit, alpha, rerank, filters. A query's pool
     holds ``top`` candidates, or its own limit when it asks for more.
@@ -233,7 +233,8 @@ def search(queries: DataFrame, docs: DataFrame, merchants: DataFrame | None = No
     fused = fuse(lists.join(settings, "qid"), F.col("alpha_used"))
     best = top_k(fused, ["qid"], [F.desc("score"), F.asc("sku")], depth)
     pool = _own_depth(best, depths).withColumn(
-        "rank_before_rerank", F.col("rank") - 1).drop("rank", "kw", "vec")
+        "rank_before_rerank", F.col("rank") - 1).withColumn(
+        "retrieved_count", F.count("*").over(W.partitionBy("qid"))).drop("rank", "kw", "vec")
     plain = pool.where(~F.col("do_rerank")).withColumns({
         "rank": F.col("rank_before_rerank") + 1, "rerank_score": F.lit(None).cast("double")})
     scored = rerank(pool.where("do_rerank"), docs.select("tenant", "sku", "text"), scorer)
@@ -243,16 +244,18 @@ def search(queries: DataFrame, docs: DataFrame, merchants: DataFrame | None = No
     hits = plain.unionByName(ordered).where(F.col("rank") <= F.col("limit"))
     return hits.select("qid", "tenant", "sku", "rank", "score", "rank_before_rerank",
                        "rerank_score", "query_class", "alpha_used",
-                       F.col("do_rerank").alias("reranked"))
+                       F.col("do_rerank").alias("reranked"), "retrieved_count")
 
 
 def responses(queries: DataFrame, hits: DataFrame, **options) -> DataFrame:
     """One row per query, also for queries without hits."""
     planned = plan_queries(queries, **options)
-    found = hits.groupBy("qid").agg(F.count("*").alias("n_hits"))
+    found = hits.groupBy("qid").agg(F.count("*").alias("n_hits"),
+                                    F.max("retrieved_count").alias("retrieved_count"))
     return planned.join(found, "qid", "left").select(
         "qid", "tenant", "query_class", "confidence", "alpha_used",
-        F.col("do_rerank").alias("reranked"), F.coalesce("n_hits", F.lit(0)).alias("n_hits"))
+        F.col("do_rerank").alias("reranked"), F.coalesce("n_hits", F.lit(0)).alias("n_hits"),
+        F.coalesce("retrieved_count", F.lit(0)).alias("retrieved_count"))
 
 
 def search_sorted(hits: DataFrame, products: DataFrame, sort_by: str, limit: int = 5) -> DataFrame:

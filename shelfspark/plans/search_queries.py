@@ -318,11 +318,12 @@ def search(spark, sf):
 
 @register("search_responses", f"""{RERANKED_SQL}
 SELECT c.qid, c.query_class, CAST(round_even(c.confidence, 3) AS DOUBLE) AS confidence,
-  (SELECT count(*) FROM final f WHERE f.qid = c.qid AND rank <= 10) AS n_hits FROM classified c""")
+  (SELECT count(*) FROM final f WHERE f.qid = c.qid AND rank <= 10) AS n_hits,
+  (SELECT count(*) FROM final f WHERE f.qid = c.qid) AS retrieved_count FROM classified c""")
 def search_responses(spark, sf):
     answered = hs.responses(queries(spark, sf), _search(spark, sf))
     return answered.select("qid", "query_class", "confidence",
-                           "n_hits")
+                           "n_hits", "retrieved_count")
 
 
 @register("rank_pre_rerank", f"""{RANKED_SQL}
