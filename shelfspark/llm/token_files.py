@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.llm.bpe import Vocabulary
 from shelfspark.llm.encode import ids_of_pieces
+from shelfspark.llm.frames import written
 from shelfspark.llm.id_coder import BLOCK_IDS, LANES, checksum, decode_blocks, encode_blocks
 from shelfspark.session import scratch_path
 
@@ -163,8 +164,9 @@ def read_ids(spark: SparkSession, path: str, keep: bool = True) -> DataFrame:
     """Per document of the files: doc_id, start, n_tokens, ids_crc32 and, with ``keep``, ids as
     little-endian unsigned 32-bit integers."""
     blocks = spark.read.parquet(path)
-    whole = _decoded(blocks.where("parts = 1"), keep).unionByName(
-        _joined(_decoded(blocks.where("parts > 1"), keep)))
+    # All blocks in one pass, many side by side; documents of several blocks are put together after.
+    found = written(_decoded(blocks, keep), "decoded-ids")
+    whole = found.where("parts = 1").unionByName(_joined(found.where("parts > 1")))
     # As many rows as there are shards.
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (blocks.groupBy("shard").agg(F.sum("n_ids").alias("n"))
