@@ -511,15 +511,24 @@ def strip_html(spark, sf):
     return table(spark, sf, "pages").select("page_id", txt.strip_html(F.col("html")).alias("text"))
 
 
+#: windows-1252 at 0x80 to 0x9f, and the five bytes there to which it gives no character.
+_CP1252_BYTES = "".join(chr(k) for k in range(0x80, 0xA0) if k not in (0x81, 0x8D, 0x8F, 0x90, 0x9D))
+_CP1252_CHARS = "".join(bytes([ord(c)]).decode("cp1252") for c in _CP1252_BYTES)
+_CP1252_GAPS = "[\\x81\\x8d\\x8f\\x90\\x9d]"
+
+
+def _misread(text):
+    """The UTF-8 bytes of a text read as windows-1252; texts with a byte that it can't read stay."""
+    each_byte = F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
+    return F.when(each_byte.rlike(_CP1252_GAPS), text).otherwise(
+        F.translate(each_byte, _CP1252_BYTES, _CP1252_CHARS))
+
+
 @register("fix_mojibake", """SELECT doc_id, sha256(text) AS digest FROM documents""")
 def fix_mojibake(spark, sf):
-    # Damage every text the way scrapers do, then repair it.
-    damaged = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
-    d = table(spark, sf, "documents")
-    repairable = ~damaged.rlike("[\\x80-\\x9f]")
-    return d.select("doc_id", F.sha2(F.when(
-        repairable, txt.fix_mojibake(F.when(repairable, damaged))).otherwise(F.col("text")), 256)
-        .alias("digest"))
+    """Every text as a scraper stores it that reads UTF-8 as windows-1252, then repaired."""
+    return table(spark, sf, "documents").select("doc_id", F.sha2(
+        txt.fix_mojibake(_misread(F.col("text"))), 256).alias("digest"))
 
 
 @register("clean_text", f"""WITH {st.FEED_SQL}

@@ -1,5 +1,6 @@
 """Scalar columns against tables of (text, expected)."""
 
+import hashlib
 from decimal import Decimal
 
 import pytest
@@ -9,6 +10,7 @@ from shelfspark.functions import answers as ans
 from shelfspark.functions import numbers as num
 from shelfspark.functions import routing
 from shelfspark.functions import text as txt
+from shelfspark.plans.registry import table
 
 
 def values(spark, raws, column):
@@ -61,6 +63,27 @@ def test_mojibake_and_html(spark):
     assert "boil" in values(spark, ["<script>boil()</script>"], txt.strip_html)[0]
 
 
+def test_every_document_needs_its_repair(spark, sf, monkeypatch):
+    """Without the operator, only ASCII texts and those that windows-1252 can't read come out right."""
+    from shelfspark.plans import all_queries
+
+    texts = {r["doc_id"]: r["text"] for r in table(spark, sf, "documents").collect()}
+    asked = []
+    monkeypatch.setattr(txt, "fix_mojibake", lambda raw: asked.append(raw) or raw)
+    unrepaired = {r["doc_id"]: r["digest"] for r in all_queries()["fix_mojibake"](spark, sf).collect()}
+    assert len(asked) == 1 and unrepaired.keys() == texts.keys()
+    for doc, text in texts.items():
+        try:
+            damaged = text.encode().decode("cp1252")
+        except UnicodeDecodeError:
+            damaged = text
+        assert unrepaired[doc] == hashlib.sha256(damaged.encode()).hexdigest()
+
+
+def test_mojibake_of_every_byte(spark):
+    check(spark, [("Ã\x8d", "Ã\x8d"), ("Ã\xad â‚¬", "í €"), ("Ð´", "Ð´")], txt.fix_mojibake)
+
+
 def test_split_categories(spark):
     cases = [
         ("Kitchen >> Pots >> Lids", ["Kitchen", "Pots", "Lids"]), ("Kitchen > Pots", ["Kitchen", "Pots"]),
