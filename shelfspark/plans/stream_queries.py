@@ -23,18 +23,16 @@ SLICE_FILES = 4
 def _stream(spark: SparkSession, slices: list[DataFrame], name: str) -> DataFrame:
     """A stream with one micro-batch for each slice, every slice spread over several files."""
     path = scratch_path(spark, name)
-    files = []
+    schema = slices[0].schema
+    nothing = spark.createDataFrame([], schema).coalesce(1)
+    expected = 0
     for rows in slices:
-        before = sum(files)
         rows.repartition(SLICE_FILES).write.mode("append").parquet(path)
-        files.append(len(spark.read.parquet(path).inputFiles()) - before)
-    if len(set(files)) > 1:
-        # Too few rows to fill all files: slices are kept apart by having one file each.
-        path = scratch_path(spark, name)
-        for rows in slices:
-            rows.repartition(1).write.mode("append").parquet(path)
-        files = [1]
-    return spark.readStream.schema(slices[0].schema).option("maxFilesPerTrigger", files[0]).parquet(path)
+        expected += SLICE_FILES
+        # A slice of few rows leaves files out; empty ones keep the next slice from its batch.
+        for _ in range(expected - len(spark.read.schema(schema).parquet(path).inputFiles())):
+            nothing.write.mode("append").parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", SLICE_FILES).parquet(path)
 
 
 def _sliced(frame: DataFrame, order: str, cuts: list[str]) -> list[DataFrame]:

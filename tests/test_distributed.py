@@ -207,3 +207,21 @@ def test_grubbs(spark):
     assert flagged({"a": .1, "b": .1, "c": .1}) == set()
     assert flagged({"a": .1, "b": .1, "c": .4}) == {"c"}
     assert flagged({**{f"p{i}": .01 + i / 1000 for i in range(10)}, "bad": .9}) == {"bad"}
+
+
+def test_large_slices_keep_several_files_beside_a_small_one(spark):
+    from shelfspark.plans import stream_queries
+
+    frame = spark.range(1000)
+    slices = [frame.where("id < 998"), frame.where("id = -1"), frame.where("id >= 998")]
+    stream = stream_queries._stream(spark, slices, "uneven")
+    found = {}
+
+    def note(batch, number):
+        rows = batch.select("id", F.input_file_name().alias("file")).collect()
+        found[number] = ({r["id"] for r in rows}, len({r["file"] for r in rows}))
+
+    (stream.writeStream.foreachBatch(note).option("checkpointLocation", scratch_path(spark, "uneven-state"))
+     .trigger(availableNow=True).start().awaitTermination())
+    assert [ids for _, (ids, _) in sorted(found.items()) if ids] == [{*range(998)}, {998, 999}]
+    assert found[0][1] == stream_queries.SLICE_FILES
