@@ -14,7 +14,8 @@ its words if they are fewer. Texts of equal sets are copies and go through the j
    these are the classes.
 
 Cases: null texts and texts without words are classes of their own with no link; rows without an id
-have no class; rows of one id and one text are copies; short texts are compared by their
+have no class; rows of one id and one text are copies, those of one id and other texts are
+documents of their own; short texts are compared by their
 only shingle; further columns aren't read. The time for one group of mutual near copies grows with
 the square of its different texts, over as many tasks.
 """
@@ -205,6 +206,10 @@ def _tile(table: pa.Table, threshold: float, least: np.ndarray) -> pa.Table:
                      "least": pa.array([names[r] for r in roots], pa.binary())})
 
 
+def _node(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 def _signed(rows: DataFrame) -> DataFrame:
     """Per document with words: doc_id, node, bands."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +218,7 @@ def _signed(rows: DataFrame) -> DataFrame:
                 sets = shingle_sets(piece)
                 filled = [k for k, s in enumerate(sets) if len(s)]
                 keys = band_keys(signatures([sets[k] for k in filled]))
-                nodes = [hashlib.blake2b(sets[k].tobytes(), digest_size=16).digest() for k in filled]
+                nodes = [_node(sets[k]) for k in filled]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(piece.first, len(piece)).take(pa.array(filled, pa.int64())),
                      pa.array(nodes, pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))],
@@ -224,16 +229,27 @@ def _signed(rows: DataFrame) -> DataFrame:
 
 
 def _with_shingles(rows: DataFrame) -> DataFrame:
-    """The rows with ``shingles`` in place of ``text``, which comes last."""
+    """The rows with ``shingles`` in place of ``text``, which comes last after ``node``, which is first.
+
+    Rows whose text is another one of their id go. Each task gives a node once.
+    """
     last = len(rows.columns) - 1
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: set[bytes] = set()
         for batch in batches:
             for piece in pieces(batch.column(last)):
-                sets = pa.array([s.tobytes() for s in shingle_sets(piece)], pa.binary())
                 part = batch.slice(piece.first, len(piece))
+                kept, sets = [], []
+                for k, (node, found) in enumerate(zip(part.column(0).to_pylist(), shingle_sets(piece))):
+                    if node not in given and node == _node(found):
+                        given.add(node)
+                        kept.append(k)
+                        sets.append(found.tobytes())
+                part = part.take(pa.array(kept, pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:last], sets], [*part.schema.names[:last], "shingles"])
+                    [*part.columns[:last], pa.array(sets, pa.binary())],
+                    [*part.schema.names[:last], "shingles"])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:last])
     return rows.mapInArrow(work, f"{fields}, shingles binary")
@@ -281,7 +297,7 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text",
     info = written(members.groupBy("node").agg(F.count("*").alias("weight"),
                                                F.min("doc_id").alias("least_doc")), "nodes")
     groups = written(candidate_groups(signed), "candidates")
-    # One document of each node brings its shingles; its text is read again for that.
+    # One document of each node brings its shingles; the texts of its id are read again for that.
     wanted = info.join(groups, "node").select("node", "weight", F.col("least_doc").alias("doc_id"))
     held = written(_with_shingles(wanted.join(named, "doc_id").select("node", "weight", "doc_id", "text"))
                    .drop("doc_id"), "shingles")

@@ -87,6 +87,15 @@ def test_join_of_odd_rows(spark, odd):
     assert sorted(r["n_links"] for r in found if r["doc_id"] == 6) == [1, 1]
 
 
+def test_one_id_with_two_texts(spark, documents):
+    """Each text of an id has its own near copies, in whichever order the rows come."""
+    a, b = (" ".join(f"{c}{k}" for k in range(80)) for c in "ab")
+    rows = [(1, a), (1, b), (1, a), (10, a + " more"), (11, b + " more"), (12, "a text like no other here")]
+    for given in (rows, rows[::-1]):
+        found = jaccard_join.near_duplicates(documents(given)).collect()
+        assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in found) == classes_and_links(rows)
+
+
 def test_empty_join(spark, documents):
     assert jaccard_join.near_duplicates(documents([])).count() == 0
 
