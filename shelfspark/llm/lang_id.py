@@ -31,6 +31,10 @@ TOP = 300
 UNKNOWN = "und"
 #: Profiles are collected and broadcast: TOP rows a language.
 MAX_LANGUAGES = 2000
+#: Standard deviations below the mean score of a language's texts at which a text is not in it, and
+#: the texts that such a spread is taken from at least.
+SPREADS = 5
+LEAST_TEXTS = 30
 _POINT_BITS = 21
 #: Distinct n-grams a task gathers before it hands its counts on.
 _GATHER = 1 << 20
@@ -218,10 +222,29 @@ def language_report(docs: DataFrame, doc: str = "doc_id", text: str = "text",
     return predict(rows, learned).drop("text")
 
 
+def least_scores(found: DataFrame, lang_pred: str, score: str, lang: str, limit: str) -> DataFrame:
+    """Per learned language the least score of a text in it: ``SPREADS`` standard deviations below the
+    mean of all training texts whose nearest language is their own; ``found`` holds those texts.
+
+    A language with fewer than ``LEAST_TEXTS`` of them has none.
+    """
+    own = F.col(score)
+    return (found.where(F.col(lang_pred) == F.col(lang)).groupBy(F.col(lang).alias(lang_pred))
+            .agg(F.when(F.count("*") >= LEAST_TEXTS, F.avg(own) - SPREADS * F.stddev_pop(own)).alias(limit)))
+
+
 def keep_known(docs: DataFrame, doc: str = "doc_id", text: str = "text", lang: str = "lang",
                least: float = 0.0) -> DataFrame:
-    """The documents in a known language with a score of ``least`` or more, in their own columns."""
-    name, score = free_name(docs, "lang"), free_name(docs, "score")
-    learned = profiles(docs.where(~held_out(doc)), lang, text)
+    """The documents in a known language, in their own columns.
+
+    Their score is above 0, so that they share an n-gram with the language, not below the least
+    score of the language's training texts (see ``least_scores``), and ``least`` or more.
+    """
+    name, score, limit = (free_name(docs, n) for n in ("nearest", "score", "limit"))
+    taught = docs.where(~held_out(doc))
+    learned = profiles(taught, lang, text)
+    limits = least_scores(predict(taught, learned, text, name, score), name, score, lang, limit)
     found = predict(docs, learned, text, name, score)
-    return found.where((F.col(name) != UNKNOWN) & (F.col(score) >= least)).drop(name, score)
+    enough = (F.col(score) > 0) & (F.col(score) >= F.greatest(F.coalesce(limit, F.lit(0.0)), F.lit(least)))
+    return (found.where(F.col(name) != UNKNOWN).join(F.broadcast(limits), name, "left").where(enough)
+            .drop(name, score, limit))

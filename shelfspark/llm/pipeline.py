@@ -21,7 +21,7 @@ def tokenizer_path() -> str:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the others teach; those without a letter go."""
+    """Documents in a language that the others teach; those too far from every language go."""
     return lang_id.keep_known(docs)
 
 

@@ -125,6 +125,27 @@ def test_language_of_odd_rows(spark, odd, documents):
     assert {r["lang_pred"] for r in lang_id.language_report(nobody).collect()} == {"und"}
 
 
+FOREIGN = {
+    "ru": "Все люди рождаются свободными и равными в своем достоинстве и правах",
+    "zh": "人人生而自由，在尊严和权利上一律平等", "mixed": "Все люди x рождаются свободными и равными",
+    "fi": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan"}
+
+
+def test_unlearned_languages_go(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    english = docs.where("lang = 'en'")
+    for taught, gone in ((docs, ("ru", "zh")), (english, FOREIGN)):
+        foreign = spark.createDataFrame([(-k - 1, FOREIGN[n], None) for k, n in enumerate(gone)], docs.schema)
+        kept = lang_id.keep_known(taught.union(foreign))
+        assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in taught.collect())
+
+
+def test_few_texts_reject_only_what_shares_nothing(spark):
+    rows = [(k, "the same words", "en") for k in range(20)] + [(50, "then other", None), (51, "Ж", None)]
+    kept = lang_id.keep_known(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert {r["doc_id"] for r in kept.collect()} == {*range(20), 50}
+
+
 def test_quality_of_held_out_documents(spark, sf):
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
     found = quality_fm.quality_report(docs, labels)
