@@ -101,3 +101,24 @@ def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
     from shelfspark.llm.token_files import file_report
 
     return file_report(_table(spark, folder, "documents"), _words_49k())
+
+
+@_register
+def op11_byte_shards(spark: SparkSession, folder: str) -> DataFrame:
+    from shelfspark.llm.byte_shards import shard_report
+
+    return shard_report(_table(spark, folder, "documents"))
+
+
+@_register
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    from shelfspark.llm.hard_negatives import hard_negatives
+
+    return hard_negatives(_table(spark, folder, "embeddings"))
+
+
+@_register
+def op13_sharded_kmeans(spark: SparkSession, folder: str) -> DataFrame:
+    from shelfspark.llm.sharded_kmeans import lloyd
+
+    return lloyd(_table(spark, folder, "embeddings"))
