@@ -16,9 +16,8 @@ import unicodedata
 from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
 
-from shelfspark.llm.spans import Piece, Rolling, mix
+from shelfspark.llm.spans import Piece, Rolling, distinct_spans, mix
 
 _NEVER = np.int64(1 << 40)
 _FILTER_BITS = 20
@@ -116,6 +115,20 @@ class Vocabulary:
                 apart[maybe[joins]] = False
         return apart
 
+    def stays_apart(self, first: int, second: int) -> bool:
+        """``compatible`` for one pair."""
+        (left, left_until), (right, right_until) = self.right_edge, self.left_edge
+        for a, a_until in zip(left[first].tolist(), left_until[first].tolist()):
+            if a < 0:
+                break
+            for b, b_until in zip(right[second].tolist(), right_until[second].tolist()):
+                if b < 0:
+                    break
+                found = self.merges.get(a * self.size + b)
+                if found and max(self.rank[a], self.rank[b]) < found[0] < a_until and found[0] <= b_until:
+                    return False
+        return True
+
     def merged(self, word: bytes, closed: bool = True) -> list[int]:
         """Exact merging: the lowest rank first, equal ranks from the left."""
         ids = [self.base[b] for b in word]
@@ -215,7 +228,8 @@ class Splitter:
         return text.lower()
 
     def split(self, piece: Piece) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The joined normal texts; starts and ends of words; their hashes; words before each text."""
+        """The joined normal texts; for each word the number of its distinct word; starts and ends
+        of the distinct words; words before each text."""
         raw, edges = piece.bytes.tobytes(), piece.edges.tolist()
         texts = [self.normal(raw[a:b - 1].decode()) for a, b in zip(edges, edges[1:])]
         joined = "\n".join([*texts, ""])
@@ -229,7 +243,8 @@ class Splitter:
         starts, ends = self._contractions(points, kind, starts[solid], ends[solid])
         hashes = Rolling(mix(points.astype(np.uint64) + np.uint64(1))).of(starts, ends)
         text_starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        return joined, starts, ends, hashes, np.searchsorted(starts, text_starts)
+        codes, first = distinct_spans(points, starts, ends, hashes)
+        return joined, codes, starts[first], ends[first], np.searchsorted(starts, text_starts)
 
     @staticmethod
     def _contractions(points, kind, starts, ends):
@@ -265,12 +280,8 @@ class Memo:
     def __call__(self, piece: Piece) -> tuple[np.ndarray, list, np.ndarray]:
         """Per word of the piece the number of its distinct word; what is derived from each
         distinct word; the words before each text."""
-        joined, starts, ends, hashes, bounds = self.splitter.split(piece)
-        coded = pa.array(hashes).dictionary_encode()
-        codes = coded.indices.to_numpy()
-        first = np.empty(len(coded.dictionary), np.int64)
-        first[codes[::-1]] = np.arange(len(codes))[::-1]
-        words = [joined[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
+        joined, codes, starts, ends, bounds = self.splitter.split(piece)
+        words = [joined[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
         if len(self.known) > MEMO_WORDS:
             self.known.clear()
         known, special = self.known, self.splitter.special

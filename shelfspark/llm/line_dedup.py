@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfspark.llm.frames import free_name, written
-from shelfspark.llm.spans import FOLDED, LOWER, SPACE_BYTES, Piece, Rolling, pieces
+from shelfspark.llm.spans import FOLDED, LOWER, SPACE_BYTES, Piece, Rolling, agree, pieces
 
 MIN_CHARS = 10
 #: Bits of the filters for each line, and at most.
@@ -56,7 +56,8 @@ class Lines:
         chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
         self.counts = chars[self.key_ends] - chars[self.key_starts] >= min_chars
         self.hashes = Rolling(FOLDED[data]).of(self.key_starts, self.key_ends)
-        self.lower = LOWER[data].tobytes()
+        self.letters = LOWER[data]
+        self.lower = self.letters.tobytes()
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray]:
         """Index and text of one line for each counting key of each text."""
@@ -66,6 +67,10 @@ class Lines:
         index, owner = index[order], owner[order]
         fresh = np.ones(len(index), bool)
         fresh[1:] = (owner[1:] != owner[:-1]) | (self.hashes[index[1:]] != self.hashes[index[:-1]])
+        # A line that only shares its hash with the first of its run is named as well.
+        first = index[np.maximum.accumulate(np.where(fresh, np.arange(len(index)), 0))]
+        fresh |= ~agree(self.letters, self.key_starts[index], self.key_ends[index],
+                        self.key_starts[first], self.key_ends[first])
         return index[fresh], owner[fresh]
 
     def digest(self, i: int) -> bytes:

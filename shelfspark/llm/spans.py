@@ -2,9 +2,11 @@
 
 A column is cut into pieces of bounded size. In a piece every text ends with one line feed, so
 neither a word nor a line runs over into the next text. Hashes are differences of running sums:
-the hash of bytes s..e is (sum of value * M**i over s..e) * M**-s modulo 2**64, which costs a few
-array operations per byte and nothing per word. Equal content has an equal hash; callers that
-need certainty compare the content of the few that match.
+the hash of bytes s..e is (sum of value * M**i over s..e) * M**-s modulo the prime 2**61 - 1, which
+costs some array operations per byte and few per word. (Modulo a power of two, whatever M is, long
+strings of two letters in Thue-Morse order and their letter-swapped twins would collide.) Equal
+content has an equal hash; where different content must never pass for equal, ``distinct_spans`` and
+``agree`` compare every occurrence with its representative.
 """
 
 from __future__ import annotations
@@ -16,18 +18,46 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 PIECE_BYTES = 1 << 21
-_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_PRIME = np.uint64((1 << 61) - 1)
+_MULTIPLIER = 0x1E3779B97F4A7C15 % ((1 << 61) - 1)
+_INVERSE = pow(_MULTIPLIER, -1, (1 << 61) - 1)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_B29, _B30, _B31, _B32, _B61 = (np.uint64(n) for n in (29, 30, 31, 32, 61))
+_LOW29, _LOW30, _LOW31, _LOW32 = ((np.uint64(1) << n) - np.uint64(1) for n in (_B29, _B30, _B31, _B32))
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """Below the prime, for any 64-bit value."""
+    x = (x & _PRIME) + (x >> _B61)
+    return np.where(x >= _PRIME, x - _PRIME, x)
+
+
+def _times(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Products modulo the prime of values below it, in halves of 31 bits."""
+    xh, xl, yh, yl = x >> _B31, x & _LOW31, y >> _B31, y & _LOW31
+    middle = xh * yl + xl * yh
+    # 2**62 is 2 and 2**61 is 1; the four terms together stay below 2**64.
+    return _reduced(((xh * yh) << np.uint64(1)) + (middle >> _B30) + ((middle & _LOW30) << _B31) + xl * yl)
+
+
+def _running(terms: np.ndarray) -> np.ndarray:
+    """Running sums modulo the prime; halves add up without overflow to 2**31 terms."""
+    high = _reduced(np.cumsum(terms >> _B32))
+    return _reduced((high >> _B29) + ((high & _LOW29) << _B32) + _reduced(np.cumsum(terms & _LOW32)))
 
 
 def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
         size = max(n, PIECE_BYTES + 1024)
         for slot, base in enumerate((_MULTIPLIER, _INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[slot] = np.cumprod(steps)
+            steps = np.ones(size, np.uint64)
+            done = 1
+            while done < size:
+                more = min(done, size - done)
+                factor = np.uint64(pow(base, done, int(_PRIME)))
+                steps[done:done + more] = _times(steps[:more], np.full(more, factor))
+                done += more
+            _powers[slot] = steps
     return _powers[0][:n], _powers[1][:n]
 
 
@@ -46,10 +76,55 @@ class Rolling:
     def __init__(self, values: np.ndarray) -> None:
         ups, self.downs = _powers_to(len(values) + 1)
         self.sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * ups[: len(values)], out=self.sums[1:])
+        self.sums[1:] = _running(_times(_reduced(values), ups[:len(values)]))
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.sums[ends] - self.sums[starts]) * self.downs[starts])
+        between = _reduced(self.sums[ends] + (_PRIME - self.sums[starts]))
+        return mix(_times(between, self.downs[starts]))
+
+
+def agree(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other_starts: np.ndarray,
+          other_ends: np.ndarray) -> np.ndarray:
+    """Whether each stretch has the same content as the other one beside it."""
+    sizes = ends - starts
+    same = sizes == other_ends - other_starts
+    todo = np.flatnonzero(same & (starts != other_starts) & (sizes > 0))
+    low = 0
+    while low < len(todo):
+        # About a million elements at a time.
+        part = todo[low:low + 200_000]
+        total = np.cumsum(sizes[part])
+        part = part[:max(1, int(np.searchsorted(total, 1 << 20)))]
+        size = sizes[part]
+        begins = np.cumsum(size) - size
+        step = np.arange(int(size.sum()))
+        a = data[step + np.repeat(starts[part] - begins, size)]
+        b = data[step + np.repeat(other_starts[part] - begins, size)]
+        same[part] = ~np.logical_or.reduceat(a != b, begins)
+        low += len(part)
+    return same
+
+
+def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray
+                   ) -> tuple[np.ndarray, np.ndarray]:
+    """For each stretch the number of its content, and a stretch for each of these numbers.
+
+    Stretches that share a hash with other content get numbers of their own.
+    """
+    coded = pa.array(hashes).dictionary_encode()
+    codes = coded.indices.to_numpy().copy()
+    first = np.empty(len(coded.dictionary), np.int64)
+    first[codes[::-1]] = np.arange(len(codes))[::-1]
+    apart = np.flatnonzero(~agree(data, starts, ends, starts[first][codes], ends[first][codes]))
+    more: dict[bytes, int] = {}
+    extra = []
+    for i in apart.tolist():
+        content = data[starts[i]:ends[i]].tobytes()
+        if content not in more:
+            more[content] = len(first) + len(extra)
+            extra.append(i)
+        codes[i] = more[content]
+    return codes, np.concatenate((first, np.array(extra, np.int64)))
 
 
 def _byte_values() -> np.ndarray:
