@@ -54,6 +54,39 @@ def test_ids_of_any_text(vocabulary, library, text):
     assert encoded(vocabulary, [text]) == wanted(library, [text])
 
 
+def test_strings_that_fool_hashes_modulo_powers_of_two(spark, documents, tokenizer, vocabulary, library):
+    one = "".join("ab"[bin(k).count("1") % 2] for k in range(2048))
+    other = one.translate(str.maketrans("ab", "ba"))
+    texts = [f"{one} and {other}", other, one, f"{other} {one}"]
+    want = wanted(library, texts)
+    assert encoded(vocabulary, texts) == want
+    docs = documents(enumerate(texts))
+    counts = token_counts.count_report(docs, tokenizer).collect()
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in counts) == [(i, len(x)) for i, x in enumerate(want)]
+    files = token_files.file_report(docs, tokenizer).collect()
+    assert sorted((r["doc_id"], r["ids_crc32"]) for r in files) == [
+        (i, zlib.crc32(np.array([*x, 1], "<u4").tobytes())) for i, x in enumerate(want)]
+
+
+def test_words_that_share_a_hash_are_told_apart():
+    from shelfspark.llm.spans import distinct_spans
+
+    data = np.frombuffer(b"onetwoonesixtwo", np.uint8)
+    starts = np.arange(0, 15, 3)
+    codes, first = distinct_spans(data, starts, starts + 3, np.zeros(5, np.uint64))
+    words = [data[s:s + 3].tobytes() for s in starts[first]]
+    assert [words[c] for c in codes] == [b"one", b"two", b"one", b"six", b"two"]
+    assert len(words) == 3
+
+
+def test_long_words_are_counted(vocabulary):
+    counter = token_counts.PrefixCounter(vocabulary)
+    draw = random.Random(8)
+    words = ["".join(draw.choice("abcdefinrst") for _ in range(n)).encode() for n in (511, 512, 513, 3000)]
+    words += [b"x" * 2000, b"ab" * 900, b"a"]
+    assert counter.wholes(words) == [len(vocabulary.merged(w)) for w in words]
+
+
 def test_compatible_pairs_are_those_that_stay_apart(vocabulary):
     draw = np.random.default_rng(1)
     inner = sorted(vocabulary.inner.items(), key=lambda x: x[1])
