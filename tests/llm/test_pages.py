@@ -58,3 +58,49 @@ def test_articles_of_the_table(spark, sf):
 
 def test_no_pages(spark):
     assert texts(spark, []) == {}
+
+
+def test_all_main_text_beside_an_inner_region_stays():
+    body = "entry words " * 60
+    page = (f"<body><div class=post><div class=entry><p>{body}</p></div><blockquote>A quotation of some"
+            "</blockquote><ul><li>first thing<li>second thing</ul><h3>A heading</h3><table><tr><td>a cell"
+            "<td>b</table><pre>code</pre></div><nav><a href=/>Home</a></nav></body>")
+    assert Page(page).main_text(None).split("\n\n") == [
+        body.strip(), "A quotation of some", "first thing", "second thing", "A heading", "a cell", "b", "code"]
+
+
+def test_a_class_that_only_sounds_like_a_notice():
+    body = "the court decided " * 40
+    page = f'<body><div class="post legal-news"><p>{body}</p></div><div class=sidebar><p>Short other text</p></div>'
+    assert Page(page).main_text(None) == body.strip()
+    page = (f"<article><p>{body}</p><div class='related-work'><p>Others have done this before.</p></div>"
+            "<div class=related-posts><a href=/1>One more post</a> <a href=/2>Another post</a></div></article>")
+    assert Page(page).main_text(None) == f"{body.strip()}\n\nOthers have done this before."
+
+
+def test_winning_path_does_not_drop_the_rest(spark):
+    page = "<body><div class=wrap><div class=one><p>{0}</p></div><div class=two><p>{1}</p></div></div></body>"
+    rows = [(k, f"http://h.example/{k}", page.format("first part " * 40, "x")) for k in range(6)]
+    rows.append((9, "http://h.example/9", page.format("first part " * 40, "second part " * 35)))
+    found = texts(spark, rows)
+    assert found[9] == ("first part " * 40).strip() + "\n\n" + ("second part " * 35).strip()
+
+
+def test_deep_and_long_pages_take_time_in_proportion():
+    import time
+
+    for page in ("<div><p>" * 50_000 + "text", "<ul>" + "<div>" * 20_000 + "<li>x</li>" * 20_000,
+                 "<div><section>" * 30_000 + "</article>" * 30_000, "<p>word " * 100_000):
+        start = time.perf_counter()
+        kept = Page(page)
+        assert kept.main_text(kept.path(kept.candidate())) is not None
+        assert time.perf_counter() - start < 4
+
+
+def test_further_columns(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(1, "http://a.example", "<p>one</p>")], SCHEMA)
+    for name in ("host", "winner", "text", "n_chars", "path"):
+        rows = rows.withColumn(name, F.lit("mine"))
+    assert [tuple(r) for r in extract(rows).collect()] == [(1, "http://a.example", "one", 3)]
