@@ -6,8 +6,9 @@ its words if they are fewer. Texts of equal sets are copies and go through the j
 1. Signatures of MinHash values are cut into bands; nodes that share a band are candidates. At a
    similarity of 0.8 a pair shares none of them with a probability of 3e-6.
 2. Nodes connected by candidacy meet in tiles: a small group is one of several in a tile, a large one
-   is cut into blocks, and each pair of blocks is a tile. Nothing is emitted per pair.
-3. In a tile the values of a pair are compared ``STEP`` at a time; the pair is dropped as soon as the
+   is cut into blocks, and a pair of blocks is a tile for those nodes that share a band with a node of
+   the other block. Nothing is emitted per pair.
+3. In a tile only pairs that share a band are compared, ``STEP`` values at a time; a pair is dropped as soon as the
    posterior probability (uniform prior) of a similarity of ``threshold`` falls below
    ``TOLERANCE``. Those that remain are verified exactly by products of their sets' incidences.
 4. A tile reports for each node its links and the least node it is linked with; components of
@@ -16,8 +17,9 @@ its words if they are fewer. Texts of equal sets are copies and go through the j
 Cases: null texts and texts without words are classes of their own with no link; rows without an id
 have no class; rows of one id and one text are copies, those of one id and other texts are
 documents of their own; short texts are compared by their
-only shingle; further columns aren't read. The time for one group of mutual near copies grows with
-the square of its different texts, over as many tasks.
+only shingle; further columns aren't read. The time for one group of texts that all share bands with
+each other grows with the square of its different texts, over as many tasks; in a chain of texts
+that share bands with their neighbours only it grows with the chain.
 """
 
 from __future__ import annotations
@@ -146,10 +148,18 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return sizes
 
 
-def linked_pairs(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, threshold: float,
-                 least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def candidates(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of rows that have a key in common in some band."""
+    shared = np.zeros((len(keys), len(keys)), bool)
+    for band in keys.T:
+        shared |= band[:, None] == band[None, :]
+    return np.nonzero(np.triu(shared, 1))
+
+
+def linked_pairs(sets: list[np.ndarray], signed: np.ndarray, a: np.ndarray, b: np.ndarray,
+                 threshold: float, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of the pairs, those whose Jaccard similarity is at least ``threshold``."""
-    a, b = prune(signatures(sets), a, b, least)
+    a, b = prune(signed, a, b, least)
     if not len(a):
         return a, b
     used, index = np.unique(np.concatenate((a, b)), return_inverse=True)
@@ -175,7 +185,7 @@ def _group(total: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _tile(table: pa.Table, threshold: float, least: np.ndarray) -> pa.Table:
-    """Links and least linked node of a tile's nodes; rows of one node count once."""
+    """Links, least linked node and compared pairs of a tile's nodes; rows of one node count once."""
     table = table.combine_chunks()
     nodes, groups, blocks = (table[c].to_pylist() for c in ("node", "root", "block"))
     first = {n: k for k, n in reversed(list(enumerate(nodes)))}
@@ -185,25 +195,30 @@ def _tile(table: pa.Table, threshold: float, least: np.ndarray) -> pa.Table:
     sets = [np.frombuffer(table["shingles"][k].as_buffer(), np.uint64) for k in order]
     blocks = np.array([blocks[k] for k in order])
     groups = [groups[k] for k in order]
+    signed = signatures(sets)
+    keys = band_keys(signed)
     links, roots = np.zeros(len(order), np.int64), np.arange(len(order))
+    compared = np.zeros(len(order), np.int64)
     low = 0
     while low < len(order):
         high = low + 1
         while high < len(order) and groups[high] == groups[low]:
             high += 1
-        a, b = np.triu_indices(high - low, 1)
+        a, b = candidates(keys[low:high])
         if i != j:
             apart = blocks[low:high][a] != blocks[low:high][b]
             a, b = a[apart], b[apart]
         if len(a):
-            a, b = linked_pairs(sets[low:high], a, b, threshold, least)
+            np.add.at(compared, a + low, 1)
+            a, b = linked_pairs(sets[low:high], signed[low:high], a, b, threshold, least)
             np.add.at(links, a + low, weights[b + low])
             np.add.at(links, b + low, weights[a + low])
             roots[low:high] = _group(high - low, a, b) + low
         low = high
     names = [nodes[k] for k in order]
     return pa.table({"node": pa.array(names, pa.binary()), "links": pa.array(links),
-                     "least": pa.array([names[r] for r in roots], pa.binary())})
+                     "least": pa.array([names[r] for r in roots], pa.binary()),
+                     "compared": pa.array(compared)})
 
 
 def _node(shingles: np.ndarray) -> bytes:
@@ -255,33 +270,49 @@ def _with_shingles(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(work, f"{fields}, shingles binary")
 
 
-def candidate_groups(signed: DataFrame) -> DataFrame:
-    """``node`` and ``root`` of the nodes that share a band with another, transitively."""
+def shared_keys(signed: DataFrame) -> DataFrame:
+    """``node``, ``key`` and ``head``, the least node with that key, for keys of two nodes or more."""
     keys = written(signed.groupBy("node").agg(F.any_value("bands").alias("bands"))
                    .select("node", F.explode("bands").alias("key")), "bands")
     heads = written(keys.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("tail"))
                     .where("head <> tail").select("key", "head"), "band-heads")
-    return components(keys.join(heads, "key").where("node <> head").select("node", "head"),
-                      "node", "head")
+    return written(keys.join(heads, "key"), "shared-bands")
+
+
+def candidate_groups(shared: DataFrame) -> DataFrame:
+    """``node`` and ``root`` of the nodes that share a band with another, transitively."""
+    return components(shared.where("node <> head").select("node", "head"), "node", "head")
 
 
-def tiles(nodes: DataFrame, groups: DataFrame, block: int = BLOCK) -> DataFrame:
+def tiles(nodes: DataFrame, groups: DataFrame, shared: DataFrame, block: int = BLOCK) -> DataFrame:
     """The nodes once for each tile they are in: t, i, j, block, root and their own columns."""
     sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
     sized = written(groups.join(sizes, "root"), "groups")
-    packs = max(1, sized.where(F.col("size") <= block).count() // block)
-    n = F.ceil(F.col("size") / F.lit(block)).cast("int")
-    own = F.pmod(F.xxhash64("node"), n).cast("int")
-    small = F.col("size") <= block
+    small, large = sized.where(F.col("size") <= block), sized.where(F.col("size") > block)
+    packs = max(1, small.count() // block)
     pack = F.pmod(F.xxhash64("root"), F.lit(packs)).cast("int")
-    placed = nodes.join(sized, "node").withColumn("block", F.when(small, 0).otherwise(own))
-    placed = placed.withColumn("other", F.explode(
-        F.when(small, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), n - 1))))
-    return placed.select(
-        F.when(small, F.lit(b"")).otherwise(F.col("root")).alias("t"),
-        F.when(small, pack).otherwise(F.least("block", "other")).alias("i"),
-        F.when(small, pack).otherwise(F.greatest("block", "other")).alias("j"),
-        "node", "root", "block", "weight", "shingles")
+    together = small.select("node", "root", F.lit(b"").alias("t"), pack.alias("i"), pack.alias("j"),
+                            F.lit(0).alias("block"))
+    n = F.ceil(F.col("size") / F.lit(block)).cast("int")
+    placed = written(shared.select("node", "key").join(
+        large.select("node", "root", F.pmod(F.xxhash64("node"), n).cast("int").alias("block")), "node"),
+        "large-groups")
+    # For each node the blocks that hold a node with one of its keys; keys are few blocks wide.
+    others = placed.select("key", F.col("block").alias("other")).distinct()
+    apart = placed.join(others, "key").select("node", "root", "block", "other").distinct().select(
+        "node", "root", F.col("root").alias("t"), F.least("block", "other").alias("i"),
+        F.greatest("block", "other").alias("j"), "block")
+    return nodes.join(written(together.unionByName(apart), "tiles"), "node").select(
+        "t", "i", "j", "node", "root", "block", "weight", "shingles")
+
+
+def linked(nodes: DataFrame, groups: DataFrame, shared: DataFrame, threshold: float = THRESHOLD,
+           block: int = BLOCK) -> DataFrame:
+    """For each node of each tile: links, the least node it is linked with, and compared pairs."""
+    least = least_matches(threshold)
+    return (tiles(nodes, groups, shared, block).groupBy("t", "i", "j")
+            .applyInArrow(lambda table: _tile(table, threshold, least),
+                          "node binary, links long, least binary, compared long"))
 
 
 def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text",
@@ -296,16 +327,13 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text",
     members = signed.select("doc_id", "node")
     info = written(members.groupBy("node").agg(F.count("*").alias("weight"),
                                                F.min("doc_id").alias("least_doc")), "nodes")
-    groups = written(candidate_groups(signed), "candidates")
+    shared = shared_keys(signed)
+    groups = written(candidate_groups(shared), "candidates")
     # One document of each node brings its shingles; the texts of its id are read again for that.
     wanted = info.join(groups, "node").select("node", "weight", F.col("least_doc").alias("doc_id"))
     held = written(_with_shingles(wanted.join(named, "doc_id").select("node", "weight", "doc_id", "text"))
                    .drop("doc_id"), "shingles")
-    least = least_matches(threshold)
-    found = written(
-        tiles(held, groups, block).groupBy("t", "i", "j")
-        .applyInArrow(lambda table: _tile(table, threshold, least), "node binary, links long, least binary"),
-        "links")
+    found = written(linked(held, groups, shared, threshold, block), "links")
     roots = components(found, "node", "least")
     classes = (info.join(found.groupBy("node").agg(F.sum("links").alias("links")), "node", "left")
                .join(roots, "node", "left")

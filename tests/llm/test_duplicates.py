@@ -78,6 +78,43 @@ def test_groups_larger_than_a_block(spark, documents):
     assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in found) == classes_and_links(rows)
 
 
+def chain(n, words=40, step=12):
+    """Texts that overlap with their neighbours by less than the threshold."""
+    return [(k, " ".join(f"w{i}" for i in range(k * step, k * step + words))) for k in range(n)]
+
+
+def test_a_chain_is_compared_along_its_candidates(spark, documents):
+    rows = chain(300, 60, 6)
+    signed = jaccard_join._signed(documents(rows).select("doc_id", "text"))
+    shared = jaccard_join.shared_keys(signed)
+    keys = defaultdict(set)
+    for r in shared.collect():
+        keys[r["key"]].add(r["node"])
+    pairs = {(a, b) for nodes in keys.values() for a in nodes for b in nodes if a < b}
+    held = jaccard_join._with_shingles(signed.select("node", "doc_id").join(documents(rows), "doc_id").selectExpr(
+        "node", "1L AS weight", "doc_id", "text")).drop("doc_id")
+    groups = jaccard_join.candidate_groups(shared)
+    for block in (1000, 32):
+        found = jaccard_join.linked(held, groups, shared, block=block).collect()
+        assert sum(r["compared"] for r in found) == len(pairs) < 300 * 20
+    got = [tuple(r) for r in jaccard_join.near_duplicates(documents(rows), block=32).collect()]
+    assert sorted(got) == classes_and_links(rows)
+
+
+def thue_morse(n):
+    """Two-letter strings that collide in polynomial hashes modulo powers of two."""
+    text = "".join("ab"[bin(k).count("1") % 2] for k in range(n))
+    return text, text.translate(str.maketrans("ab", "ba"))
+
+
+def test_strings_that_fool_hashes_modulo_powers_of_two(spark, documents):
+    one, other = thue_morse(2048)
+    rows = [(1, f"{one}\nsame line here"), (2, f"{other}\nsame line here"), (3, f"{one}\n{other}"), (4, other)]
+    check_lines(documents, rows)
+    found = [tuple(r) for r in jaccard_join.near_duplicates(documents(rows)).collect()]
+    assert sorted(found) == classes_and_links(rows)
+
+
 def test_join_of_odd_rows(spark, odd):
     found = jaccard_join.near_duplicates(odd).collect()
     assert len(found) == odd.count()
