@@ -7,8 +7,8 @@ so buckets with little evidence say little. A document's score is the mean over
 logarithm of the ratio of the two, and every document with a score of at least ``threshold`` is kept
 that didn't fail the base rules. Nothing is drawn at random.
 
-The trusted documents are those labelled good and not toxic, at most ``TRUSTED_ROWS`` of them, by
-the smallest hashes of their ids. The corpus counts cover all documents.
+The trusted documents are all those labelled good and never bad or toxic; both multinomials count
+whole texts of all their documents.
 
 Cases: null and empty texts have no words and fail the base rules, with score 0; trusted ids may
 repeat; without a trusted document every score is 0 and the base rules alone decide; repeated rows
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from shelfspark.session import materialise
 
 BUCKETS = 1 << 16
-#: The bound of the labelled sample, which is broadcast.
-TRUSTED_ROWS = 50_000
+#: Up to so many trusted ids (some 50 MB in a hash table) are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 PSEUDO_COUNT = 2.0
 THRESHOLD = -0.08
 MIN_WORDS = 50
@@ -107,11 +107,12 @@ def bucket_ratios(hashed: DataFrame, trusted: DataFrame, buckets: int = BUCKETS,
                   pseudo: float = PSEUDO_COUNT) -> DataFrame:
     """``bucket`` and ``ratio``, the logarithm of the ratio of both multinomials in millionths.
 
-    ``trusted`` holds the ids (``doc_id``) of the trusted documents, a bounded number. Whole
-    millionths make sums of ratios the same in any order.
+    ``trusted`` holds the ids (``doc_id``) of the trusted documents, each once. Whole millionths make
+    sums of ratios the same in any order.
     """
-    marked = hashed.select("doc_id", "hashes").join(
-        F.broadcast(trusted.withColumn("good", F.lit(1))), "doc_id", "left")
+    good = materialise(trusted.withColumn("good", F.lit(1)))
+    good = F.broadcast(good) if good.count() <= BROADCAST_IDS else good
+    marked = hashed.select("doc_id", "hashes").join(good, "doc_id", "left")
     grams = marked.select("good", F.explode(grams_of(F.col("hashes"))).alias("gram"))
     counts = materialise(grams.groupBy(bucket_of(F.col("gram"), buckets).alias("bucket")).agg(
         F.count("*").alias("raw"), F.count("good").alias("target")))
@@ -121,12 +122,11 @@ def bucket_ratios(hashed: DataFrame, trusted: DataFrame, buckets: int = BUCKETS,
     return counts.select("bucket", F.round(ratio * MILLION).cast("long").alias("ratio"))
 
 
-def trusted_ids(labels: DataFrame, doc: str = "doc_id", limit: int = TRUSTED_ROWS) -> DataFrame:
-    """Ids labelled good and never bad or toxic; at most ``limit``, by their hashes."""
+def trusted_ids(labels: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Ids labelled good and never bad or toxic."""
     agreed = labels.where(F.col(doc).isNotNull()).groupBy(F.col(doc).alias("doc_id")).agg(
         F.min("quality").alias("q"), F.max("toxic").alias("t"))
-    return (agreed.where("q = 1 AND coalesce(t, 0) = 0").select("doc_id")
-            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit))
+    return agreed.where("q = 1 AND coalesce(t, 0) = 0").select("doc_id")
 
 
 def rule_report(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text",
