@@ -141,8 +141,9 @@ def profiles(docs: DataFrame, lang: str = "lang", text: str = "text", top: int =
     counted = (docs.where(F.col(lang).isNotNull()).select(lang, text)
                .mapInArrow(count, "lang string, gram long, n long")
                .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    return (counted.withColumn("place", F.row_number().over(order) - 1)
-            .where(F.col("place") < top).select("lang", "gram", "place"))
+    # Compared as it is, so that Spark keeps the first rows of a language before it shuffles.
+    first = counted.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
+    return first.select("lang", "gram", (F.col("place") - 1).alias("place"))
 
 
 class Profiles:
