@@ -1,4 +1,10 @@
-"""The stages of the corpus pipeline: each takes all documents that its predecessor kept."""
+"""The stages of the corpus pipeline: each takes all documents that its predecessor kept.
+
+Rows with a null id, language or text, empty texts and repeated rows are handled as the stages'
+operators say: null and empty texts have no language and go in the first stage; rows without an id
+keep all their lines and are never near duplicates; rows of one id stay or go together. Empty tables
+pass, and so do further columns.
+"""
 
 from __future__ import annotations
 
@@ -26,8 +32,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with lines kept in the first document that holds them; none goes."""
+    """Documents with lines kept in the first document that holds them; none goes.
+
+    ``n_chars``, where there is such a column, is counted again.
+    """
     short = line_dedup.dedup_lines(docs)
+    if "n_chars" not in docs.columns:
+        return short
     return short.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
@@ -42,8 +53,9 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of each document in place of its text."""
-    coded = encode.encode(docs, tokenizer_path())
+    """The ids of each document in place of its text: ``ids`` and ``n_tokens``, which take the place
+    of columns that are named so."""
+    coded = encode.encode(docs.drop("ids", "n_tokens"), tokenizer_path())
     return coded.withColumn("n_tokens", F.size("ids").cast("long")).drop("text")
 
 
