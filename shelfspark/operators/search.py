@@ -19,21 +19,15 @@ from shelfspark.functions.vectors import hashed_embedder
 from shelfspark.operators.embeddings import knn_topk
 from shelfspark.operators.filters import matches
 from shelfspark.operators.ranks import spread_join, top_k
+from shelfspark.operators.text_index import B, K1, StoredIndex, searchable_text, top_documents
+from shelfspark.sources.catalog import CatalogTable
 
-K1, B = 1.2, 0.75
 POOL = 50
 SORT_POOL = 50
 SORT_KEYS = {"price_asc": ("price", False), "price_desc": ("price", True),
              "rating_desc": ("rating", True)}
 
 
-def searchable_text() -> Column:
-    """The keyword fields of a stored product as one text."""
-    parts = [F.nullif(F.col(c), F.lit("")) for c in
-             ("sku", "title", "description", "brand", "attributes_text")]
-    return F.concat_ws(" ", *parts)
-
-
 def query_terms(queries: DataFrame) -> DataFrame:
     """Distinct terms per query."""
     return exploded(queries.select("qid", "tenant", F.array_distinct(
@@ -190,26 +184,32 @@ def plan_queries(queries: DataFrame, merchants: DataFrame | None = None,
 
 
 def candidate_lists(queries: DataFrame, docs: DataFrame, embedder=None, depth: int = POOL,
-                    index: DataFrame | None = None, depths: DataFrame | None = None) -> DataFrame:
+                    index: DataFrame | None = None, depths: DataFrame | None = None,
+                    stored: StoredIndex | None = None) -> DataFrame:
     """Scaled keyword and vector lists of all queries, cut as ``scaled_lists`` says.
 
     docs: tenant, sku, text and optionally tokens, embedding and the filter fields; what the
     catalog already stores (also ``index``, its saved postings) is not computed again. With a
     ``filters`` column the filters apply before either list is cut, while term statistics
-    stay those of the whole tenant.
+    stay those of the whole tenant. With a ``stored`` index only the documents that may be
+    among a query's ``depth`` best are scored, and nothing is tokenised.
     """
     embed = embedder or hashed_embedder()
     if "embedding" not in docs.columns:
         docs = docs.withColumn("embedding", embed("text"))
     if "embedding" not in queries.columns:
         queries = queries.withColumn("embedding", embed("query"))
-    keyword = bm25(queries, docs, index)
+    best = lambda asked, allowed=None: top_documents(asked, stored, depth, allowed).drop("rank")
     if "filters" not in queries.columns:
+        keyword = best(queries) if stored else bm25(queries, docs, index)
         return scaled_lists(keyword, vector_search(queries, docs, depth), depth, depths)
     asked = scopes(queries)
     allowed = scoped_products(asked, docs.drop("text"))
-    keyword = keyword.join(asked.select("qid", "scope"), "qid").join(
-        allowed.select("scope", "sku"), ["scope", "sku"], "left_semi").drop("scope")
+    if stored:
+        keyword = best(asked, allowed)
+    else:
+        keyword = bm25(queries, docs, index).join(asked.select("qid", "scope"), "qid").join(
+            allowed.select("scope", "sku"), ["scope", "sku"], "left_semi").drop("scope")
     vector = vector_search(asked.select("qid", F.col("scope").alias("tenant"), "embedding"),
                            allowed.select(F.col("scope").alias("tenant"), "sku", "embedding"),
                            depth)
@@ -219,7 +219,7 @@ def candidate_lists(queries: DataFrame, docs: DataFrame, embedder=None, depth: i
 
 def search(queries: DataFrame, docs: DataFrame, merchants: DataFrame | None = None,
            embedder=None, scorer=lexical_pair_score, top: int = POOL,
-           index: DataFrame | None = None, **options) -> DataFrame:
+           index: DataFrame | None = None, stored: StoredIndex | None = None, **options) -> DataFrame:
     """Hits of every query: qid, tenant, sku, rank, score, rank_before_rerank, rerank_score,
     query_class, alpha_used, reranked, retrieved_count (candidates before the limit).
 
@@ -228,7 +228,7 @@ def search(queries: DataFrame, docs: DataFrame, merchants: DataFrame | None = No
     """
     planned = plan_queries(queries, merchants, **options)
     depths, depth = pool_depths(planned, top)
-    lists = candidate_lists(queries, docs, embedder, depth, index, depths)
+    lists = candidate_lists(queries, docs, embedder, depth, index, depths, stored)
     settings = planned.select("qid", "query", "query_class", "alpha_used", "do_rerank", "limit")
     fused = fuse(lists.join(settings, "qid"), F.col("alpha_used"))
     best = top_k(fused, ["qid"], [F.desc("score"), F.asc("sku")], depth)
@@ -247,6 +247,12 @@ def search(queries: DataFrame, docs: DataFrame, merchants: DataFrame | None = No
                        F.col("do_rerank").alias("reranked"), "retrieved_count")
 
 
+def search_catalog(queries: DataFrame, store: CatalogTable, **options) -> DataFrame:
+    """``search`` over a stored catalog that keeps an index and embeddings."""
+    docs = store.scan().withColumn("text", searchable_text())
+    return search(queries, docs, stored=store.index(), **options)
+
+
 def responses(queries: DataFrame, hits: DataFrame, **options) -> DataFrame:
     """One row per query, also for queries without hits."""
     planned = plan_queries(queries, **options)
