@@ -7,7 +7,7 @@ from importlib import import_module
 from shelfspark.plans.registry import ORACLES, QUERIES
 
 MODULES = ("feed_queries", "catalog_queries", "quality_queries", "search_queries",
-           "evaluation_queries", "answer_queries", "telemetry_queries", "stream_queries")
+           "evaluation_queries", "answer_queries", "telemetry_queries", "stream_queries", "retrieval_queries")
 
 
 def _load() -> None:
