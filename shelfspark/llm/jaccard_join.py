@@ -6,8 +6,9 @@ its words if they are fewer. Texts of equal sets are copies and go through the j
 1. Signatures of MinHash values are cut into bands; nodes that share a band are candidates. At a
    similarity of 0.8 a pair shares none of them with a probability of 3e-6.
 2. Nodes connected by candidacy meet in tiles: a small group is one of several in a tile, a large one
-   is cut into blocks, and a pair of blocks is a tile for those nodes that share a band with a node of
-   the other block. Nothing is emitted per pair.
+   is cut into blocks, and a pair of blocks is a tile: for all their nodes in a group in which most
+   share bands, else for those nodes that share a band with a node of the other block. Nothing is
+   emitted per pair.
 3. In a tile only pairs that share a band are compared, ``STEP`` values at a time; a pair is dropped as soon as the
    posterior probability (uniform prior) of a similarity of ``threshold`` falls below
    ``TOLERANCE``. Those that remain are verified exactly by products of their sets' incidences.
@@ -294,14 +295,22 @@ def tiles(nodes: DataFrame, groups: DataFrame, shared: DataFrame, block: int = B
     together = small.select("node", "root", F.lit(b"").alias("t"), pack.alias("i"), pack.alias("j"),
                             F.lit(0).alias("block"))
     n = F.ceil(F.col("size") / F.lit(block)).cast("int")
-    placed = written(shared.select("node", "key").join(
-        large.select("node", "root", F.pmod(F.xxhash64("node"), n).cast("int").alias("block")), "node"),
-        "large-groups")
-    # For each node the blocks that hold a node with one of its keys; keys are few blocks wide.
-    others = placed.select("key", F.col("block").alias("other")).distinct()
-    apart = placed.join(others, "key").select("node", "root", "block", "other").distinct().select(
-        "node", "root", F.col("root").alias("t"), F.least("block", "other").alias("i"),
-        F.greatest("block", "other").alias("j"), "block")
+    own = written(large.select("node", "root", "size", n.alias("n"),
+                               F.pmod(F.xxhash64("node"), n).cast("int").alias("block")), "large-groups")
+    placed = written(shared.select("node", "key").join(own, "node"), "large-keys")
+    # What it takes to list, key by key, the blocks that a node's keys lead to. A group in which that is
+    # more than all its blocks for every node is dense, and all its blocks meet.
+    effort = (placed.groupBy("root", "size", "n", "key")
+              .agg(F.count("*").alias("m"), F.count_distinct("block").alias("b"))
+              .groupBy("root", "size", "n").agg(F.sum(F.col("m") * F.col("b")).alias("effort")))
+    sparse = written(effort.where(F.col("effort") <= F.col("size") * F.col("n")).select("root"), "sparse-groups")
+    thin = placed.join(sparse, "root", "left_semi")
+    others = thin.select("key", F.col("block").alias("other")).distinct()
+    met = thin.join(others, "key").select("node", "root", "block", "other").distinct().unionByName(
+        own.join(sparse, "root", "left_anti").select(
+            "node", "root", "block", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")))
+    apart = met.select("node", "root", F.col("root").alias("t"), F.least("block", "other").alias("i"),
+                       F.greatest("block", "other").alias("j"), "block")
     return nodes.join(written(together.unionByName(apart), "tiles"), "node").select(
         "t", "i", "j", "node", "root", "block", "weight", "shingles")
 

@@ -94,7 +94,7 @@ def test_a_chain_is_compared_along_its_candidates(spark, documents):
     held = jaccard_join._with_shingles(signed.select("node", "doc_id").join(documents(rows), "doc_id").selectExpr(
         "node", "1L AS weight", "doc_id", "text")).drop("doc_id")
     groups = jaccard_join.candidate_groups(shared)
-    for block in (1000, 32):
+    for block in (1000, 32, 4):
         found = jaccard_join.linked(held, groups, shared, block=block).collect()
         assert sum(r["compared"] for r in found) == len(pairs) < 300 * 20
     got = [tuple(r) for r in jaccard_join.near_duplicates(documents(rows), block=32).collect()]
