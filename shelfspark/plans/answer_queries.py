@@ -465,18 +465,18 @@ def join_tool_call_result(spark, sf):
 # --- answer cache ---------------------------------------------------------------------
 
 CACHE_SQL = """ev AS (SELECT event_id, 'm' || (event_id % 2) AS tenant, epoch_us(ts) * 3 AS us,
-    event_type AS kind, embedding FROM events JOIN embeddings
-    ON vec_id = event_id % (SELECT count(*) FROM embeddings)
-    WHERE event_type <> 'signup'),
+    CASE WHEN event_type IN ('view', 'signup') THEN 0 WHEN event_type = 'purchase' AND value >= 95
+      THEN 1 ELSE 2 END AS kind, embedding
+    FROM events JOIN embeddings ON vec_id = event_id % (SELECT count(*) FROM embeddings)),
   st0 AS (SELECT *, lag(us) OVER (PARTITION BY tenant ORDER BY us, event_id) AS prev FROM ev
-    WHERE kind IN ('click', 'error')),
-  inv AS (SELECT tenant, us FROM ev WHERE kind = 'purchase' AND event_id % 20 = 3),
+    WHERE kind = 2),
+  inv AS (SELECT tenant, us FROM ev WHERE kind = 1),
   st AS (SELECT *, row_number() OVER (PARTITION BY tenant ORDER BY us, event_id) AS idx,
     prev IS NULL OR us - prev >= 14400000000 OR EXISTS (SELECT 1 FROM inv i
       WHERE i.tenant = st0.tenant AND i.us > prev AND i.us <= st0.us) AS fresh FROM st0),
   se AS (SELECT *, max(CASE WHEN fresh THEN idx END) OVER (PARTITION BY tenant ORDER BY idx)
     AS session FROM st),
-  q AS (SELECT * FROM ev WHERE kind = 'view'),
+  q AS (SELECT * FROM ev WHERE kind = 0),
   lastst AS (SELECT q.event_id AS qid, max(s.idx) AS last FROM q JOIN se s ON s.tenant = q.tenant
     AND s.us < q.us GROUP BY 1),
   live AS (SELECT q.event_id AS qid, q.tenant, q.embedding, l.last, s.session FROM q
@@ -491,20 +491,23 @@ CACHE_SQL = """ev AS (SELECT event_id, 'm' || (event_id % 2) AS tenant, epoch_us
 
 
 def cache_logs(spark: SparkSession, sf: str):
-    """Stores, queries and invalidations over events, times stretched threefold."""
+    """Every event as a store, a query or an invalidation, times stretched threefold.
+
+    Views and signups ask; a large purchase is a change of the catalog; all others are answers.
+    """
     e = table(spark, sf, "embeddings")
     size = e.agg(F.count("*").alias("size"))
-    ev = table(spark, sf, "events").where("event_type <> 'signup'").crossJoin(
-        F.broadcast(size)).withColumn("vec_id", F.col("event_id") % F.col("size")).join(
-        e.select("vec_id", "embedding"), "vec_id").select(
-        "event_id", F.concat(F.lit("m"), (F.col("event_id") % 2).cast("string")).alias("tenant"),
-        F.timestamp_micros(F.unix_micros("ts") * 3).alias("ts"), "event_type", "embedding")
-    stores = ev.where(F.col("event_type").isin("click", "error")).withColumn(
-        "store_id", F.lpad(F.col("event_id").cast("string"), 12, "0"))
-    asked = ev.where(F.col("event_type") == "view").withColumn(
-        "qid", F.lpad(F.col("event_id").cast("string"), 12, "0"))
-    cleared = ev.where("event_type = 'purchase' AND event_id % 20 = 3").select("tenant", "ts")
-    return stores, asked, cleared
+    large = (F.col("event_type") == "purchase") & (F.col("value") >= 95)
+    kind = F.when(F.col("event_type").isin("view", "signup"), answer_cache.QUERY).when(
+        large, answer_cache.INVALIDATE).otherwise(answer_cache.STORE)
+    ev = table(spark, sf, "events").crossJoin(F.broadcast(size)).withColumn(
+        "vec_id", F.col("event_id") % F.col("size")).join(e.select("vec_id", "embedding"), "vec_id").select(
+        F.lpad(F.col("event_id").cast("string"), 12, "0").alias("id"),
+        F.concat(F.lit("m"), (F.col("event_id") % 2).cast("string")).alias("tenant"),
+        F.timestamp_micros(F.unix_micros("ts") * 3).alias("ts"), kind.alias("kind"), "embedding")
+    stores = ev.where(F.col("kind") == answer_cache.STORE).withColumnRenamed("id", "store_id")
+    asked = ev.where(F.col("kind") == answer_cache.QUERY).withColumnRenamed("id", "qid")
+    return stores, asked, ev.where(F.col("kind") == answer_cache.INVALIDATE).select("tenant", "ts")
 
 
 @register("join_semantic_cache", f"""WITH {CACHE_SQL},

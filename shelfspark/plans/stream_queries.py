@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.functions.usage import with_cost
+from shelfspark.operators import answer_cache
 from shelfspark.plans import answer_queries as aq
 from shelfspark.plans import feed_queries as fq
 from shelfspark.plans import standins as st
@@ -98,27 +99,59 @@ def stream_answer_cache(spark, sf):
     return plain(runs.drain(hits, "cache"))
 
 
-def _cache_stream(spark, sf):
+def _cache_events(spark, sf):
     stores, asked, cleared = aq.cache_logs(spark, sf)
     vector = F.col("embedding").cast("array<double>").alias("embedding")
-    events = stores.select("tenant", F.lit(2).alias("kind"), F.col("store_id").alias("id"), "ts",
-                           vector).unionByName(
+    return stores.select("tenant", F.lit(2).alias("kind"), F.col("store_id").alias("id"), "ts",
+                         vector).unionByName(
         asked.select("tenant", F.lit(0).alias("kind"), F.col("qid").alias("id"), "ts", vector)
     ).unionByName(cleared.select(
         "tenant", F.lit(1).alias("kind"), F.lit("").alias("id"), "ts",
         F.array().cast("array<double>").alias("embedding")))
+
+
+def _cache_stream(spark, sf):
+    events = _cache_events(spark, sf)
     return _stream(spark, _sliced(events, "ts", ["2132-01-25 00:00:00", "2132-02-10 00:00:00"]), "cache-in")
 
 
-@register("semantic_cache")
+#: One step for each event of a tenant: what has expired goes, a query looks up the newest best entry,
+#: answers and queries that missed are stored.
+REPLAY_SQL = f"""WITH RECURSIVE {aq.CACHE_SQL},
+log AS (SELECT tenant, us, kind, lpad(CAST(event_id AS VARCHAR), 12, '0') AS id, embedding::DOUBLE[] AS e,
+    row_number() OVER (PARTITION BY tenant ORDER BY us, kind, event_id) AS n FROM ev),
+steps(tenant, n, ring, stored, qid, hit) AS (
+  SELECT DISTINCT tenant, 0::BIGINT, []::STRUCT(id VARCHAR, e DOUBLE[])[], NULL::BIGINT, NULL::VARCHAR,
+    NULL::STRUCT(id VARCHAR, s DOUBLE) FROM log
+  UNION ALL
+  SELECT tenant, n,
+    CASE WHEN kind = 1 THEN [] WHEN kind = 2 OR hit IS NULL THEN list_append(held, {{'id': id, 'e': e}})[-30:]
+      ELSE held END,
+    CASE WHEN kind = 1 THEN NULL WHEN kind = 2 OR hit IS NULL THEN us ELSE kept END,
+    CASE WHEN kind = 0 THEN id END, hit
+  FROM (SELECT *, CASE WHEN kind = 0 THEN list_reduce(list_prepend(NULL, list_filter(list_transform(held,
+        lambda r: {{'id': r.id, 's': round(list_dot_product(r.e, e), 9)}}), lambda r: r.s >= 0.2)),
+        lambda a, b: CASE WHEN a IS NULL OR b.s >= a.s THEN b ELSE a END) END AS hit
+    FROM (SELECT l.*, CASE WHEN l.us - stored >= 14400000000 THEN [] ELSE ring END AS held,
+        CASE WHEN l.us - stored >= 14400000000 THEN NULL ELSE stored END AS kept
+      FROM steps s JOIN log l ON l.tenant = s.tenant AND l.n = s.n + 1)))
+SELECT tenant, qid, hit.id AS store_id, round(hit.s, 6) AS similarity FROM steps WHERE hit IS NOT NULL"""
+
+
+@register("semantic_cache", REPLAY_SQL)
 def semantic_cache(spark, sf):
     """What-if replay: a query that misses is stored, a hit suppresses its store.
 
-    Each answer depends on all before it, so there is no plain SQL for it; the tests compare
-    it with a sequential replay.
+    Each answer depends on all before it; a tenant's log is still replayed by many tasks.
     """
-    questions = _cache_stream(spark, sf).where("kind < 2")
-    hits = stateful.answer_cache_stream(questions, threshold=0.2, ring=30,
+    found = answer_cache.replay(_cache_events(spark, sf), threshold=0.2, ring=30, ttl_seconds=4 * 3600)
+    return plain(found.hits)
+
+
+@register("stream_semantic_cache", REPLAY_SQL)
+def stream_semantic_cache(spark, sf):
+    """The same replay as a stream, in the order of events."""
+    hits = stateful.answer_cache_stream(_cache_stream(spark, sf), threshold=0.2, ring=30,
                                         ttl_seconds=4 * 3600, replay=True)
     return plain(runs.drain(hits, "replay"))
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from shelfspark.operators.answer_cache import RING, THRESHOLD, TTL_SECONDS
+from shelfspark.operators.answer_cache import RING, THRESHOLD, TTL_SECONDS, Ring
 from shelfspark.session import SETTINGS
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
@@ -63,8 +63,7 @@ class AnswerCache(StatefulProcessor):
 
     def __init__(self, threshold: float = THRESHOLD, ring: int = RING,
                  ttl_seconds: int = TTL_SECONDS, replay: bool = False):
-        self.threshold, self.ring, self.replay = threshold, ring, replay
-        self.ttl = ttl_seconds * 1_000_000
+        self.settings = threshold, ring, ttl_seconds * 1_000_000, replay
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.entries = handle.getListState("entries", "store_id string, embedding array<double>")
@@ -72,32 +71,19 @@ class AnswerCache(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
         batch = pd.concat(list(rows)).sort_values(["ts", "kind", "id"])
-        held = [(e[0], np.asarray(e[1])) for e in self.entries.get()] \
-            if self.entries.exists() else []
-        stored_at = self.stored_at.get()[0] if self.stored_at.exists() else None
+        cache = Ring(*self.settings)
+        if self.entries.exists():
+            cache.entries = [(e[0], np.asarray(e[1])) for e in self.entries.get()]
+        cache.stored_at = self.stored_at.get()[0] if self.stored_at.exists() else None
         out = []
         for kind, us, id_, vector in zip(batch["kind"], _micros(batch["ts"]), batch["id"],
                                          batch["embedding"], strict=True):
-            us = int(us)
-            if stored_at is not None and us - stored_at >= self.ttl:
-                held, stored_at = [], None
-            if kind == 1:
-                held, stored_at = [], None
-                continue
-            value = np.asarray(vector, dtype="float64")
-            hit = False
-            if kind == 0 and held:
-                scores = np.round(np.stack([v for _, v in held]) @ value, 9)
-                best = len(scores) - 1 - int(np.argmax(scores[::-1]))
-                if scores[best] >= self.threshold:
-                    hit = True
-                    out.append((str(key[0]), id_, held[best][0], float(scores[best])))
-            if kind == 2 or (self.replay and kind == 0 and not hit):
-                held = [*held, (id_, value)][-self.ring:]
-                stored_at = us
-        if held:
-            self.entries.put([(id_, vector.tolist()) for id_, vector in held])
-            self.stored_at.update((stored_at,))
+            hit = cache.step(kind, int(us), id_, vector)
+            if hit:
+                out.append((str(key[0]), id_, *hit))
+        if cache.entries:
+            self.entries.put([(id_, vector.tolist()) for id_, vector in cache.entries])
+            self.stored_at.update((cache.stored_at,))
         else:
             self.entries.clear()
             self.stored_at.clear()

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from shelfspark.operators import answer_cache, embeddings, limits, quality, ranks
+from shelfspark.operators import answer_cache, embeddings, limits, pivot_index, quality, ranks
 from shelfspark.session import scratch_path
 from shelfspark.streaming import runs, stateful
 
@@ -155,6 +155,38 @@ def test_answer_cache_batch_and_stream(spark, seed):
         asked, .95, 10, 80_000_000_000, True)
 
 
+@pytest.mark.parametrize("chunk_rows", [7, 40, 10_000])
+def test_parallel_replay_equals_the_sequential_one(spark, chunk_rows):
+    events = cache_events(3, 400)
+    frame = spark.createDataFrame(
+        [(t, us, k, i, v.tolist()) for t, us, k, i, v in events],
+        "tenant string, us long, kind int, id string, embedding array<double>").withColumn(
+        "ts", F.timestamp_micros("us")).drop("us")
+    found = answer_cache.replay(frame, .95, 10, 80_000, chunk_rows)
+    assert {r.qid: r.store_id for r in found.hits.collect()} == brute_cache(events, .95, 10, 80_000_000_000, True)
+    # A guess is mended from what a few chunks before it left.
+    assert len(found.rounds) <= 12 and sum(found.rounds[1:]) <= 4 * found.rounds[0]
+    assert answer_cache.replay(frame.limit(0)).hits.count() == 0
+
+
+def test_pivot_index_is_exact_and_skips_blocks(spark):
+    rng = np.random.default_rng(2)
+    centres = 6 * rng.normal(size=(20, 8))
+    corpus = (centres[rng.integers(0, 20, 1500)] + .3 * rng.normal(size=(1500, 8))).astype("float32")
+    corpus[700:800] = corpus[700]
+    tenants = ["big" if k % 6 else "small" for k in range(1500)]
+    rows = spark.createDataFrame([(t, f"{k:05d}", v.tolist()) for k, (t, v) in enumerate(zip(tenants, corpus))],
+                                 "tenant string, id string, v array<float>")
+    asked = rows.where("id % 50 = 0").withColumnRenamed("id", "qid")
+    index = pivot_index.build(rows, pivots=24, block_rows=60)
+    found = pivot_index.nearest(asked, index, 7)
+    want = embeddings.knn_topk(asked, rows, 7)
+    columns = ["tenant", "qid", "id", "rank"]
+    assert sorted(map(tuple, found.hits.select(*columns).collect())) == sorted(
+        map(tuple, want.select(*columns).collect()))
+    assert pivot_index.skipped(found).first()["skipped"] > 0.3
+
+
 def test_knn_matches_brute_force(spark):
     rng = np.random.default_rng(0)
     corpus = rng.normal(size=(700, 8)).astype("float32")
