@@ -5,12 +5,12 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 # Markers of mis-decoded UTF-8 and category separators by priority.
 MOJIBAKE_MARKERS = ("Ã", "â", "Â")
@@ -52,28 +52,58 @@ def _split(value: str | None) -> list[str]:
     return [text] if text else []
 
 
+def _mapped(column: pd.Series, work: Callable) -> pd.Series:
+    """``work`` of the filled cells; most cells of a feed column need none and come as nulls."""
+    filled = column.notna()
+    out = pd.Series([None] * len(column), dtype="object")
+    out[filled.to_numpy()] = [work(v) for v in column[filled]]
+    return out
+
+
+# Plain scalar functions: Spark evaluates all calls of one projection in one Arrow pass.
 @F.pandas_udf(StringType())
-def _clean_batches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in batches:
-        yield batch.map(_clean)
+def _clean_batches(column: pd.Series) -> pd.Series:
+    return _mapped(column, _clean)
 
 
 @F.pandas_udf(ArrayType(StringType()))
-def _split_batches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in batches:
-        yield batch.map(_split)
+def _split_batches(column: pd.Series) -> pd.Series:
+    return _mapped(column, _split)
 
 
 @F.pandas_udf(StringType())
-def _unmangle_batches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in batches:
-        yield batch.map(_unmangle, na_action="ignore")
+def _unmangle_batches(column: pd.Series) -> pd.Series:
+    return _mapped(column, _unmangle)
 
 
 @F.pandas_udf(StringType())
-def _strip_html_batches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in batches:
-        yield batch.map(lambda v: _TAG.sub(" ", html.unescape(v)), na_action="ignore")
+def _strip_html_batches(column: pd.Series) -> pd.Series:
+    return _mapped(column, lambda v: _TAG.sub(" ", html.unescape(v)))
+
+
+def repaired_cells(texts: dict[str, Column], paths: Iterable[str] = ()) -> Column:
+    """A struct of the cells that need repair, repaired, and nulls for all others, in one Arrow pass.
+
+    Cells named in ``paths`` are split into category paths. ``cell`` and ``path_cell`` read them.
+    """
+    paths = set(paths)
+    kind = StructType([StructField(n, ArrayType(StringType()) if n in paths else StringType()) for n in texts])
+
+    @F.pandas_udf(kind)
+    def repair(cells: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({n: _mapped(cells[n], _split if n in paths else _clean) for n in cells})
+
+    return repair(F.struct(*[F.when(c.rlike(NEEDS_REPAIR), c).alias(n) for n, c in texts.items()]))
+
+
+def cell(repaired: Column, raw: Column) -> Column:
+    """clean_text of a cell, from what the one pass returned for it."""
+    return F.coalesce(repaired, clean_plain(raw))
+
+
+def path_cell(repaired: Column, raw: Column) -> Column:
+    """split_categories of a cell, from what the one pass returned for it."""
+    return F.coalesce(repaired, split_categories_plain(clean_plain(raw)))
 
 
 def clean_text(raw: Column, max_length: int | None = None) -> Column:
