@@ -116,6 +116,25 @@ def lift(with_change: DataFrame, without: DataFrame, metric: str = "ndcg_10",
     return a.join(b, "bucket").withColumn("lift", F.col("after") - F.col("before"))
 
 
+def paired_lift(queries: DataFrame, with_change: DataFrame, without: DataFrame, judgments: DataFrame,
+                metrics: Sequence[str] = TRACKED) -> DataFrame:
+    """Per metric the means after and before a change, their difference, and how many queries got
+    better and worse: both passes are scored together, query by query."""
+    passes = with_change.select("qid", "sku", "rank").withColumn("changed", F.lit(True)).unionByName(
+        without.select("qid", "sku", "rank").withColumn("changed", F.lit(False)))
+    scores = score_queries(queries.select("qid"), passes, judgments, by=["changed"])
+    paired = scores.groupBy("qid").agg(*[
+        F.max(F.when(F.col("changed") == F.lit(side), F.col(m))).alias(f"{m}_{name}")
+        for m in metrics for side, name in ((True, "after"), (False, "before"))])
+    rows = paired.select("qid", F.explode(F.array(*[
+        F.struct(F.lit(m).alias("metric"), F.col(f"{m}_after").alias("after"), F.col(f"{m}_before").alias("before"))
+        for m in metrics])).alias("m")).select("m.*")
+    gained = F.round(F.col("after") - F.col("before"), 9)
+    return rows.groupBy("metric").agg(
+        F.avg("after").alias("after"), F.avg("before").alias("before"), F.avg(gained).alias("lift"),
+        F.count_if(gained > 0).alias("better"), F.count_if(gained < 0).alias("worse"))
+
+
 def alpha_sweep(lists: DataFrame, queries: DataFrame, judgments: DataFrame,
                 alphas: Sequence[float] = ALPHAS, depth: int = 10) -> DataFrame:
     """(query_class, alpha, ndcg) for every blend weight from one pair of scored lists.

@@ -63,8 +63,10 @@ class PivotRetriever:
         at = (catalog.path, catalog.snapshot().number)
         if at not in self._built:
             vectors = catalog.scan(columns=["tenant", "sku", "embedding"]).where("embedding IS NOT NULL")
-            self._built = {at: pivot_index.build(vectors.select(
-                "tenant", F.col("sku").alias("id"), F.col("embedding").alias("v")), self.pivots, self.block_rows)}
+            # Emptied, not replaced: engines that differ in their queries only may share it.
+            self._built.clear()
+            self._built[at] = pivot_index.build(vectors.select(
+                "tenant", F.col("sku").alias("id"), F.col("embedding").alias("v")), self.pivots, self.block_rows)
         return self._built[at]
 
     def search(self, queries: DataFrame, catalog: CatalogTable, limit: int) -> DataFrame:

@@ -20,6 +20,7 @@ from shelfspark.operators.embeddings import knn_topk
 from shelfspark.operators.filters import matches
 from shelfspark.operators.ranks import spread_join, top_k
 from shelfspark.operators.text_index import B, K1, StoredIndex, searchable_text, top_documents
+from shelfspark.session import materialise
 from shelfspark.sources.catalog import CatalogTable
 
 POOL = 50
@@ -253,6 +254,19 @@ def search_catalog(queries: DataFrame, store: CatalogTable, **options) -> DataFr
     return search(queries, docs, stored=store.index(), **options)
 
 
+def rerank_passes(queries: DataFrame, docs: DataFrame, alpha: float, stored: StoredIndex | None = None,
+                  scorer=lexical_pair_score, top: int = POOL) -> tuple[DataFrame, DataFrame]:
+    """The same candidate pools (qid, sku, rank) reranked and not."""
+    lists = candidate_lists(queries, docs, depth=top, stored=stored)
+    best = top_k(fuse(lists, F.lit(alpha)), ["qid"], [F.desc("score"), F.asc("sku")], top)
+    pool = materialise(best.join(queries.select("qid", "query"), "qid").select(
+        "tenant", "qid", "query", "sku", (F.col("rank") - 1).alias("rank_before_rerank")))
+    scored = rerank(pool, docs.select("tenant", "sku", "text"), scorer)
+    order = W.partitionBy("qid").orderBy(F.desc("rerank_score"), F.asc("rank_before_rerank"))
+    return (scored.select("qid", "sku", F.row_number().over(order).alias("rank")),
+            pool.select("qid", "sku", (F.col("rank_before_rerank") + 1).alias("rank")))
+
+
 def responses(queries: DataFrame, hits: DataFrame, **options) -> DataFrame:
     """One row per query, also for queries without hits."""
     planned = plan_queries(queries, **options)

@@ -141,39 +141,6 @@ def agg_eval_report_class(spark, sf):
     return plain(ev.class_report(ev.score_queries(*_line_rankings(spark, sf))))
 
 
-def _reversed(rankings: DataFrame) -> DataFrame:
-    return rankings.withColumn("rank", -F.col("rank"))
-
-
-LATE_SQL = RANKINGS_SQL.replace("l_orderkey * 10 + l_linenumber AS rank",
-                                "-(l_orderkey * 10 + l_linenumber) AS rank")
-
-
-def _late(sql_select: str) -> str:
-    """The report of the reversed rankings as a scalar source."""
-    return f"(WITH {LATE_SQL} {sql_select})"
-
-
-@register("rerank_lift", f"""WITH {RANKINGS_SQL}
-SELECT 'OVERALL' AS bucket, after, before, round(after - before, 6) AS lift FROM
-  (SELECT round(avg(ndcg_10), 4) AS after FROM scores),
-  {_late('SELECT round(avg(ndcg_10), 4) AS before FROM scores')}""")
-def rerank_lift(spark, sf):
-    asked, rankings, judged = _line_rankings(spark, sf)
-    return plain(ev.lift(ev.report(ev.score_queries(asked, rankings, judged)),
-                         ev.report(ev.score_queries(asked, _reversed(rankings), judged))))
-
-
-@register("instruction_lift", f"""WITH {RANKINGS_SQL}
-SELECT 'OVERALL' AS bucket, after, before, round(after - before, 6) AS lift FROM
-  {_late('SELECT round(avg(recall_10), 4) AS after FROM scores')},
-  (SELECT round(avg(recall_10), 4) AS before FROM scores)""")
-def instruction_lift(spark, sf):
-    asked, rankings, judged = _line_rankings(spark, sf)
-    return plain(ev.lift(ev.report(ev.score_queries(asked, _reversed(rankings), judged)),
-                         ev.report(ev.score_queries(asked, rankings, judged)), "recall_10"))
-
-
 GATE_SQL = f"""WITH {RANKINGS_SQL}, current AS ({CLASS_SQL}),
 baseline AS (SELECT bucket, ndcg_10 + 0.05 AS ndcg_10, recall_10 + 0.01 AS recall_10,
   CASE WHEN bucket = 'attribute' THEN NULL ELSE mrr END AS mrr FROM current

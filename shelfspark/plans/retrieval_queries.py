@@ -17,6 +17,24 @@ from shelfspark.session import scratch_path
 from shelfspark.sources.catalog import CatalogTable
 from shelfspark.streaming import runs
 
+INSTRUCTION = "find: "
+
+
+def _vectors(mark: str, prefix: str = "") -> str:
+    """The vectors of the queries, with the words of a prefix, and their products with all products."""
+    words = "query" if not prefix else "'" + prefix.strip(": ") + " ' || query"
+    return f"""qcount{mark} AS (SELECT qid, tenant, ('0x' || substr(md5(term), 1, 8))::UBIGINT % 64 AS b,
+    CAST(count(*) AS DOUBLE) AS c
+  FROM (SELECT qid, tenant, unnest(string_split({words}, ' ')) AS term FROM golden) GROUP BY ALL),
+qvec{mark} AS (SELECT qid, tenant, b, CAST(CAST(c / sqrt(sum(c * c) OVER (PARTITION BY qid))
+  AS FLOAT) AS DOUBLE) AS x FROM qcount{mark}),
+near{mark} AS (SELECT qid, d.tenant, sku, sum(q.x * d.x) AS s FROM qvec{mark} q JOIN dvec d
+  ON d.tenant = q.tenant AND d.b = q.b GROUP BY ALL),
+vec{mark} AS (SELECT g.qid, d.tenant, d.sku, round(coalesce(s, 0.0), 9) AS score
+  FROM golden g JOIN docs d ON d.tenant = g.tenant
+  LEFT JOIN near{mark} n ON n.qid = g.qid AND n.sku = d.sku)"""
+
+
 #: The stored products with the tokens of their five keyword fields; every kind of part is asked
 #: for in every tenant.
 STORED_SQL = rf"""{fq.MAPPED_SQL},
@@ -24,7 +42,9 @@ docs AS (
   SELECT tenant, sku, list_filter(string_split_regex(lower(concat_ws(' ', sku, title, description,
       brand, 'colour ' || colour, 'gender ' || gender)), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '') AS toks,
     list_filter(string_split_regex(lower(concat_ws(' ', title, description, brand,
-      'colour ' || colour, 'gender ' || gender)), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '') AS vtoks
+      'colour ' || colour, 'gender ' || gender)), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '') AS vtoks,
+    lower(concat_ws(' ', sku, title, description, brand, concat_ws(chr(10), 'colour: ' || colour,
+      'gender: ' || gender))) AS low
   FROM deduped),
 golden AS (
   SELECT DISTINCT t.tenant || '-' || p_type AS qid, t.tenant, lower(p_type) AS query, p_type
@@ -47,16 +67,7 @@ vocc AS (SELECT tenant, sku, ('0x' || substr(md5(term), 1, 8))::UBIGINT % 64 AS
 vcount AS (SELECT tenant, sku, b, CAST(count(*) AS DOUBLE) AS c FROM vocc GROUP BY ALL),
 dvec AS (SELECT tenant, sku, b, CAST(CAST(c / sqrt(sum(c * c) OVER (PARTITION BY tenant, sku))
   AS FLOAT) AS DOUBLE) AS x FROM vcount),
-qcount AS (SELECT qid, tenant, ('0x' || substr(md5(term), 1, 8))::UBIGINT % 64 AS b,
-    CAST(count(*) AS DOUBLE) AS c
-  FROM (SELECT qid, tenant, unnest(string_split(query, ' ')) AS term FROM golden) GROUP BY ALL),
-qvec AS (SELECT qid, tenant, b, CAST(CAST(c / sqrt(sum(c * c) OVER (PARTITION BY qid))
-  AS FLOAT) AS DOUBLE) AS x FROM qcount),
-near AS (SELECT qid, d.tenant, sku, sum(q.x * d.x) AS s FROM qvec q JOIN dvec d
-  ON d.tenant = q.tenant AND d.b = q.b GROUP BY ALL),
-vec AS (SELECT g.qid, d.tenant, d.sku, round(coalesce(s, 0.0), 9) AS score
-  FROM golden g JOIN docs d ON d.tenant = g.tenant
-  LEFT JOIN near n ON n.qid = g.qid AND n.sku = d.sku),
+{_vectors('')},
 kwtop AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, sku) AS r FROM kw
   QUALIFY r <= 50),
 vectop AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, sku) AS r FROM vec
@@ -153,6 +164,64 @@ def retriever_comparison(spark, sf):
     return means.join(agreed, "engine", "left")
 
 
+def _lift_sql(after: str, before: str) -> str:
+    """Means of every metric over two rankings (qid, sku, rank), and their differences query by query."""
+    return f"""passes AS (SELECT true AS changed, qid, sku, rank FROM {after}
+  UNION ALL SELECT false, qid, sku, rank FROM {before}),
+ideal AS (SELECT qid, count(*) AS n_rel, sum(CASE WHEN i <= 10 THEN 3 / log2(i + 1) END) AS idcg
+  FROM (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY sku) AS i FROM judgments) GROUP BY 1),
+found AS (SELECT changed, qid, sum(3 / log2(rank + 1)) FILTER (rank <= 10) AS dcg,
+    count(*) FILTER (rank <= 10) AS hits, min(rank) AS first
+  FROM passes JOIN judgments USING (qid, sku) GROUP BY ALL),
+scores AS (SELECT changed, qid, coalesce(dcg, 0) / idcg AS ndcg_10, coalesce(hits, 0) / n_rel AS recall_10,
+    CAST(coalesce(1 / first, 0) AS DOUBLE) AS mrr
+  FROM ideal CROSS JOIN (VALUES (true), (false)) c(changed) LEFT JOIN found USING (changed, qid)),
+long AS (SELECT * FROM scores UNPIVOT (value FOR metric IN (ndcg_10, recall_10, mrr))),
+pairs AS (SELECT metric, qid, max(value) FILTER (changed) AS after, max(value) FILTER (NOT changed) AS before
+  FROM long GROUP BY ALL)
+SELECT metric, round(avg(after), 5) AS after, round(avg(before), 5) AS before,
+  round(avg(after - before), 5) AS lift, count(*) FILTER (round(after - before, 9) > 0) AS better,
+  count(*) FILTER (round(after - before, 9) < 0) AS worse FROM pairs GROUP BY 1"""
+
+
+def _told(lift: DataFrame) -> DataFrame:
+    return lift.select("metric", *[F.round(c, 5).alias(c) for c in ("after", "before", "lift")], "better", "worse")
+
+
+@register("rerank_lift", f"""{STORED_SQL},
+pool AS (SELECT * FROM hybrid WHERE rank <= 50),
+reranked AS (SELECT qid, sku, row_number() OVER (PARTITION BY qid ORDER BY points DESC, before) AS rank
+  FROM (SELECT p.qid, p.sku, p.rank AS before, round(
+      len(list_intersect(list_distinct(string_split(query, ' ')), toks))
+        / len(list_distinct(string_split(query, ' ')))
+      + CASE WHEN contains(low, query) THEN 0.5 ELSE 0.0 END, 9) AS points
+    FROM pool p JOIN golden g USING (qid) JOIN docs d ON d.tenant = p.tenant AND d.sku = p.sku)),
+{_lift_sql('reranked', 'pool')}""")
+def rerank_lift(spark, sf):
+    """The reranker on and off over the same candidates."""
+    store = stored_catalog(spark, sf)
+    docs = store.scan().withColumn("text", text_index.searchable_text())
+    asked = kind_queries(spark, sf)
+    after, before = hs.rerank_passes(asked, docs, 0.5, store.index())
+    return _told(ev.paired_lift(asked, after, before, kind_judgments(spark, sf)))
+
+
+@register("instruction_lift", f"""{STORED_SQL},
+{_vectors('i', INSTRUCTION)},
+instructed AS (SELECT qid, sku, row_number() OVER (PARTITION BY qid ORDER BY score DESC, sku) AS rank
+  FROM veci QUALIFY rank <= 50),
+bare AS (SELECT qid, sku, r AS rank FROM vectop),
+{_lift_sql('instructed', 'bare')}""")
+def instruction_lift(spark, sf):
+    """Vector search for the queries with and without an instruction before them."""
+    store = stored_catalog(spark, sf)
+    asked = kind_queries(spark, sf)
+    bare = retrievers.PivotRetriever()
+    instructed = retrievers.PivotRetriever(embedder=hs.hashed_embedder(prefix=INSTRUCTION), _built=bare._built)
+    return _told(ev.paired_lift(asked, instructed.search(asked, store, 50), bare.search(asked, store, 50),
+                                kind_judgments(spark, sf)))
+
+
 @register("pivot_knn", f"""WITH {KNN_SQL},
 r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, CAST(d AS VARCHAR)) AS rank
   FROM (SELECT tenant, q, d, s FROM pairs UNION ALL
