@@ -21,6 +21,10 @@ SKETCH_ACCURACY = 10_000
 BRACKET_MARGIN = 0.002
 WHOLE_RANGE_BELOW = 5_000
 BROADCAST_ROWS = 50_000
+#: Buckets of a range in running sums.
+SPAN = 1024
+#: Brackets that hold more rows than this are narrowed again, by a grid of so many quantiles of theirs.
+BRACKET_ROWS, GRID = 200_000, 256
 
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int | Column,
@@ -35,8 +39,9 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket:
             maxima: dict[str, Column] | None = None, inclusive: bool = True) -> DataFrame:
     """Running sums and maxima per key up to each row, itself included unless told otherwise.
 
-    ``bucket`` must not fall along the order (a date, an id range): rows of one bucket meet
-    in one task, whole keys never do.
+    ``bucket``, a whole number, must not fall along the order (a day, an id range): rows of one
+    bucket meet in one task, whole keys never do. Buckets are added up in ranges of ``SPAN`` of
+    them, and only the ranges of a key meet, so a key may have many millions of buckets.
     """
     sums, maxima = sums or {}, maxima or {}
     inputs = {f"_in_{name}": column for name, column in {**sums, **maxima}.items()}
@@ -45,11 +50,24 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket:
     totals = rows.groupBy(*at).agg(
         *[F.sum(f"_in_{name}").alias(f"_all_{name}") for name in sums],
         *[F.max(f"_in_{name}").alias(f"_all_{name}") for name in maxima])
-    earlier = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    before = totals.select(
+    ranged = totals.withColumn("_range", F.floor(F.col("_bucket") / F.lit(SPAN)))
+    by_range = ranged.groupBy(*keys, "_range").agg(
+        *[F.sum(f"_all_{name}").alias(f"_all_{name}") for name in sums],
+        *[F.max(f"_all_{name}").alias(f"_all_{name}") for name in maxima])
+
+    def earlier(window: W, prefix: str) -> list[Column]:
+        before = window.rowsBetween(W.unboundedPreceding, -1)
+        return [*[F.sum(f"_all_{n}").over(before).alias(f"{prefix}{n}") for n in sums],
+                *[F.max(f"_all_{n}").over(before).alias(f"{prefix}{n}") for n in maxima]]
+
+    ranges = by_range.select(*keys, "_range", *earlier(W.partitionBy(*keys).orderBy("_range"), "_far_"))
+    near = ranged.select(*at, "_range", *earlier(
+        W.partitionBy(*keys, "_range").orderBy("_bucket"), "_near_"))
+    before = near.join(ranges, [*keys, "_range"]).select(
         *at,
-        *[F.sum(f"_all_{name}").over(earlier).alias(f"_pre_{name}") for name in sums],
-        *[F.max(f"_all_{name}").over(earlier).alias(f"_pre_{name}") for name in maxima])
+        *[F.coalesce(F.col(f"_far_{n}") + F.col(f"_near_{n}"), F.col(f"_far_{n}"), F.col(f"_near_{n}"))
+          .alias(f"_pre_{n}") for n in sums],
+        *[F.greatest(f"_far_{n}", f"_near_{n}").alias(f"_pre_{n}") for n in maxima])
     inside = W.partitionBy(*at).orderBy(*order).rowsBetween(
         W.unboundedPreceding, W.currentRow if inclusive else -1)
     local = rows.select(
@@ -104,10 +122,11 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: Column,
                     quantiles: dict[str, float], rule=nearest_rank) -> DataFrame:
     """count, null_count, min, max, mean and exact quantiles per key.
 
-    A mergeable sketch brackets each quantile; only values inside the bracket are grouped
-    and ordered, everything below is one count. The bracket table (one row per key) is
-    materialised, so the data are read twice in all: once for it, once for the selection. A
-    bracket that misses its rank stops the job rather than giving a wrong number.
+    A mergeable sketch brackets each quantile; brackets of a large key are narrowed by sketches of
+    what lies inside them, until they hold few rows or one value. Only values inside the bracket
+    are grouped and ordered, everything below is one count. The bracket table (one row per key) is
+    materialised, so the data are read twice and once more for each narrowing. A bracket that misses
+    its rank stops the job rather than giving a wrong number.
     """
     names, probs = list(quantiles), list(quantiles.values())
     rows = df.select(*keys, value.cast("double").alias("_v"))
@@ -128,6 +147,9 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: Column,
         for i, p in enumerate(probs)])
     bounds = stats.select(*keys, brackets.alias("_b"))
     present = rows.where(F.col("_v").isNotNull())
+    most = stats.agg(F.max("count")).first()[0] or 0
+    if most * 2 * BRACKET_MARGIN > BRACKET_ROWS:
+        bounds = narrowed(present, bounds, keys)
     met = present.join(bounds, list(keys)) if keys else present.crossJoin(bounds)
     hits = (met.select(*keys, "_v", F.explode("_b").alias("b")).where(F.col("_v") <= F.col("b.hi"))
             .groupBy(*keys, "b.q", "b.rank",
@@ -147,6 +169,40 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: Column,
     return joined.select(*keys, "count", "null_count", "min", *checked, "max", "mean")
 
 
+def narrowed(present: DataFrame, bounds: DataFrame, keys: Sequence[str],
+             rows: int | None = None) -> DataFrame:
+    """Brackets (``_b``: q, rank, lo, hi) of at most ``rows`` rows each, or of one value.
+
+    A round counts what lies below and inside each bracket and takes a grid of quantiles inside it; the
+    grid points around the rank are the next bracket, with one more on either side.
+    """
+    limit = rows or BRACKET_ROWS
+    kind = bounds.schema["_b"].dataType.elementType.simpleString()
+    while True:
+        met = present.join(bounds, list(keys)) if keys else present.crossJoin(bounds)
+        within = F.when(F.col("_v").between(F.col("b.lo"), F.col("b.hi")), F.col("_v"))
+        grids = materialise(
+            met.select(*keys, "_v", F.explode("_b").alias("b"))
+            .groupBy(*keys, "b").agg(
+                F.count_if(F.col("_v") < F.col("b.lo")).alias("_below"), F.count(within).alias("_inside"),
+                F.percentile_approx(within, [i / GRID for i in range(GRID + 1)], SKETCH_ACCURACY).alias("_grid")))
+        wide = (F.col("_inside") > limit) & (F.col("b.lo") < F.col("b.hi"))
+        if grids.where(wide).isEmpty():
+            return bounds
+        at = F.floor((F.col("b.rank") - F.col("_below")) / F.col("_inside") * GRID).cast("int")
+        low = F.greatest(F.get("_grid", F.greatest(at - 1, F.lit(0))), F.col("b.lo"))
+        high = F.least(F.get("_grid", F.least(at + 2, F.lit(GRID))), F.col("b.hi"))
+        # The ends of the grid are approximate too; the bracket's own ends are safe.
+        next_ = F.struct(F.col("b.q").alias("q"), F.col("b.rank").alias("rank"),
+                         F.when(wide & (at > 1), low).otherwise(F.col("b.lo")).alias("lo"),
+                         F.when(wide & (at + 2 < GRID), high).otherwise(F.col("b.hi")).alias("hi"))
+        moved = grids.select(*keys, next_.cast(kind).alias("n"), "b")
+        if moved.where((F.col("n.lo") > F.col("b.lo")) | (F.col("n.hi") < F.col("b.hi"))).isEmpty():
+            return bounds
+        bounds = materialise(moved.groupBy(*keys).agg(F.collect_list("n").alias("_b")) if keys
+                             else moved.agg(F.collect_list("n").alias("_b")))
+
+
 def spread_join(big: DataFrame, small: DataFrame, on: Sequence[str], spread_by: Column,
                 salts: int = SALTS) -> DataFrame:
     """Inner join whose hot keys are split over ``salts`` tasks.

@@ -30,6 +30,26 @@ def test_exact_quantiles_on_large_skewed_groups(spark):
     assert whole.m == values[round(.5 * (len(values) - 1))]
 
 
+def test_brackets_are_narrowed(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "BRACKET_ROWS", 20)
+    rng = random.Random(9)
+    rows = [("hot", rng.lognormvariate(0, 3)) for _ in range(40_000)]
+    rows += [("ties", float(rng.randint(0, 3))) for _ in range(9_000)] + [("few", 1.5), ("few", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(6)
+    probs = {"p1": .01, "p50": .5, "p99": .99, "p100": 1.0}
+    for frame, keys in ((df, ["k"]), (df.where("k = 'hot'").drop("k"), [])):
+        for r in ranks.exact_quantiles(frame, keys, F.col("v"), probs).collect():
+            key = r["k"] if keys else "hot"
+            values = sorted(v for k, v in rows if k == key and v is not None)
+            assert [r[n] for n in probs] == [values[round(p * (len(values) - 1))] for p in probs.values()]
+
+
+def test_a_million_buckets_of_one_key(spark):
+    df = spark.range(1_000_000).select(F.lit("k").alias("k"), (F.col("id") * 3).alias("seq"))
+    index = ranks.dense_index(df, ["k"], [F.col("seq")], F.col("seq"))
+    assert index.where(F.col("index") != F.col("seq") / 3 + 1).count() == 0
+
+
 def test_running_and_dense_index(spark):
     rng = random.Random(5)
     rows = [(rng.choice("aab"), i, rng.randint(-5, 5)) for i in range(500)]
