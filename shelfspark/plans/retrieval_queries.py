@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.operators import evaluation as ev
-from shelfspark.operators import pivot_index, retrievers, text_index
+from shelfspark.operators import pivot_index, retrievers, sparse_embed, text_index
 from shelfspark.operators import search as hs
 from shelfspark.plans import feed_queries as fq
 from shelfspark.plans import standins as st
@@ -234,3 +234,39 @@ def pivot_knn(spark, sf):
     index = pivot_index.build(v.select("tenant", "id", F.col("embedding").alias("v")), block_rows=128)
     asked = v.select("tenant", F.col("id").alias("qid"), F.col("embedding").alias("v"))
     return plain(pivot_index.nearest(asked, index, 5).hits)
+
+
+def _tfidf(of: str, words: str) -> str:
+    """Vectors of the rows ``of`` (id, tenant, words) by the frequencies of the documents."""
+    return f"""WITH docs AS (SELECT doc_id, lang AS tenant, list_filter(string_split_regex(lower(
+    coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '') AS words FROM documents),
+{of},
+sizes AS (SELECT tenant, count(*) AS n FROM docs GROUP BY 1),
+df AS (SELECT tenant, b, count(DISTINCT doc_id) AS df FROM (
+    SELECT tenant, doc_id, ('0x' || substr(md5(unnest(words)), 1, 8))::UBIGINT % 256 AS b FROM docs) GROUP BY ALL),
+tf AS (SELECT id, tenant, b, count(*) AS c FROM (
+    SELECT id, tenant, ('0x' || substr(md5(unnest(words)), 1, 8))::UBIGINT % 256 AS b FROM {words}) GROUP BY ALL),
+w AS (SELECT id, tenant, b, c * (ln((1 + n) / (1 + coalesce(df, 0))) + 1) AS w
+  FROM tf JOIN sizes USING (tenant) LEFT JOIN df USING (tenant, b))
+SELECT id, tenant, CAST(b AS BIGINT) AS "at", round(w / sqrt(sum(w * w) OVER (PARTITION BY id, tenant)), 6) AS w FROM w"""
+
+
+def _unfolded(rows: DataFrame) -> DataFrame:
+    return plain(rows.select("id", "tenant", F.explode("sparse").alias("p")).select("id", "tenant", "p.at", "p.w"))
+
+
+@register("embed_tfidf_documents", _tfidf("rows_ AS (SELECT doc_id AS id, tenant, words FROM docs)", "rows_"))
+def embed_tfidf_documents(spark, sf):
+    docs = st.wide(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("tenant"), "text")
+    return _unfolded(sparse_embed.embed(docs, sparse_embed.learn(docs)))
+
+
+@register("embed_tfidf_queries", _tfidf(r"""rows_ AS (SELECT item_id AS id, t.tenant, list_filter(
+    string_split_regex(lower('find: ' || text), '[^\p{L}\p{N}]+'), lambda t: t <> '') AS words
+  FROM benchmark, (VALUES ('en'), ('fr'), ('de'), ('es')) t(tenant))""", "rows_"))
+def embed_tfidf_queries(spark, sf):
+    """Benchmark passages with an instruction, weighed by each tenant's documents."""
+    docs = st.wide(spark, sf, "documents").select(F.col("lang").alias("tenant"), "text")
+    asked = table(spark, sf, "benchmark").select(
+        F.col("item_id").alias("id"), "text", F.explode(F.array(*map(F.lit, st.GOLDEN_TENANTS))).alias("tenant"))
+    return _unfolded(sparse_embed.embed(asked, sparse_embed.learn(docs), prefix=INSTRUCTION))
