@@ -3,7 +3,8 @@
 A text is lower-cased in A-Z and cut into words of digits, a-z and every character above 0x7F. The
 windows of a benchmark item are its runs of ten words; an item of one to nine words is one window
 of its own length. The windows form a hash set that is broadcast, in slices of a bounded number of
-windows; each slice is one pass over the documents, chained in one plan without any shuffle. A
+windows; each slice is one pass over the documents, without any shuffle. Up to ``AT_ONCE`` passes are
+chained in one plan, so a task holds that many slices at most; then the documents are written. A
 document's windows of each length in the set are hashed from running sums, looked up in a bitmap
 and then in the set, and every hit is compared word by word with the window it matched.
 
@@ -29,6 +30,7 @@ from shelfspark.llm.spans import FOLDED, LOWER, Piece, Rolling, pieces, window_s
 WINDOW = 10
 #: Windows in one broadcast: some 100 MB with their words.
 SLICE_WINDOWS = 500_000
+AT_ONCE = 4
 _BITS = 20
 
 _HITS = T.ArrayType(T.StructType([
@@ -131,7 +133,9 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, hits: str, text: str = "tex
     schema = T.StructType([*docs.schema.fields, T.StructField(hits, _HITS)])
     out = docs.withColumn(hits, F.array().cast(_HITS))
     at = docs.columns.index(text)
-    for rows in window_slices(benchmark_windows(benchmark, size=size), limit):
+    for k, rows in enumerate(window_slices(benchmark_windows(benchmark, size=size), limit)):
+        if k and k % AT_ONCE == 0:
+            out = written(out, "hits")
         shared = spark.sparkContext.broadcast(WindowSet(rows))
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
