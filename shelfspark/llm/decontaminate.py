@@ -49,7 +49,7 @@ def _texts_of(piece: Piece, starts: np.ndarray, ends: np.ndarray, first: np.ndar
 
 def _word_hashes(piece: Piece) -> tuple[np.ndarray, np.ndarray, Rolling]:
     starts, ends = piece.words()
-    return starts, ends, Rolling(Rolling(FOLDED[piece.bytes]).of(starts, ends))
+    return starts, ends, Rolling(Rolling(piece.bytes, FOLDED).of(starts, ends))
 
 
 def benchmark_windows(benchmark: DataFrame, item: str = "item_id", text: str = "text",

@@ -55,7 +55,7 @@ def shingle_sets(piece: Piece, size: int = SHINGLE) -> list[np.ndarray]:
     """Each text's distinct shingle hashes, ascending."""
     starts, ends = piece.words()
     bounds = piece.per_text(starts)
-    words = Rolling(Rolling(FOLDED[piece.bytes]).of(starts, ends))
+    words = Rolling(Rolling(piece.bytes, FOLDED).of(starts, ends))
     counts = np.diff(bounds)
     full = window_starts(bounds, size)
     short = bounds[:-1][(counts > 0) & (counts < size)]

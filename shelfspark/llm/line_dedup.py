@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -55,10 +56,13 @@ class Lines:
         self.key_ends = np.where(filled, solid[last - 1] + 1, self.starts)
         chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
         self.counts = chars[self.key_ends] - chars[self.key_starts] >= min_chars
-        self.hashes = Rolling(FOLDED[data]).of(self.key_starts, self.key_ends)
-        self.letters = LOWER[data]
+        self.data, self.letters = data, LOWER[data]
         self.lower = self.letters.tobytes()
 
+    @cached_property
+    def hashes(self) -> np.ndarray:
+        return Rolling(self.data, FOLDED).of(self.key_starts, self.key_ends)
+
     def distinct(self) -> tuple[np.ndarray, np.ndarray]:
         """Index and text of one line for each counting key of each text."""
         index = np.flatnonzero(self.counts)

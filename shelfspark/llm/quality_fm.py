@@ -44,7 +44,7 @@ def features(piece: Piece, metadata: np.ndarray) -> Iterator[tuple[np.ndarray, n
     data, edges = piece.bytes, piece.edges
     starts, ends = runs(~SPACE_BYTES[data])
     bounds = piece.per_text(starts)
-    hashes = Rolling(FOLDED[data]).of(starts, ends)
+    hashes = Rolling(data, FOLDED).of(starts, ends)
     buckets = (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
     size = np.maximum(np.diff(edges) - 1, 1)
     words = np.diff(bounds)

@@ -2,11 +2,11 @@
 
 A column is cut into pieces of bounded size. In a piece every text ends with one line feed, so
 neither a word nor a line runs over into the next text. Hashes are differences of running sums:
-the hash of bytes s..e is (sum of value * M**i over s..e) * M**-s modulo the prime 2**61 - 1, which
-costs some array operations per byte and few per word. (Modulo a power of two, whatever M is, long
-strings of two letters in Thue-Morse order and their letter-swapped twins would collide.) Equal
-content has an equal hash; where different content must never pass for equal, ``distinct_spans`` and
-``agree`` compare every occurrence with its representative.
+the hash of bytes s..e is (sum of value * M**i over s..e) * M**-s modulo the prime 2**31 - 1, for two
+multipliers M, which costs some array operations per byte and few per word. (Modulo a power of two,
+whatever M is, long strings of two letters in Thue-Morse order and their letter-swapped twins would
+collide.) Equal content has an equal hash; where different content must never pass for equal,
+``distinct_spans`` and ``agree`` compare every occurrence with its representative.
 """
 
 from __future__ import annotations
@@ -18,47 +18,41 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 PIECE_BYTES = 1 << 21
-_PRIME = np.uint64((1 << 61) - 1)
-_MULTIPLIER = 0x1E3779B97F4A7C15 % ((1 << 61) - 1)
-_INVERSE = pow(_MULTIPLIER, -1, (1 << 61) - 1)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-_B29, _B30, _B31, _B32, _B61 = (np.uint64(n) for n in (29, 30, 31, 32, 61))
-_LOW29, _LOW30, _LOW31, _LOW32 = ((np.uint64(1) << n) - np.uint64(1) for n in (_B29, _B30, _B31, _B32))
+_PRIME = (1 << 31) - 1
+_P, _BITS = np.uint64(_PRIME), np.uint64(31)
+_MULTIPLIERS = (0x5DEECE66, 0x2545F491)
+#: Which bits of a value each of the two hashes takes.
+_SHIFTS = (np.uint64(0), np.uint64(33))
+_STEP = 1 << 15
+_powers: list[tuple[np.ndarray, np.ndarray]] = []
 
 
-def _reduced(x: np.ndarray) -> np.ndarray:
-    """Below the prime, for any 64-bit value."""
-    x = (x & _PRIME) + (x >> _B61)
-    return np.where(x >= _PRIME, x - _PRIME, x)
+def _folded(x: np.ndarray) -> np.ndarray:
+    return (x & _P) + (x >> _BITS)
 
 
-def _times(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Products modulo the prime of values below it, in halves of 31 bits."""
-    xh, xl, yh, yl = x >> _B31, x & _LOW31, y >> _B31, y & _LOW31
-    middle = xh * yl + xl * yh
-    # 2**62 is 2 and 2**61 is 1; the four terms together stay below 2**64.
-    return _reduced(((xh * yh) << np.uint64(1)) + (middle >> _B30) + ((middle & _LOW30) << _B31) + xl * yl)
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """Below the prime, for any 64-bit value."""
+    x = _folded(_folded(_folded(x)))
+    return np.where(x >= _P, x - _P, x)
 
 
-def _running(terms: np.ndarray) -> np.ndarray:
-    """Running sums modulo the prime; halves add up without overflow to 2**31 terms."""
-    high = _reduced(np.cumsum(terms >> _B32))
-    return _reduced((high >> _B29) + ((high & _LOW29) << _B32) + _reduced(np.cumsum(terms & _LOW32)))
+def _table(base: int, size: int) -> np.ndarray:
+    powers = np.ones(size, np.uint64)
+    done = 1
+    while done < size:
+        more = min(done, size - done)
+        powers[done:done + more] = _reduced(powers[:more] * np.uint64(pow(base, done, _PRIME)))
+        done += more
+    return powers
 
 
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
+def _powers_to(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For both multipliers their powers and the powers of their inverses."""
+    if not _powers or len(_powers[0][0]) < n:
         size = max(n, PIECE_BYTES + 1024)
-        for slot, base in enumerate((_MULTIPLIER, _INVERSE)):
-            steps = np.ones(size, np.uint64)
-            done = 1
-            while done < size:
-                more = min(done, size - done)
-                factor = np.uint64(pow(base, done, int(_PRIME)))
-                steps[done:done + more] = _times(steps[:more], np.full(more, factor))
-                done += more
-            _powers[slot] = steps
-    return _powers[0][:n], _powers[1][:n]
+        _powers[:] = [(_table(m, size), _table(pow(m, -1, _PRIME), size)) for m in _MULTIPLIERS]
+    return _powers
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -71,16 +65,38 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """Hashes of any stretches of a sequence of 64-bit values."""
+    """Hashes of any stretches of a sequence of 64-bit values, up to 2**32 of them.
+
+    With a ``table`` the sequence holds places in it, and the values are those found there.
+    """
 
-    def __init__(self, values: np.ndarray) -> None:
-        ups, self.downs = _powers_to(len(values) + 1)
-        self.sums = np.zeros(len(values) + 1, np.uint64)
-        self.sums[1:] = _running(_times(_reduced(values), ups[:len(values)]))
+    def __init__(self, values: np.ndarray, table: np.ndarray | None = None) -> None:
+        self.sums = []
+        for (ups, _), shift in zip(_powers_to(len(values) + 1), _SHIFTS):
+            sums = np.zeros(len(values) + 1, np.uint64)
+            own = None if table is None else (table >> shift) & _P
+            # Some thousand terms at a time, in arrays that stay in the cache; each is below 2**32.
+            terms, rest = np.empty(_STEP, np.uint64), np.empty(_STEP, np.uint64)
+            for low in range(0, len(values), _STEP):
+                part = values[low:low + _STEP]
+                n = len(part)
+                t, r = terms[:n], rest[:n]
+                if own is None:
+                    np.right_shift(part, shift, out=t)
+                    np.bitwise_and(t, _P, out=t)
+                else:
+                    np.take(own, part, mode="clip", out=t)
+                np.multiply(t, ups[low:low + n], out=t)
+                np.right_shift(t, _BITS, out=r)
+                np.bitwise_and(t, _P, out=t)
+                np.add(t, r, out=sums[low + 1:low + 1 + n])
+            np.cumsum(sums, out=sums)
+            self.sums.append(sums)
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        between = _reduced(self.sums[ends] + (_PRIME - self.sums[starts]))
-        return mix(_times(between, self.downs[starts]))
+        parts = [_reduced(_reduced(sums[ends] - sums[starts]) * downs[starts])
+                 for sums, (_, downs) in zip(self.sums, _powers)]
+        return mix((parts[0] << np.uint64(32)) | parts[1])
 
 
 def agree(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other_starts: np.ndarray,
