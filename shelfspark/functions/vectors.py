@@ -56,10 +56,3 @@ def hashed_embedder(dimensions: int = DIMENSIONS, prefix: str = ""):
             yield pd.Series(out)
 
     return embed
-
-
-def normalise(vector: Column) -> Column:
-    """Vector scaled to unit length; the zero vector stays zero."""
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda t, x: t + x.cast("double") * x))
-    return F.transform(vector, lambda x: F.coalesce(
-        F.try_divide(x.cast("double"), norm), F.lit(0.0)).cast("float"))

@@ -115,13 +115,13 @@ def embed_queries(spark, sf):
 
 @register("vector_search", f"""{VECTORS_SQL},
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, sku) AS rank FROM vec)
-SELECT qid, tenant, sku, round(score, 4) AS score FROM r WHERE rank <= 10""")
+SELECT qid, tenant, sku, round(score, 6) AS score FROM r WHERE rank <= 10""")
 def vector_search(spark, sf):
     embed = hashed_embedder()
     asked = queries(spark, sf).withColumn("embedding", embed("query"))
     corpus = st.docs(spark, sf).withColumn("embedding", embed("text"))
     found = hs.vector_search(asked, corpus, 10)
-    return found.select("qid", "tenant", "sku", F.round("score", 4).alias("score"))
+    return found.select("qid", "tenant", "sku", F.round("score", 6).alias("score"))
 
 
 def _lists(spark, sf):

@@ -71,23 +71,11 @@ def parse_log_lines(lines: DataFrame, column: str = "value") -> DataFrame:
         *[c for c in lines.columns if c != column], "_e.*")
 
 
-def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    return parse_log_lines(spark.read.text(path))
-
-
 def explode_judgments(golden: DataFrame) -> DataFrame:
     """Golden queries with judgments map<sku,int> as (qid, tenant, sku, rel) rows."""
     return golden.select("qid", "tenant", F.explode("judgments").alias("sku", "rel"))
 
 
-def golden_for(golden: DataFrame, tenant: str) -> DataFrame:
-    """One tenant's golden queries; an unknown tenant is an error."""
-    chosen = golden.where(F.col("tenant") == tenant)
-    if chosen.isEmpty():
-        raise ValueError(f"no golden set for tenant {tenant!r}")
-    return chosen
-
-
 def with_settings(rows: DataFrame, merchants: DataFrame) -> DataFrame:
     """Rows with their merchant's settings; an unknown merchant gets the defaults."""
     joined = rows.join(merchants, "tenant", "left")
@@ -95,4 +83,3 @@ def with_settings(rows: DataFrame, merchants: DataFrame) -> DataFrame:
         if name in merchants.columns and default is not None:
             joined = joined.withColumn(name, F.coalesce(name, F.lit(default)))
     return joined
-
