@@ -2,12 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from shelfspark.session import scratch_path
 
@@ -28,17 +23,3 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def arrow_map(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-              schema) -> DataFrame:
-    """mapInArrow; empty frames give an empty result."""
-    return df.mapInArrow(work, schema)
-
-
-def tag() -> str:
-    return uuid.uuid4().hex[:8]
-
-
-def no_nulls(column: str) -> F.Column:
-    return F.coalesce(F.col(column), F.lit(""))

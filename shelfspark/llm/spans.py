@@ -218,13 +218,3 @@ def window_starts(bounds: np.ndarray, size: int) -> np.ndarray:
     room = np.repeat(bounds[1:], np.diff(bounds))
     index = np.arange(bounds[0], bounds[-1])
     return index[index + size <= room]
-
-
-def union_lengths(starts: np.ndarray, size: int) -> np.ndarray:
-    """For ascending starts of stretches of one size: the elements each adds to the union."""
-    if len(starts) == 0:
-        return starts
-    gaps = np.empty(len(starts), np.int64)
-    gaps[:-1] = np.minimum(np.diff(starts), size)
-    gaps[-1] = size
-    return gaps
