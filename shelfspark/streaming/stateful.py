@@ -1,4 +1,9 @@
-"""Stateful stream operators: rate limiter, answer cache, conversation state."""
+"""Stateful stream operators: rate limiter, answer cache, conversation state.
+
+The limiter's and the cache's state can end by event time: with a ``lateness`` the stream carries a
+watermark, rows behind it are dropped, and a timer clears a key when its window or its entries'
+lifetime is over. Without one, state stays.
+"""
 
 from __future__ import annotations
 
@@ -24,15 +29,42 @@ def _micros(times: pd.Series) -> np.ndarray:
     return times.to_numpy("datetime64[us]").astype("int64")
 
 
-class RateLimiter(StatefulProcessor):
+class Ending(StatefulProcessor):
+    """A processor whose state for a key may end at a time of its own."""
+
+    ends = False
+
+    def end_at(self, us: int) -> None:
+        """Clear the key's state when the watermark has passed this time, and at no other."""
+        if self.ends:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(us // 1000 + 1)
+
+    def clear(self) -> None:
+        raise NotImplementedError
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+class RateLimiter(Ending):
     """Counter per key in a window anchored at its first request."""
 
-    def __init__(self, limit: int, window_seconds: int):
-        self.limit, self.width = limit, window_seconds * 1_000_000
+    def __init__(self, limit: int, window_seconds: int, ends: bool = False):
+        self.limit, self.width, self.ends = limit, window_seconds * 1_000_000, ends
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.window = handle.getValueState("window", "start_us long, count long")
 
+    def clear(self) -> None:
+        self.window.clear()
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
         batch = pd.concat(list(rows)).sort_values(["ts", "request_id"])
         start, count = self.window.get() if self.window.exists() else (None, 0)
@@ -48,24 +80,27 @@ class RateLimiter(StatefulProcessor):
             out.append((str(key[0]), request, at, pd.Timestamp(start, unit="us"), count, allowed,
                         wait))
         self.window.update((start, count))
+        self.end_at(start + self.width)
         yield pd.DataFrame(out, columns=["key", "request_id", "ts", "window_start", "count",
                                          "allowed", "retry_after"])
 
-    def close(self) -> None:
-        pass
-
 
-class AnswerCache(StatefulProcessor):
+class AnswerCache(Ending):
     """Ring of the newest answers per tenant; each store renews the list's lifetime.
 
     With ``replay`` on, a query that misses is stored itself, as the live service would.
     """
 
     def __init__(self, threshold: float = THRESHOLD, ring: int = RING,
-                 ttl_seconds: int = TTL_SECONDS, replay: bool = False):
-        self.settings = threshold, ring, ttl_seconds * 1_000_000, replay
+                 ttl_seconds: int = TTL_SECONDS, replay: bool = False, ends: bool = False):
+        self.settings, self.ends = (threshold, ring, ttl_seconds * 1_000_000, replay), ends
+
+    def clear(self) -> None:
+        self.entries.clear()
+        self.stored_at.clear()
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.entries = handle.getListState("entries", "store_id string, embedding array<double>")
         self.stored_at = handle.getValueState("stored_at", "us long")
 
@@ -84,14 +119,11 @@ class AnswerCache(StatefulProcessor):
         if cache.entries:
             self.entries.put([(id_, vector.tolist()) for id_, vector in cache.entries])
             self.stored_at.update((cache.stored_at,))
+            self.end_at(cache.stored_at + cache.ttl)
         else:
-            self.entries.clear()
-            self.stored_at.clear()
+            self.clear()
         yield pd.DataFrame(out, columns=["tenant", "qid", "store_id", "similarity"])
 
-    def close(self) -> None:
-        pass
-
 
 class ConversationState(StatefulProcessor):
     """Counts of a conversation so far, carried between batches."""
@@ -115,20 +147,25 @@ class ConversationState(StatefulProcessor):
         pass
 
 
-def _keyed(rows: DataFrame, key: str, processor: StatefulProcessor, output: str) -> DataFrame:
+def _keyed(rows: DataFrame, key: str, processor: StatefulProcessor, output: str,
+           lateness: str | None = None) -> DataFrame:
     """The processor over the rows of each key; its state needs the RocksDB store."""
     rows.sparkSession.conf.set(STATE_STORE, SETTINGS[STATE_STORE])
-    return rows.groupBy(key).transformWithStateInPandas(processor, output, "Append", "None")
+    if lateness:
+        rows = rows.withWatermark("ts", lateness)
+    return rows.groupBy(key).transformWithStateInPandas(
+        processor, output, "Append", "EventTime" if lateness else "None")
 
 
-def rate_limit_stream(requests: DataFrame, limit: int, window_seconds: int) -> DataFrame:
+def rate_limit_stream(requests: DataFrame, limit: int, window_seconds: int,
+                      lateness: str | None = None) -> DataFrame:
     """requests: key, request_id, ts."""
-    return _keyed(requests, "key", RateLimiter(limit, window_seconds), LIMIT_OUTPUT)
+    return _keyed(requests, "key", RateLimiter(limit, window_seconds, bool(lateness)), LIMIT_OUTPUT, lateness)
 
 
-def answer_cache_stream(events: DataFrame, **options) -> DataFrame:
+def answer_cache_stream(events: DataFrame, lateness: str | None = None, **options) -> DataFrame:
     """events: tenant, kind (0 query, 1 invalidate, 2 store), id, ts, embedding."""
-    return _keyed(events, "tenant", AnswerCache(**options), CACHE_OUTPUT)
+    return _keyed(events, "tenant", AnswerCache(**options, ends=bool(lateness)), CACHE_OUTPUT, lateness)
 
 
 def conversation_stream(messages: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Distributed order statistics, limits and caches against brute force."""
 
+import os
 import random
 
 import numpy as np
@@ -175,6 +176,30 @@ def test_answer_cache_batch_and_stream(spark, seed):
         asked, .95, 10, 80_000_000_000, True)
 
 
+def test_state_of_dead_keys_ends(spark, tmp_path):
+    # Four days of requests, every key on one day only; a file a day is a batch.
+    rows = [(f"k{d}-{k % 50}", d * 1000 + k, ((d + 1) * 86_400 + k * 60) * 1_000_000) for d in range(4) for k in range(200)]
+    frame = spark.createDataFrame(rows, "key string, request_id long, us long").select(
+        "key", "request_id", F.timestamp_micros("us").alias("ts"))
+    seen = set()
+    for d in range(4):
+        frame.where(f"request_id div 1000 = {d}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        # The source takes files in the order of their times.
+        for path in set((tmp_path / "in").glob("*.parquet")) - seen:
+            os.utime(path, (1_700_000_000 + 60 * d,) * 2)
+            seen.add(path)
+    stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    held = {}
+    for name, lateness in (("ends", "1 hour"), ("stays", None)):
+        query = (stateful.rate_limit_stream(stream, 3, 600, lateness).writeStream.format("memory").queryName(name)
+                 .option("checkpointLocation", f"{tmp_path}/{name}").trigger(availableNow=True).start())
+        query.awaitTermination()
+        held[name] = max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress[-1:])
+    assert held["ends"] < held["stays"]
+    answers = [sorted((r.request_id, r["count"], r.allowed) for r in spark.table(n).collect()) for n in held]
+    assert answers[0] == answers[1] and len(answers[0]) == 800
+
+
 @pytest.mark.parametrize("chunk_rows", [7, 40, 10_000])
 def test_parallel_replay_equals_the_sequential_one(spark, chunk_rows):
     events = cache_events(3, 400)
