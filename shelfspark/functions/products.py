@@ -34,12 +34,17 @@ def rerank_text(title: Column, brand: Column, description: Column,
 
 
 def content_hash() -> Column:
-    """Hash over every product field but ``updated_at``; equal content, equal hash."""
+    """Hash over every product field but ``updated_at``; equal content, equal hash.
+
+    Prices count by their value, whatever type they come in.
+    """
     fields = []
     for name in sorted(PRODUCT_FIELDS):
         column = F.col(name)
         if name == "attributes":
             column = F.array_sort(F.map_entries(column))
+        elif name in ("price", "original_price"):
+            column = column.cast("decimal(18,4)")
         fields.append(column.alias(name))
     return F.sha2(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), 256)
 

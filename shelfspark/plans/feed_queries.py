@@ -216,14 +216,15 @@ def fold_attributes(spark, sf):
 
 
 @register("pre_post_hooks", f"""{MAPPED_SQL}
-SELECT tenant, feed_seq, upper(title) AS title, sku || '-x' AS sku FROM judged""")
+SELECT j.tenant, feed_seq, upper(title) AS title, sku || '-x' AS sku, f.id AS raw_id
+FROM judged j JOIN feed f USING (feed_seq)""")
 def pre_post_hooks(spark, sf):
     hooked = fm.FeedAdapter(
         MAPPING, lambda feed: feed.withColumn("id", F.when(
             F.trim("id") != "", F.concat(F.trim("id"), F.lit("-x")))),
         lambda out: out.withColumn("title", F.upper("title")))
-    return hooked.apply(st.messy_feed(spark, sf), keep_raw=False, plain_text=True).select(
-        "tenant", "feed_seq", "title", "sku")
+    out = hooked.apply(st.messy_feed(spark, sf), plain_text=True)
+    return out.select("tenant", "feed_seq", "title", "sku", F.try_element_at("raw", F.lit("id")).alias("raw_id"))
 
 
 @register("first_of_delimited", """
@@ -578,15 +579,25 @@ def upper_currency(spark, sf):
 
 @register("content_hash", f"""WITH {st.PRODUCTS_SQL}
 SELECT tenant, count(*) AS n, count(DISTINCT concat_ws('~', sku, title, price, gender)) AS hashes,
-  true AS price_scale_ignored FROM products GROUP BY 1""")
+  count(*) AS same_by_value, count(price) AS changed FROM products GROUP BY 1""")
 def content_hash(spark, sf):
+    """Distinct hashes; rows whose hash stays when the price comes as another type; rows whose
+    hash changes with the price."""
     p = st.products(spark, sf)
     hashed = delta.with_content_hash(p)
-    again = delta.with_content_hash(p.withColumn("price", (F.col("price") * 1).cast(
-        "decimal(18,4)"))).select("sku", F.col("content_hash").alias("again"))
-    return hashed.join(again, "sku").groupBy("tenant").agg(
+
+    def again(price, name):
+        return delta.with_content_hash(p.withColumn("price", price)).select(
+            "sku", F.col("content_hash").alias(name))
+
+    price = F.col("price")
+    others = hashed.join(again(price.cast("decimal(22,8)"), "wide"), "sku").join(
+        again(price.cast("double"), "double"), "sku").join(again(price + F.lit(0.01).cast("decimal(4,2)"), "moved"), "sku")
+    same = (F.col("wide") == F.col("content_hash")) & (F.col("double") == F.col("content_hash"))
+    return others.groupBy("tenant").agg(
         F.count("*").alias("n"), F.countDistinct("content_hash").alias("hashes"),
-        F.min(F.col("again") == F.col("content_hash")).alias("price_scale_ignored"))
+        F.count_if(same).alias("same_by_value"),
+        F.count_if(F.col("moved") != F.col("content_hash")).alias("changed"))
 
 
 @register("object_id", f"""WITH {st.PRODUCTS_SQL}

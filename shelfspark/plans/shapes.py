@@ -73,8 +73,14 @@ def sql_currency(x: str) -> str:
 
 
 def sql_rating(x: str) -> str:
-    return f"""CASE WHEN {x} = '4.5' THEN 4.5 WHEN {x} = '9/10' THEN 4.5
-      WHEN {x} = '4,2' THEN 4.2 ELSE NULL END"""
+    """A rating on a scale of 5; ``a/b`` brings its own scale, which must be above zero."""
+    def number(text: str) -> str:
+        return f"try_cast(nullif(regexp_extract(replace({text}, ',', '.'), '-?[0-9]+(\\.[0-9]+)?'), '') AS DOUBLE)"
+
+    over, below = number(f"split_part({x}, '/', 1)"), number(f"split_part({x}, '/', 2)")
+    scale = f"CASE WHEN contains({x}, '/') THEN {below} ELSE 5.0 END"
+    return (f"CASE WHEN {scale} > 0 THEN round_even(greatest(0.0, least({over}, {scale})) * 5.0 / {scale}, 3)"
+            f"::DOUBLE END")
 
 
 def sql_bool(x: str, default: str = "NULL") -> str:
