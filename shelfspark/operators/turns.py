@@ -195,8 +195,9 @@ def tool_rounds(calls: DataFrame, cap: int = MAX_TOOL_ROUNDS) -> DataFrame:
 
     calls: conv_id, turn, ts, event_id.
     """
-    numbered = running(calls, ["conv_id", "turn"], [F.col("ts"), F.col("event_id")],
-                       F.date_trunc("hour", "ts"), sums={"round": F.lit(1)})
+    hour = F.floor(F.unix_micros("ts") / F.lit(3_600_000_000))
+    numbered = running(calls, ["conv_id", "turn"], [F.col("ts"), F.col("event_id")], hour,
+                       sums={"round": F.lit(1)})
     return numbered.withColumn("force_no_tools", F.col("round") >= cap)
 
 

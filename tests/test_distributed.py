@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from shelfspark.operators import answer_cache, embeddings, limits, pivot_index, quality, ranks
+from shelfspark.operators import answer_cache, embeddings, limits, pivot_index, quality, ranks, turns
 from shelfspark.session import scratch_path
 from shelfspark.streaming import runs, stateful
 
@@ -51,6 +51,14 @@ def test_a_million_buckets_of_one_key(spark):
     assert index.where(F.col("index") != F.col("seq") / 3 + 1).count() == 0
 
 
+def test_tool_rounds_count_over_hours(spark):
+    rows = [("a", 0, f"2024-01-01 0{i // 3}:{10 * (i % 3)}:00", i) for i in range(7)] + [("b", 0, "1969-12-31 23:59:59", 9)]
+    calls = spark.createDataFrame(rows, "conv_id string, turn long, ts string, event_id long").withColumn(
+        "ts", F.col("ts").cast("timestamp"))
+    got = {r.event_id: (r["round"], r.force_no_tools) for r in turns.tool_rounds(calls).collect()}
+    assert got == {i: (i + 1, i >= 1) for i in range(7)} | {9: (1, False)}
+
+
 def test_running_and_dense_index(spark):
     rng = random.Random(5)
     rows = [(rng.choice("aab"), i, rng.randint(-5, 5)) for i in range(500)]
