@@ -172,3 +172,32 @@ def test_pools_follow_each_query(spark):
                                   "qid string, tenant string, query string, limit int")
     hits = search.search(asked, docs).groupBy("qid").count().collect()
     assert {h["qid"]: h["count"] for h in hits} == {"a": 100, "b": 7, "c": 60}
+
+
+def test_bm25_by_blocks(spark, monkeypatch):
+    """Blocks of queries, shuffled or not, give the scores of saved postings; a cut list stays short."""
+    words = ["pan", "pot", "lid", "wok", "ladle", "tin"]
+    docs = spark.createDataFrame(
+        [(f"t{i % 2}", f"D{i:04d}", " ".join(words[(i * k) % 6] for k in range(1, 2 + i % 7))) for i in range(900)]
+        + [("t0", "none", None), ("t1", "blank", "")], "tenant string, sku string, text string").coalesce(1)
+    asked = spark.createDataFrame([(f"q{j}", f"t{j % 2}", f"{words[j % 6]} {words[j // 2 % 6]} rare{j}") for j in range(9)],
+                                  "qid string, tenant string, query string")
+    rows = lambda found: {(r.tenant, r.qid, r.sku): round(r.score, 6) for r in found.collect()}
+    want = rows(search.bm25(asked, docs, search.postings(docs)))
+    assert rows(search.bm25(asked, docs)) == want
+    best = search.bm25(asked, docs, k=3)
+    order = [F.desc("score"), F.asc("sku")]
+    first = search.top_k(search.bm25(asked, docs), ["qid"], order, 3).select("qid", "sku", "rank")
+    assert sorted(search.top_k(best, ["qid"], order, 3).select("qid", "sku", "rank").collect()) == sorted(first.collect())
+    assert best.count() < len(want) / 2
+    monkeypatch.setattr(search.keyword_blocks, "QUERY_ROWS", 2)
+    monkeypatch.setattr(search.keyword_blocks, "BROADCAST_BLOCKS", 0)
+    assert rows(search.bm25(asked, docs)) == want
+
+
+def test_candidate_lists_are_stored(spark):
+    """What follows reads the lists again and again without searching again."""
+    docs = spark.createDataFrame([("t", f"D{i}", f"pan pot{i}") for i in range(5)], "tenant string, sku string, text string")
+    asked = spark.createDataFrame([("q", "t", "pan pot3")], "qid string, tenant string, query string")
+    plan = search.candidate_lists(asked, docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan
