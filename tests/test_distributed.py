@@ -240,6 +240,23 @@ def test_pivot_index_is_exact_and_skips_blocks(spark):
     assert pivot_index.skipped(found).first()["skipped"] > 0.3
 
 
+def test_nearest_stores_no_pairs_of_query_and_block(spark, monkeypatch):
+    """Copies tie over many blocks; blocks and queries fill several packs."""
+    rng = np.random.default_rng(4)
+    corpus = rng.normal(size=(600, 6)).astype("float32")
+    corpus[100:300] = corpus[100]
+    rows = spark.createDataFrame([("t" if k % 5 else "few", f"{k:04d}", v.tolist()) for k, v in enumerate(corpus)]
+                                 + [("one", "x", [1.0] * 6)], "tenant string, id string, v array<float>")
+    asked = rows.withColumnRenamed("id", "qid")
+    for name, value in (("HEADS", 3), ("BUNDLE_ROWS", 90), ("QUERY_ROWS", 40)):
+        monkeypatch.setattr(pivot_index, name, value, raising=False)
+    monkeypatch.setattr(pivot_index, "bounds", None)
+    hits = pivot_index.nearest(asked, pivot_index.build(rows, pivots=8, block_rows=30), 4).hits
+    want = embeddings.knn_topk(asked, rows, 4)
+    columns = ["tenant", "qid", "id", "rank"]
+    assert sorted(map(tuple, hits.select(*columns).collect())) == sorted(map(tuple, want.select(*columns).collect()))
+
+
 def test_knn_matches_brute_force(spark):
     rng = np.random.default_rng(0)
     corpus = rng.normal(size=(700, 8)).astype("float32")
