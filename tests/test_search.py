@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfspark.functions.routing import classify_query
+from shelfspark.functions.text import word_tokens, words
 from shelfspark.functions.vectors import hashed_embedder
 from shelfspark.operators import delta, evaluation, filters, search
 from shelfspark.operators import feed_mapping as fm
@@ -201,3 +202,21 @@ def test_candidate_lists_are_stored(spark):
     asked = spark.createDataFrame([("q", "t", "pan pot3")], "qid string, tenant string, query string")
     plan = search.candidate_lists(asked, docs)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Window" not in plan
+
+
+def test_packs_hold_asked_words_only(spark):
+    """What travels of a document is its length and the words that queries ask for."""
+    docs = spark.createDataFrame([("t", "A", "Straße 12 – red_red x"), ("t", "B", None), (None, "C", "red")],
+                                 "tenant string, sku string, text string").coalesce(1)
+    blocks = search.keyword_blocks
+    asked = blocks.shared_terms(spark.createDataFrame([("red",), ("straße",), ("blue",)], "term string"))
+    (pack,) = blocks._packs(docs, asked).collect()
+    assert sorted(pack["words"]) == ["red", "straße"] and pack["sizes"] == [5] and pack["counts"] == [3]
+    counts = {r["term"]: tuple(r)[2:] for r in blocks.term_counts(docs, asked).collect()}
+    assert counts == {"": (2, 1, 5), "red": (1, 0, 0), "straße": (1, 0, 0)}
+
+
+def test_words_in_tasks_are_those_of_the_column(spark):
+    texts = ["Straße 12 – red_red", "ÀÉ²½ x’s Ⅷ١٢", "", "\t\u00a0a\u3000b\u0085c", "ΣΑΣ İx 東京2020 😀ok"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string").select("t", word_tokens(F.col("t")).alias("w"))
+    assert {r.t: r.w for r in frame.collect()} == {t: words(t) for t in texts}
