@@ -327,3 +327,13 @@ def test_large_slices_keep_several_files_beside_a_small_one(spark):
      .trigger(availableNow=True).start().awaitTermination())
     assert [ids for _, (ids, _) in sorted(found.items()) if ids] == [{*range(998)}, {998, 999}]
     assert found[0][1] == stream_queries.SLICE_FILES
+
+
+def test_neighbours_of_equal_score_go_by_id_in_every_block(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "QUERY_BLOCK_ROWS", 5)
+    ids = [f"{(i * 37) % 60:02d}" for i in range(60)]
+    rows = spark.createDataFrame([("t", i, [1.0, 0.0] if int(i) % 3 else [0.0, 1.0]) for i in ids],
+                                 "tenant string, id string, v array<float>").coalesce(1)
+    asked = spark.createDataFrame([("t", "q", [1.0, 0.0])], "tenant string, qid string, v array<float>")
+    found = embeddings.knn_topk(asked, rows, 4).orderBy("rank").collect()
+    assert [r["id"] for r in found] == ["01", "02", "04", "05"]
