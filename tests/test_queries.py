@@ -50,3 +50,20 @@ def test_query(spark, sf, tables, name):
     columns = [d[0] for d in cursor.description]
     assert sorted(columns) == sorted(frame.columns)
     assert canonical(got, frame.columns) == canonical(cursor.fetchall(), columns)
+
+
+def test_judgments_in_several_passes(spark, tmp_path, monkeypatch):
+    """Passages of any length, more of them than a pass takes, found wherever a text holds them."""
+    from shelfspark.plans import standins
+
+    monkeypatch.setattr(standins, "PASSAGES", 2)
+    passages = ["a b", "one two three", "x  y z w v", "lone", "wo three\tfou", "q w e r t y"]
+    texts = ["zz one two three four", "one two three\tfour", "x  y z w v", "x y z w v", "alone a bc", None, "q w e r ty"]
+    spark.createDataFrame(list(enumerate(passages)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, "en", t) for i, t in enumerate(texts)], "doc_id long, lang string, text string"
+                          ).write.parquet(f"{tmp_path}/documents.parquet")
+    want = {(f"en-{i}", f"D{d}") for i, p in enumerate(passages) for d, t in enumerate(texts) if t and p in t}
+    found = standins.judgments(spark, str(tmp_path))
+    assert {(r.qid, r.sku) for r in found.collect()} == want and len(want) >= 5
+    assert found.count() == len(want)
+
