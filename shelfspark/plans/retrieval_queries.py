@@ -258,7 +258,8 @@ def _unfolded(rows: DataFrame) -> DataFrame:
 @register("embed_tfidf_documents", _tfidf("rows_ AS (SELECT doc_id AS id, tenant, words FROM docs)", "rows_"))
 def embed_tfidf_documents(spark, sf):
     docs = st.wide(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("tenant"), "text")
-    return _unfolded(sparse_embed.embed(docs, sparse_embed.learn(docs)))
+    counts = sparse_embed.counts_in_tasks()
+    return _unfolded(sparse_embed.embed(docs, sparse_embed.learn(docs, counts=counts), counts=counts))
 
 
 @register("embed_tfidf_queries", _tfidf(r"""rows_ AS (SELECT item_id AS id, t.tenant, list_filter(
@@ -269,4 +270,5 @@ def embed_tfidf_queries(spark, sf):
     docs = st.wide(spark, sf, "documents").select(F.col("lang").alias("tenant"), "text")
     asked = table(spark, sf, "benchmark").select(
         F.col("item_id").alias("id"), "text", F.explode(F.array(*map(F.lit, st.GOLDEN_TENANTS))).alias("tenant"))
-    return _unfolded(sparse_embed.embed(asked, sparse_embed.learn(docs), prefix=INSTRUCTION))
+    learned = sparse_embed.learn(docs, counts=sparse_embed.counts_in_tasks())
+    return _unfolded(sparse_embed.embed(asked, learned, prefix=INSTRUCTION))

@@ -40,3 +40,24 @@ def test_no_python_in_the_plan(spark):
     rows = spark.createDataFrame(TEXTS, "tenant string, text string")
     plan = se.embed(rows, se.learn(rows))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_counts_in_tasks_equal_those_of_the_column(spark):
+    rows = spark.createDataFrame([(i, *t) for i, t in enumerate(TEXTS)], "id int, tenant string, text string")
+    for n, prefix in ((3, ""), (997, "find: ")):
+        counts = se.counts_in_tasks(n, prefix)
+        frames = [se.embed(rows, se.learn(rows, dimensions=n), dimensions=n, prefix=prefix),
+                  se.embed(rows, se.learn(rows, dimensions=n, counts=se.counts_in_tasks(n)), dimensions=n, counts=counts)]
+        want, got = [sorted((r["id"], r["sparse"]) for r in f.collect()) for f in frames]
+        assert got == want and frames[0].columns == frames[1].columns
+
+
+def test_rows_of_a_large_tenant_do_not_meet_in_one_task(spark, monkeypatch):
+    rows = spark.createDataFrame(TEXTS, "tenant string, text string")
+    learned = se.learn(rows)
+    near = se.embed(rows, learned)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    monkeypatch.setattr(se, "TENANTS", 0)
+    assert sorted(se.embed(rows, learned).select("sparse").collect()) == sorted(near.select("sparse").collect())
+
