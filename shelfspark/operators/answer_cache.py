@@ -143,18 +143,20 @@ class Ring:
 
 @dataclass
 class Replay:
-    """Hits of a replay, and how many chunks ran in each round."""
+    """Hits of a replay, how many chunks ran in each round, and the cache each tenant was left with."""
 
     hits: DataFrame
     rounds: list[int]
+    state: DataFrame
 
 
 def replay(events: DataFrame, threshold: float = THRESHOLD, ring: int = RING,
-           ttl_seconds: int = TTL_SECONDS, chunk_rows: int = CHUNK_ROWS, misses_stored: bool = True) -> Replay:
+           ttl_seconds: int = TTL_SECONDS, chunk_rows: int = CHUNK_ROWS, misses_stored: bool = True,
+           begun: DataFrame | None = None) -> Replay:
     """The log of each tenant replayed in order, by many tasks: (tenant, qid, store_id, similarity).
 
-    events: tenant, kind (0 query, 1 invalidate, 2 store), id, ts, embedding. A tenant's log is cut into
-    chunks of ``chunk_rows`` events, all replayed at once from a guess of the cache they begin with (an
+    events: tenant, kind (0 query, 1 invalidate, 2 store), id, ts, embedding. ``begun`` (tenant, ring, stored_at)
+    is the state that an earlier replay left, for logs that come in parts. A tenant's log is cut into chunks of ``chunk_rows`` events, all replayed at once from a guess of the cache they begin with (an
     empty one). A chunk whose guess differs from what its predecessor left is replayed from that; this
     goes on until no guess differs. Then each chunk began with what the one before it left, and the
     first one with nothing, as in one sequential replay. A cache that is emptied, outlived or filled
@@ -189,7 +191,8 @@ def replay(events: DataFrame, threshold: float = THRESHOLD, ring: int = RING,
     def replayed(part: DataFrame, states: DataFrame) -> DataFrame:
         return materialise(part.groupBy(*keys).cogroup(states.groupBy(*keys)).applyInPandas(run, _REPLAYED))
 
-    done = replayed(chunked, spark.createDataFrame([], f"tenant string, chunk long, {_STATE}"))
+    first = begun or spark.createDataFrame([], f"tenant string, {_STATE}")
+    done = replayed(chunked, first.select("tenant", F.lit(0).cast("long").alias("chunk"), "ring", "stored_at"))
     rounds = [done.count()]
     while True:
         before = done.select("tenant", (F.col("chunk") + 1).alias("chunk"), "left", "ring", "stored_at")
@@ -202,4 +205,6 @@ def replay(events: DataFrame, threshold: float = THRESHOLD, ring: int = RING,
         again = replayed(chunked.join(wrong.select(*keys), keys, "left_semi"), wrong)
         done = materialise(done.join(again.select(*keys), keys, "left_anti").unionByName(again))
     hits = done.select("tenant", F.explode("hits").alias("h")).select("tenant", "h.*")
-    return Replay(hits, rounds)
+    last = done.groupBy("tenant").agg(F.max("chunk").alias("chunk"))
+    state = done.join(last, keys, "left_semi").select("tenant", "ring", "stored_at")
+    return Replay(hits, rounds, state)

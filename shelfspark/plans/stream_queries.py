@@ -94,9 +94,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, idx DESC)
 SELECT tenant, lpad(CAST(qid AS VARCHAR), 12, '0') AS qid, lpad(CAST(sid AS VARCHAR), 12, '0')
   AS store_id, round(sim, 6) AS similarity FROM r WHERE rn = 1""")
 def stream_answer_cache(spark, sf):
-    hits = stateful.answer_cache_stream(_cache_stream(spark, sf), threshold=0.2, ring=30,
-                                        ttl_seconds=4 * 3600)
-    return plain(runs.drain(hits, "cache"))
+    return plain(runs.replay_stream(_cache_stream(spark, sf), "cache", threshold=0.2, ring=30,
+                                    ttl_seconds=4 * 3600, misses_stored=False))
 
 
 def _cache_events(spark, sf):
@@ -151,9 +150,8 @@ def semantic_cache(spark, sf):
 @register("stream_semantic_cache", REPLAY_SQL)
 def stream_semantic_cache(spark, sf):
     """The same replay as a stream, in the order of events."""
-    hits = stateful.answer_cache_stream(_cache_stream(spark, sf), threshold=0.2, ring=30,
-                                        ttl_seconds=4 * 3600, replay=True)
-    return plain(runs.drain(hits, "replay"))
+    return plain(runs.replay_stream(_cache_stream(spark, sf), "replay", threshold=0.2, ring=30,
+                                    ttl_seconds=4 * 3600))
 
 
 @register("stream_conversation_state", """

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.functions.vectors import hashed_embedder
-from shelfspark.operators import delta
+from shelfspark.operators import answer_cache, delta
 from shelfspark.operators import feed_mapping as fm
 from shelfspark.session import materialise, scratch_path
 from shelfspark.sources.catalog import CatalogTable
@@ -42,6 +42,28 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return rows.drop("batch_number")
 
 
+def replay_stream(events: DataFrame, name: str, **options) -> DataFrame:
+    """Cache hits of a stream of events, each micro-batch replayed by many tasks.
+
+    A keyed state would bring all rows of a tenant to one task. Here the caches that a batch leaves are
+    written under its number, and the next batch begins with them; a repeated batch replaces its own.
+    ``events`` and ``options`` are those of ``answer_cache.replay``; batches come in the order of time.
+    """
+    spark = events.sparkSession
+    hits, caches = scratch_path(spark, name), scratch_path(spark, f"{name}-caches")
+
+    def run(batch: DataFrame, number: int) -> None:
+        own = batch.sparkSession
+        begun = own.read.parquet(f"{caches}/batch={number - 1}") if number else None
+        found = answer_cache.replay(batch, begun=begun, **options)
+        found.state.write.mode("overwrite").parquet(f"{caches}/batch={number}")
+        found.hits.write.mode("overwrite").parquet(f"{hits}/batch={number}")
+
+    (events.writeStream.foreachBatch(run).option("checkpointLocation", scratch_path(spark, f"{name}-state"))
+     .trigger(availableNow=True).start().awaitTermination())
+    return spark.read.schema("tenant string, qid string, store_id string, similarity double").parquet(f"{hits}/*")
+
+
 def ingest_batch(feed: DataFrame, table: CatalogTable, mapping: fm.ColumnMapping | None = None,
                  adapter: fm.FeedAdapter | None = None, full_sync: bool = False, embedder=None,
                  plain_text: bool = False) -> DataFrame:

@@ -337,3 +337,24 @@ def test_neighbours_of_equal_score_go_by_id_in_every_block(spark, monkeypatch):
     asked = spark.createDataFrame([("t", "q", [1.0, 0.0])], "tenant string, qid string, v array<float>")
     found = embeddings.knn_topk(asked, rows, 4).orderBy("rank").collect()
     assert [r["id"] for r in found] == ["01", "02", "04", "05"]
+
+
+def test_replayed_stream_carries_caches_between_batches(spark, tmp_path):
+    """Batches of a tenant's log go through several tasks and give what one sequential replay gives."""
+    events = sorted(cache_events(5, 300), key=lambda e: e[1])
+    for part in range(3):
+        spark.createDataFrame([(t, us, k, i, v.tolist()) for t, us, k, i, v in events[part * 100:part * 100 + 100]
+                               if part != 1 or t != "b"],
+                              "tenant string, us long, kind int, id string, embedding array<double>").withColumn(
+            "ts", F.timestamp_micros("us")).drop("us").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        for path in (tmp_path / "in").glob("*.parquet"):
+            if path.stat().st_mtime > 1_700_001_000:
+                os.utime(path, (1_700_000_000 + 60 * part,) * 2)
+    kept = [e for n, e in enumerate(events) if not (100 <= n < 200 and e[0] == "b")]
+    schema = spark.read.parquet(f"{tmp_path}/in").schema
+    for stored in (True, False):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        hits = runs.replay_stream(stream, "replay", threshold=.95, ring=10, ttl_seconds=80_000, chunk_rows=16,
+                                  misses_stored=stored)
+        assert {r.qid: r.store_id for r in hits.collect()} == brute_cache(kept, .95, 10, 80_000_000_000, stored)
+
