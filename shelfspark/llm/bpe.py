@@ -12,17 +12,21 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Callable
+from itertools import chain, islice
 
 import numpy as np
 
-from shelfspark.llm.spans import Piece, Rolling, distinct_spans, mix
+from shelfspark.llm.spans import Piece
 
 _NEVER = np.int64(1 << 40)
 _FILTER_BITS = 20
 #: Words whose encoding a task keeps at hand; a memo only, emptied when full.
 MEMO_WORDS = 250_000
+#: The same for words kept with their ids in arrays.
+WORD_IDS = 500_000
 
 
 def byte_characters() -> list[str]:
@@ -32,6 +36,14 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+def special_strings(told: dict) -> dict[str, int]:
+    """The special strings of a tokenizer file's content and their ids, if it is of the kind worked on here."""
+    if (told["model"]["type"] != "BPE" or not told["model"]["end_of_word_suffix"]
+            or any(t["normalized"] for t in told["added_tokens"])):
+        raise ValueError("expected a BPE file with word ends and unnormalised special tokens")
+    return {t["content"]: t["id"] for t in told["added_tokens"]}
+
+
 class Vocabulary:
     """Tokens, merges and special strings of a tokenizer file; small enough to broadcast."""
 
@@ -41,10 +53,8 @@ class Vocabulary:
         model = told["model"]
         self.end = model["end_of_word_suffix"]
         self.names = {i: t for t, i in model["vocab"].items()}
-        self.special = {t["content"]: t["id"] for t in told["added_tokens"]}
+        self.special = special_strings(told)
         self.names |= {i: t for t, i in self.special.items()}
-        if model["type"] != "BPE" or not self.end or any(t["normalized"] for t in told["added_tokens"]):
-            raise ValueError("expected a BPE file with word ends and unnormalised special tokens")
         of_byte = {c: b for b, c in enumerate(byte_characters())}
         size = max(self.names) + 1
         self.size = size
@@ -211,12 +221,46 @@ def class_table() -> np.ndarray:
     return _classes[0]
 
 
+def _members(kinds: tuple[int, ...], below: int) -> str:
+    """The code points of some classes, as a regular expression writes them in brackets."""
+    member = np.isin(class_table()[:below], kinds)
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], member.view(np.int8), [0]))))
+    return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in edges.reshape(-1, 2).tolist())
+
+
+_patterns: dict[int, re.Pattern] = {}
+
+
+def word_pattern(below: int = 0x110000) -> re.Pattern:
+    """The words of a normal text with code points below a bound: a lone apostrophe takes s, t, re, ve, m,
+    ll or d with it; else runs of letters, single numbers and special strings, and runs of what is
+    neither these nor white space. Brackets up to 0x10000 are bit tables, larger ones are searched."""
+    if below not in _patterns:
+        letter, single, rest = (_members(k, below) for k in ((LETTER,), (NUMBER, SPECIAL), (OTHER,)))
+        _patterns[below] = re.compile(f"[{letter}]+|'(?:s|t|re|ve|m|ll|d)|[{rest}]+|[{single}]")
+    return _patterns[below]
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a normal text."""
+    plain = text.isascii() or len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text)
+    return word_pattern(0x10000 if plain else 0x110000).findall(text)
+
+
+class Numbers(dict):
+    """Numbers its keys in the order in which they are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
 class Splitter:
     """Cuts the texts of a piece into the words that are encoded alone."""
 
-    def __init__(self, vocabulary: Vocabulary) -> None:
-        self.marks = {s: chr(_FIRST_MARK + k) for k, s in enumerate(vocabulary.special)}
-        self.special = {m: vocabulary.special[s] for s, m in self.marks.items()}
+    def __init__(self, special: dict[str, int]) -> None:
+        self.marks = {s: chr(_FIRST_MARK + k) for k, s in enumerate(special)}
+        self.special = {m: special[s] for s, m in self.marks.items()}
 
     def normal(self, text: str) -> str:
         if "<|" in text:
@@ -227,43 +271,46 @@ class Splitter:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         return text.lower()
 
-    def split(self, piece: Piece) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The joined normal texts; for each word the number of its distinct word; starts and ends
-        of the distinct words; words before each text."""
+    def split(self, piece: Piece, numbers: Numbers) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each word; words before each text."""
         raw, edges = piece.bytes.tobytes(), piece.edges.tolist()
-        texts = [self.normal(raw[a:b - 1].decode()) for a, b in zip(edges, edges[1:])]
-        joined = "\n".join([*texts, ""])
-        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-        kind = class_table()[points]
-        new = np.ones(len(kind), bool)
-        new[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == NUMBER) | (kind[1:] == SPECIAL)
-        starts = np.flatnonzero(new)
-        ends = np.append(starts[1:], len(kind))
-        solid = kind[starts] != SPACE
-        starts, ends = self._contractions(points, kind, starts[solid], ends[solid])
-        hashes = Rolling(mix(points.astype(np.uint64) + np.uint64(1))).of(starts, ends)
-        text_starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        codes, first = distinct_spans(points, starts, ends, hashes)
-        return joined, codes, starts[first], ends[first], np.searchsorted(starts, text_starts)
-
-    @staticmethod
-    def _contractions(points, kind, starts, ends):
-        """A lone apostrophe takes s, t, re, ve, m, ll or d with it, and leaves the rest."""
-        lone = np.flatnonzero((points[starts[:-1]] == ord("'")) & (ends[:-1] - starts[:-1] == 1)
-                              & (starts[1:] == ends[:-1]) & (kind[starts[1:]] == LETTER))
-        if not len(lone):
-            return starts, ends
-        begin = starts[lone + 1]
-        one, two = points[begin], points[np.minimum(begin + 1, len(points) - 1)]
-        single = np.isin(one, [ord(c) for c in "stmd"])
-        double = ((one == ord("r")) & (two == ord("e"))) | ((one == ord("v")) & (two == ord("e"))) | (
-            (one == ord("l")) & (two == ord("l")))
-        taken = np.where(single, 1, np.where(double, 2, 0))
-        starts, ends = starts.copy(), ends.copy()
-        ends[lone] += taken
-        starts[lone + 1] += taken
-        filled = starts < ends
-        return starts[filled], ends[filled]
+        codes, sizes = [np.zeros(0, np.int64)], [0]
+        for a, b in zip(edges, edges[1:]):
+            found = words_of(self.normal(raw[a:b - 1].decode()))
+            codes.append(np.fromiter(map(numbers.__getitem__, found), np.int64, len(found)))
+            sizes.append(len(found))
+        return np.concatenate(codes), np.cumsum(sizes)
+
+
+class WordIds:
+    """Ids of the words met so far, one after another in ``flat``; emptied when full."""
+
+    def __init__(self, special: dict[str, int], encode: Callable) -> None:
+        self.splitter, self.encode = Splitter(special), encode
+        self._clear()
+
+    def _clear(self) -> None:
+        self.numbers = Numbers()
+        self.flat, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+    def __call__(self, piece: Piece) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a piece, and where each text's ids begin (one more for the end)."""
+        if len(self.numbers) > WORD_IDS:
+            self._clear()
+        done = len(self.numbers)
+        codes, bounds = self.splitter.split(piece, self.numbers)
+        special = self.splitter.special
+        fresh = list(islice(self.numbers, done, None))
+        plain = iter(self.encode([w.encode() for w in fresh if w not in special]))
+        found = [[special[w]] if w in special else next(plain) for w in fresh]
+        self.sizes = np.concatenate((self.sizes, np.fromiter(map(len, found), np.int64, len(found))))
+        self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(found), np.int32)))
+        counts = self.sizes[codes]
+        total = np.concatenate(([0], np.cumsum(counts)))
+        # Position of each id in `flat`: its word's begin plus its place in the word.
+        begins = (np.cumsum(self.sizes) - self.sizes)[codes]
+        places = np.arange(total[-1]) - np.repeat(total[:-1] - begins, counts)
+        return self.flat[places], total[bounds]
 
 
 class Memo:
@@ -273,15 +320,16 @@ class Memo:
                  encode: Callable | None = None, special: Callable | None = None) -> None:
         self.derive = derive
         self.special = special or (lambda i: derive([i]))
-        self.splitter = Splitter(vocabulary)
+        self.splitter = Splitter(vocabulary.special)
         self.encode = encode or vocabulary.encode_words
         self.known: dict[str, object] = {}
 
     def __call__(self, piece: Piece) -> tuple[np.ndarray, list, np.ndarray]:
         """Per word of the piece the number of its distinct word; what is derived from each
         distinct word; the words before each text."""
-        joined, codes, starts, ends, bounds = self.splitter.split(piece)
-        words = [joined[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
+        numbers = Numbers()
+        codes, bounds = self.splitter.split(piece, numbers)
+        words = list(numbers)
         if len(self.known) > MEMO_WORDS:
             self.known.clear()
         known, special = self.known, self.splitter.special

@@ -21,25 +21,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfspark.llm.bpe import Memo, Vocabulary
+from shelfspark.llm.bpe import Memo, Vocabulary, WordIds
 from shelfspark.llm.spans import pieces
 
 
-def ids_of_pieces(batches: Iterator[pa.RecordBatch], at: int, vocabulary: Vocabulary
-                  ) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Per piece: its rows, all ids, and where each text's ids begin (one more for the end)."""
-    memo = Memo(vocabulary, lambda ids: np.array(ids, np.int32))
+def ids_of_pieces(batches: Iterator[pa.RecordBatch], at: int, vocabulary: Vocabulary | None = None,
+                  words: WordIds | None = None) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Per piece: its rows, all ids, and where each text's ids begin (one more for the end). The words'
+    ids come from ``words`` where given, else from the vocabulary."""
+    words = words or WordIds(vocabulary.special, vocabulary.encode_words)
     for batch in batches:
         for piece in pieces(batch.column(at)):
-            codes, found, bounds = memo(piece)
-            sizes = np.array([len(x) for x in found], np.int64)
-            flat = np.concatenate([*found, np.zeros(0, np.int32)])
-            begins = np.cumsum(sizes) - sizes
-            counts = sizes[codes]
-            total = np.concatenate(([0], np.cumsum(counts)))
-            # Position of each id in `flat`: its word's begin plus its place in the word.
-            places = np.arange(total[-1]) - np.repeat(total[:-1] - begins[codes], counts)
-            yield batch.slice(piece.first, len(piece)), flat[places], total[bounds]
+            yield batch.slice(piece.first, len(piece)), *words(piece)
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:

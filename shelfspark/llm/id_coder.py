@@ -1,34 +1,40 @@
 """An adaptive context-mixing range coder for blocks of token ids, in whole numbers only.
 
-Two tables of a block hold the id that last followed the two ids before (order 2) and the one id
-before (order 1), each with a confidence. Whether the order-2 prediction holds is coded with a
-probability mixed from the counters of both confidences in the logistic domain, by weights that
-learn from each outcome. If it fails, the order-1 prediction is tried with a counter of its
-own; if that fails too, the id is coded by the order-0 model, four adaptive distributions of four bits
-under the bits before them. Encoder and decoder run the same model.
-
-All blocks of a batch advance together, one id of each at a time, so each array operation serves
-hundreds of blocks; every block starts from the same state and can be decoded alone. The range
-has 48 bits and gives off words of 16; carries are resolved when a block ends.
+Two tables hold the id that last followed the two ids before (order 2) and the one id before
+(order 1), each with a confidence. Whether the order-2 prediction holds is given a probability mixed
+from the counters of both confidences in the logistic domain, by weights that learn from each outcome.
+If it fails, the order-1 prediction is tried with a counter of its own; if that fails too, the id is
+coded by the order-0 model, the counts of such ids in the block, which stand before its words. These
+parts share one interval, so an id is one step of the range coder. Encoder and decoder run the same model.
+
+A block is cut into lanes of ``LANE_IDS`` ids that learn apart. The lanes of all blocks of a batch
+advance together, one id of each at a time, so each array operation serves hundreds or thousands of ids;
+every block can be decoded alone. The range has 63 bits and gives off words of 32; carries are resolved
+when a lane ends.
 """
 
 from __future__ import annotations
 
+import struct
 import zlib
 from decimal import Decimal, localcontext
 
 import numpy as np
 
-#: Ids in a block; the counts of a distribution stay below 2**16.
+#: Ids in a block and in a lane; blocks coded at once.
 BLOCK_IDS = 1 << 14
-LANES = 768
-_SLOTS = (1 << 12, 1 << 13)
-_ROWS = (1, 16, 256, 4096)
-_STEP = 2
-_LOW = np.uint64((1 << 32) - 1)
-_FULL = np.uint64((1 << 48) - 1)
-_SHORT = np.uint64(1 << 32)
-_16, _32 = np.uint64(16), np.uint64(32)
+LANE_IDS = 1 << 10
+LANES = 256
+_SLOTS = (1 << 9, 1 << 9)
+#: The interval of an id is a part of 2**30; some is always left for order 0, 2**15 at least.
+_WHOLE = 1 << 30
+_MOST2 = 4080
+#: Where the counters of order 1 alone go to, of 2**16.
+_NEVER, _ALWAYS = 1_024, 65_024
+_FULL = np.uint64((1 << 63) - 1)
+_LOW = np.uint64((1 << 31) - 1)
+_SHORT = np.uint64(1 << 31)
+_1, _30, _31, _32 = (np.uint64(x) for x in (1, 30, 31, 32))
 
 
 def _curves() -> tuple[np.ndarray, np.ndarray]:
@@ -40,244 +46,300 @@ def _curves() -> tuple[np.ndarray, np.ndarray]:
         odds = [(Decimal(2 * k + 1) / (8191 - 2 * k)).ln() * 256 for k in range(4096)]
         inverse = [4096 / (1 + (Decimal(-k) / 256).exp()) for k in range(-2048, 2048)]
     stretch = np.array([min(2047, max(-2047, round(x))) for x in odds], np.int32)
-    squash = np.array([min(4095, max(1, round(x))) for x in inverse], np.int32)
+    squash = np.array([min(_MOST2, max(1, round(x))) for x in inverse], np.int32)
     return stretch, squash
 
 
 _STRETCH, _SQUASH = _curves()
 
 
-#: Sums of a fresh distribution, and what one more of each symbol adds to the sums.
-_EVEN = np.arange(1, 17, dtype=np.uint16).view(np.uint64)
-_MORE = (_STEP * (np.arange(16) >= np.arange(16)[:, None])).astype(np.uint16).view(np.uint64)
-_ONES = np.uint64(0x0101010101010101)
-
-
-def bounds_of(ends: np.ndarray, told: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the symbols' shares begin and end, given the running sums of each row."""
-    flat = ends.ravel()
-    at = np.arange(0, 16 * len(told), 16) + told
-    return flat[at - (told > 0)].astype(np.uint64) * (told > 0), flat[at].astype(np.uint64)
-
-
 class Encoder:
-    """Ranges of many blocks, and the words that they have given off."""
+    """Ranges of many lanes, and the words that they have given off."""
 
     def __init__(self, lanes: int) -> None:
         self.low = np.zeros(lanes, np.uint64)
         self.range = np.full(lanes, _FULL)
-        self.words = np.zeros((lanes, 1024), np.uint32)
+        self.words = np.zeros((lanes, 256), np.uint64)
         self.used = np.zeros(lanes, np.int64)
 
     def room(self, words: int) -> None:
         if int(self.used.max()) + words >= self.words.shape[1]:
-            more = np.zeros((len(self.words), self.words.shape[1] + 4 * words), np.uint32)
-            more[:, :self.words.shape[1]] = self.words
-            self.words = more
-
-    def bit(self, at, chance: np.ndarray, told: np.ndarray) -> np.ndarray:
-        low, wide = self.low[at], self.range[at]
-        bound = (wide >> np.uint64(12)) * chance
-        self._put(at, np.where(told, low, low + bound), np.where(told, bound, wide - bound))
-        return told
-
-    def symbol(self, at, ends: np.ndarray, told: np.ndarray) -> np.ndarray:
-        low, wide = self.low[at], self.range[at]
-        first, high = bounds_of(ends, told)
-        unit = wide // ends[:, 15].astype(np.uint64)
-        self._put(at, low + unit * first, unit * (high - first))
-        return told
-
-    def _put(self, at, low: np.ndarray, wide: np.ndarray) -> None:
-        short = wide < _SHORT
-        if isinstance(at, slice):
-            lanes = np.flatnonzero(short)
-        else:
-            lanes = at[short]
-        self.words[lanes, self.used[lanes]] = low[short] >> _32
-        self.used[lanes] += 1
-        self.low[at] = np.where(short, (low & _LOW) << _16, low)
-        self.range[at] = np.where(short, wide << _16, wide)
-
-    def finish(self) -> list[bytes]:
-        self.room(4)
+            self.words = np.pad(self.words, ((0, 0), (0, 64 + words)))
+
+    def part(self, n: int, first: np.ndarray, share: np.ndarray) -> None:
+        """Narrow the first ``n`` ranges to these parts of 2**30."""
+        unit = self.range[:n] >> _30
+        low, wide = self.low[:n], unit * share
+        low += unit * first
+        lanes = np.flatnonzero(wide < _SHORT)
+        if len(lanes):
+            given = low[lanes]
+            self.words[lanes, self.used[lanes]] = given >> _31
+            self.used[lanes] += 1
+            low[lanes] = (given & _LOW) << _32
+            wide[lanes] <<= _32
+        self.range[:n] = wide
+
+    def finish(self) -> list[np.ndarray]:
+        self.room(2)
         every = np.arange(len(self.low))
-        for _ in range(3):
-            self.words[every, self.used] = self.low >> _32
+        for _ in range(2):
+            self.words[every, self.used] = self.low >> _31
             self.used += 1
-            self.low = (self.low & _LOW) << _16
+            self.low = (self.low & _LOW) << _32
         while True:
-            rows, columns = np.nonzero(self.words > 0xFFFF)
+            rows, columns = np.nonzero(self.words >> _32)
             if not len(rows):
                 break
-            self.words[rows, columns] -= 0x10000
-            self.words[rows, columns - 1] += 1
-        return [self.words[k, :n].astype("<u2").tobytes() for k, n in enumerate(self.used.tolist())]
+            self.words[rows, columns] &= np.uint64(0xFFFFFFFF)
+            self.words[rows, columns - 1] += _1
+        words = self.words.astype("<u4")
+        return [row[:n] for row, n in zip(words, self.used.tolist())]
 
 
 class Decoder:
     """The same ranges, reading words."""
 
-    def __init__(self, payloads: list[bytes]) -> None:
-        longest = max(map(len, payloads)) // 2 + 4
-        self.words = np.zeros((len(payloads), longest), np.uint64)
-        for k, p in enumerate(payloads):
-            self.words[k, :len(p) // 2] = np.frombuffer(p, "<u2")
-        self.range = np.full(len(payloads), _FULL)
-        self.code = (self.words[:, 0] << _32) | (self.words[:, 1] << _16) | self.words[:, 2]
-        self.used = np.full(len(payloads), 3)
+    def __init__(self, lanes: list[np.ndarray]) -> None:
+        words = np.zeros((len(lanes), max(map(len, lanes)) + 2), np.uint64)
+        for k, found in enumerate(lanes):
+            words[k, :len(found)] = found
+        # The range is a bit shorter than two words: each word is read with the last bit before it.
+        self.words = words >> _1
+        self.words[:, 1:] |= (words[:, :-1] & _1) << _31
+        self.range = np.full(len(lanes), _FULL)
+        self.code = (words[:, 0] << _31) | (words[:, 1] >> _1)
+        self.used = np.full(len(lanes), 2)
 
     def room(self, words: int) -> None:
         """Damaged input may ask for more words than there are; those read as zero."""
         if int(self.used.max()) + words >= self.words.shape[1]:
-            self.words = np.pad(self.words, ((0, 0), (0, 4 * words)))
-
-    def bit(self, at, chance: np.ndarray, _: None) -> np.ndarray:
-        code, wide = self.code[at], self.range[at]
-        bound = (wide >> np.uint64(12)) * chance
-        told = code < bound
-        self._take(at, np.where(told, code, code - bound), np.where(told, bound, wide - bound))
-        return told
-
-    def symbol(self, at, ends: np.ndarray, _: None) -> np.ndarray:
-        code, whole = self.code[at], ends[:, 15].astype(np.uint64)
-        unit = self.range[at] // whole
-        place = np.minimum(code // unit, whole - np.uint64(1)).astype(np.uint16)
-        # How many ends are not above the place: sixteen flags in two words, added by a product.
-        flags = (ends <= place[:, None]).view(np.uint64)
-        told = ((flags[:, 0] + flags[:, 1]) * _ONES >> np.uint64(56)).astype(np.int64)
-        first, high = bounds_of(ends, told)
-        self._take(at, code - unit * first, unit * (high - first))
-        return told
-
-    def _take(self, at, code: np.ndarray, wide: np.ndarray) -> None:
-        short = wide < _SHORT
-        lanes = np.flatnonzero(short) if isinstance(at, slice) else at[short]
-        code[short] = (code[short] << _16) | self.words[lanes, self.used[lanes]]
-        self.used[lanes] += 1
-        self.code[at] = code
-        self.range[at] = np.where(short, wide << _16, wide)
+            self.words = np.pad(self.words, ((0, 0), (0, 512 + words)))
+
+    def place(self, n: int) -> np.ndarray:
+        """Where in 2**30 each of the first ``n`` codes lies."""
+        self.unit = self.range[:n] >> _30
+        return np.minimum((self.code[:n] // self.unit).view(np.int64), _WHOLE - 1)
+
+    def part(self, n: int, first: np.ndarray, share: np.ndarray) -> None:
+        code, wide = self.code[:n], self.unit * share.view(np.uint64)
+        code -= self.unit * first.view(np.uint64)
+        lanes = np.flatnonzero(wide < _SHORT)
+        if len(lanes):
+            used = self.used[lanes]
+            code[lanes] = (code[lanes] << _32) | self.words[lanes, used]
+            self.used[lanes] = used + 1
+            wide[lanes] <<= _32
+        self.range[:n] = wide
 
 
 class Model:
-    """What the blocks have learned so far; ``step`` codes one id of the first ``n`` blocks."""
+    """What the lanes have learned so far: ``ask`` says what is expected of the next id of the first ``n``
+    lanes, ``learn`` takes what it was."""
 
     def __init__(self, lanes: int) -> None:
-        self.base = [np.arange(lanes) * s for s in _SLOTS]
-        self.guess = [np.zeros(lanes * s, np.uint16) for s in _SLOTS]
-        self.trust = [np.zeros(lanes * s, np.uint8) for s in _SLOTS]
-        self.lane = np.arange(lanes)
+        lane = np.arange(lanes)
+        self.base = [lane * s for s in _SLOTS]
+        #: Guess and, in the last three bits, trust.
+        self.table = [np.zeros(lanes * s, np.int32) for s in _SLOTS]
+        self.by = lane * 8, lane * 16, lane * 8
         self.two = np.full(lanes * 8, 1 << 14, np.int32)
         self.one = np.full(lanes * 16, 1 << 14, np.int32)
         self.alone = np.full(lanes * 8, 1 << 14, np.int32)
         self.weights = np.full((2, lanes), 1 << 15, np.int64)
-        # Running sums of sixteen counts, four in a word.
-        self.ends = [np.tile(_EVEN, (lanes * r, 1)) for r in _ROWS]
-        self.before = np.zeros((2, lanes), np.int64)
-
-    def step(self, coder, n: int, told: np.ndarray | None) -> np.ndarray:
-        every, lane = slice(0, n), self.lane[:n]
-        last, earlier = self.before[0, :n], self.before[1, :n]
-        at1 = self.base[0][:n] + ((last * 40_503 >> 3) & (_SLOTS[0] - 1))
-        at2 = self.base[1][:n] + (((last * 40_503) ^ (earlier * 60_493) >> 2) & (_SLOTS[1] - 1))
-        guess1, guess2 = self.guess[0][at1].astype(np.int64), self.guess[1][at2].astype(np.int64)
-        trust1, trust2 = self.trust[0][at1], self.trust[1][at2]
+        self.last, self.earlier = np.zeros((2, lanes), np.int64)
+
+    def ask(self, n: int) -> None:
+        mixed = self.last[:n] * 40_503
+        self.at1 = ((mixed >> 3) & (_SLOTS[0] - 1)) + self.base[0][:n]
+        self.at2 = (((mixed ^ (self.earlier[:n] * 60_493)) >> 2) & (_SLOTS[1] - 1)) + self.base[1][:n]
+        self.entry1, self.entry2 = self.table[0].take(self.at1, mode="clip"), self.table[1].take(self.at2, mode="clip")
+        self.guess1, self.guess2 = self.entry1 >> 3, self.entry2 >> 3
+        self.trust1, self.trust2 = self.entry1 & 7, self.entry2 & 7
+        self.same = self.guess1 == self.guess2
         # Order 2, mixed with what order 1 says of the same id.
-        same = guess1 == guess2
-        by2 = lane * 8 + trust2
-        by1 = lane * 16 + trust1 + 8 * same
-        hint2, hint1 = _STRETCH[self.two[by2] >> 4], _STRETCH[self.one[by1] >> 4]
-        mixed = (self.weights[0, :n] * hint2 + self.weights[1, :n] * hint1) >> 16
-        chance = _SQUASH[np.clip(mixed, -2048, 2047) + 2048]
-        right2 = coder.bit(every, chance.astype(np.uint64), None if told is None else told == guess2)
-        wrong = (right2.astype(np.int64) << 12) - chance
-        self.weights[0, :n] += (hint2 * wrong) >> 10
-        self.weights[1, :n] += (hint1 * wrong) >> 10
-        goal = right2.astype(np.int32) * 65_535
-        self.two[by2] += (goal - self.two[by2]) >> 5
-        self.one[by1] += (goal - self.one[by1]) >> 5
-        found = guess2.copy()
+        self.by2 = self.by[0][:n] + self.trust2
+        self.by1 = self.by[1][:n] + (self.trust1 + (self.same.view(np.int8) << 3))
+        self.count2, self.count1 = self.two.take(self.by2, mode="clip"), self.one.take(self.by1, mode="clip")
+        self.hint2, self.hint1 = _STRETCH.take(self.count2 >> 4, mode="clip"), _STRETCH.take(self.count1 >> 4, mode="clip")
+        mixed = (self.weights[0, :n] * self.hint2 + self.weights[1, :n] * self.hint1) >> 16
+        self.chance2 = _SQUASH.take(mixed + 2048, mode="clip")
         # Order 1, where it says something else.
-        rest = np.flatnonzero(~right2)
-        ask = rest[~same[rest]]
-        if len(ask):
-            by = ask * 8 + trust1[ask]
-            chance = np.clip(self.alone[by] >> 4, 1, 4095)
-            right1 = coder.bit(ask, chance.astype(np.uint64),
-                               None if told is None else told[ask] == guess1[ask])
-            self.alone[by] += (right1.astype(np.int32) * 65_535 - self.alone[by]) >> 5
-            found[ask] = guess1[ask]
-            missed = np.zeros(n, bool)
-            missed[rest] = True
-            missed[ask[right1]] = False
-            rest = np.flatnonzero(missed)
-        if len(rest):
-            found[rest] = self._alone(coder, rest, None if told is None else told[rest])
-        self._learn(self.guess[0], self.trust[0], at1, guess1, trust1, found)
-        self._learn(self.guess[1], self.trust[1], at2, guess2, trust2, found)
-        self.before[1, :n] = last
-        self.before[0, :n] = found
-        return found
-
-    def _alone(self, coder, rest: np.ndarray, told: np.ndarray | None) -> np.ndarray:
-        """Order 0: four bits at a time, under those before."""
-        done = np.zeros(len(rest), np.int64)
-        for k, rows in enumerate(_ROWS):
-            row = rest * rows + done
-            packed = self.ends[k].take(row, axis=0)
-            bits = coder.symbol(rest, packed.view(np.uint16),
-                                None if told is None else (told >> (12 - 4 * k)) & 15)
-            self.ends[k][row] = packed + _MORE[bits]
-            done = done << 4 | bits
-        return done
+        self.by_alone = self.by[2][:n] + self.trust1
+        self.count_alone = self.alone.take(self.by_alone, mode="clip")
+        self.chance1 = (self.count_alone >> 4) * ~self.same
+
+    def learn(self, n: int, found: np.ndarray, right2: np.ndarray, right1: np.ndarray) -> None:
+        """``right1`` tells whether the guess of order 1 was right, asked for or not."""
+        goal = right2.view(np.int8) * np.int32(65_535)
+        wrong = (right2.view(np.int8).astype(np.int32) << 12) - self.chance2
+        weights = self.weights[:, :n]
+        weights[0] += (self.hint2 * wrong) >> 10
+        weights[1] += (self.hint1 * wrong) >> 10
+        self.two[self.by2] = self.count2 + ((goal - self.count2) >> 5)
+        self.one[self.by1] = self.count1 + ((goal - self.count1) >> 5)
+        goal = right1.view(np.int8) * np.int32(_ALWAYS - _NEVER) + np.int32(_NEVER)
+        asked = ~(right2 | self.same)
+        self.alone[self.by_alone] = self.count_alone + ((goal - self.count_alone) >> 5) * asked
+        fresh = (found << 3) + 1
+        self.table[0][self.at1] = self._entry(self.entry1, self.trust1, right1, fresh)
+        self.table[1][self.at2] = self._entry(self.entry2, self.trust2, right2, fresh)
+        self.earlier, self.last = self.last, found.astype(np.int64)
 
     @staticmethod
-    def _learn(guess, trust, at, guessed, trusted, found) -> None:
-        right = guessed == found
-        fresh = ~right & (trusted == 0)
-        guess[at[fresh]] = found[fresh]
-        trust[at] = np.where(right, np.minimum(trusted + 1, 7), np.where(fresh, 1, trusted >> 1))
+    def _entry(entry: np.ndarray, trust: np.ndarray, right: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+        case = trust + (right.view(np.int8) << 3)
+        return np.where(case == 0, fresh, entry + _TRUST.take(case, mode="clip"))
+
+
+#: What a wrong guess (first half; it is replaced where the trust is 0) and a right one add to the trust.
+_TRUST = np.array([(t >> 1) - t for t in range(8)] + [1] * 7 + [0], np.int32)
+
+
+def _lanes(sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all lanes, the longest first: the block, the lane's place in it, and the number of its ids."""
+    counts = np.array([-(-n // LANE_IDS) for n in sizes])
+    block = np.repeat(np.arange(len(sizes)), counts)
+    place = np.arange(len(block)) - np.repeat(np.cumsum(counts) - counts, counts)
+    size = np.minimum(np.array(sizes)[block] - place * LANE_IDS, LANE_IDS)
+    order = np.argsort(-size, kind="stable")
+    return block[order], place[order], size[order]
+
+
+def _active(size: np.ndarray) -> list[int]:
+    """How many lanes have an id at each step."""
+    return np.searchsorted(-size, -np.arange(int(size[0])), "left").tolist()
+
+
+def _packed(ids: np.ndarray, counts: np.ndarray) -> bytes:
+    """The order-0 counts of a block: steps between its ids and the counts, byte by byte."""
+    steps = np.diff(ids.astype(np.int64), prepend=0).astype("<u2").view(np.uint8).reshape(-1, 2)
+    numbers = counts.astype("<u2").view(np.uint8).reshape(-1, 2)
+    return zlib.compress(np.hstack([steps, numbers]).T.tobytes(), 6)
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T)
+    both = planes.view("<u2").astype(np.int64)
+    return np.cumsum(both[:, 0]), both[:, 1]
+
+
+def _escape(chance2: np.ndarray, chance1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of 2**30, the shares of the guesses of order 2 and order 1."""
+    share2 = chance2.astype(np.int64) << 18
+    return share2, ((_WHOLE - share2) >> 12) * chance1
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """Payloads of blocks of at most BLOCK_IDS ids below 2**16."""
+    """Payloads of blocks of one to BLOCK_IDS ids below 2**16."""
     if not blocks:
         return []
-    order = sorted(range(len(blocks)), key=lambda k: -len(blocks[k]))
-    sizes = np.array([len(blocks[k]) for k in order])
-    ids = np.zeros((max(1, int(sizes[0])), len(blocks)), np.uint16)
-    for lane, k in enumerate(order):
-        ids[:sizes[lane], lane] = blocks[k]
-    coder, model = Encoder(len(blocks)), Model(len(blocks))
-    for t in range(int(sizes[0])):
-        if t % 64 == 0:
-            coder.room(64 * 6)
-        n = int(np.searchsorted(-sizes, -t, "left"))
-        model.step(coder, n, ids[t, :n].astype(np.int64))
-    payloads = coder.finish()
-    found: list[bytes] = [b""] * len(blocks)
-    for lane, k in enumerate(order):
-        found[k] = payloads[lane]
-    return found
+    block, place, size = _lanes([len(b) for b in blocks])
+    steps, lanes = int(size[0]), len(size)
+    ids = np.zeros((steps, lanes), np.uint16)
+    for k, (b, p, n) in enumerate(zip(block.tolist(), place.tolist(), size.tolist())):
+        ids[:n, k] = blocks[b][p * LANE_IDS:p * LANE_IDS + n]
+    # What the model expects, and which guesses are right: 2 or 3 for that of order 2, 1 for that of order 1.
+    chances = np.zeros((2, steps, lanes), np.uint16)
+    kind = np.full((steps, lanes), 2, np.uint8)
+    model = Model(lanes)
+    active = _active(size)
+    for t, n in enumerate(active):
+        model.ask(n)
+        told = ids[t, :n].astype(np.int32)
+        right2, right1 = told == model.guess2, told == model.guess1
+        chances[0, t, :n], chances[1, t, :n] = model.chance2, model.chance1
+        kind[t, :n] = right2.view(np.uint8) << 1 | right1.view(np.uint8)
+        model.learn(n, told, right2, right1)
+    # Order 0: the other ids of each block are counted; of each id, the counts before it and its own.
+    ids, other = np.ascontiguousarray(ids.T), np.ascontiguousarray(kind.T == 0)
+    place_of, table = np.zeros(ids.shape, np.uint32), np.zeros(1 << 16, np.uint32)
+    headers, totals = [], np.ones(len(blocks), np.int64)
+    by_block = np.argsort(block, kind="stable")
+    for b, mine in enumerate(np.split(by_block, np.searchsorted(block[by_block], np.arange(1, len(blocks))))):
+        here = ids[mine]
+        # Sixteen-bit numbers are sorted by their digits.
+        told = np.sort(here[other[mine]], kind="stable")
+        begins = np.flatnonzero(np.diff(told.astype(np.int32), prepend=-1))
+        counts = np.diff(begins, append=len(told))
+        headers.append(_packed(told[begins], counts))
+        table[told[begins]] = begins << 15 | counts
+        place_of[mine] = table[here]
+        totals[b] = max(1, len(told))
+    place_of, total = np.ascontiguousarray(place_of.T), totals[block]
+
+    coder = Encoder(lanes)
+    for low in range(0, steps, 64):
+        coder.room(64)
+        high = min(steps, low + 64)
+        share2, share1 = _escape(chances[0, low:high], chances[1, low:high])
+        which = kind[low:high]
+        begin = share2 + share1
+        unit = (_WHOLE - begin) // total
+        before, own = place_of[low:high] >> 15, place_of[low:high] & 0x7FFF
+        first = np.where(which == 0, begin + unit * before, np.where(which >= 2, 0, share2)).view(np.uint64)
+        share = np.where(which == 0, unit * own, np.where(which >= 2, share2, share1)).view(np.uint64)
+        for t in range(low, high):
+            n = active[t]
+            coder.part(n, first[t - low, :n], share[t - low, :n])
+
+    parts: list[list[np.ndarray]] = [[np.zeros(0, "<u4")] * -(-len(b) // LANE_IDS) for b in blocks]
+    for b, p, words in zip(block.tolist(), place.tolist(), coder.finish()):
+        parts[b][p] = words
+    return [struct.pack("<H", len(h)) + h + np.array([len(w) for w in mine], "<u2").tobytes()
+            + b"".join(w.tobytes() for w in mine) for h, mine in zip(headers, parts)]
 
 
 def decode_blocks(payloads: list[bytes], sizes: list[int]) -> list[np.ndarray]:
     """The ids of blocks with these payloads and numbers of ids."""
     if not payloads:
         return []
-    order = sorted(range(len(sizes)), key=lambda k: -sizes[k])
-    count = np.array([sizes[k] for k in order])
-    coder, model = Decoder([payloads[k] for k in order]), Model(len(order))
-    ids = np.zeros((int(count[0]), len(order)), np.uint16)
-    for t in range(int(count[0])):
+    block, place, size = _lanes(sizes)
+    tables, streams = [], []
+    for payload, n in zip(payloads, sizes):
+        head = 2 + struct.unpack_from("<H", payload)[0]
+        tables.append(_unpacked(payload[2:head]))
+        many = -(-n // LANE_IDS)
+        ends = np.cumsum(np.frombuffer(payload, "<u2", many, head))
+        words = np.frombuffer(payload[head + 2 * many:], "<u4")
+        streams.append(np.split(words, ends[:-1]))
+    # Order 0: for each share of a block the number of its id, for each number id, share and count.
+    names = np.concatenate([i for i, _ in tables] + [[0]])
+    counts = np.concatenate([c for _, c in tables] + [[1]])
+    befores = np.concatenate([np.cumsum(c) - c for _, c in tables] + [[0]])
+    slots = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+    totals = np.array([c.sum() for _, c in tables])
+    base = (np.cumsum(totals) - totals)[block]
+    total = np.maximum(totals, 1)[block]
+
+    coder = Decoder([streams[b][p] for b, p in zip(block.tolist(), place.tolist())])
+    model = Model(len(size))
+    ids = np.zeros((int(size[0]), len(size)), np.uint16)
+    for t, n in enumerate(_active(size)):
         if t % 64 == 0:
-            coder.room(64 * 6)
-        n = int(np.searchsorted(-count, -t, "left"))
-        ids[t, :n] = model.step(coder, n, None)
+            coder.room(64)
+        model.ask(n)
+        share2, share1 = _escape(model.chance2, model.chance1)
+        at = coder.place(n)
+        guessed = share2 + share1
+        right2, other = at < share2, np.flatnonzero(at >= guessed)
+        found = np.where(right2, model.guess2, model.guess1)
+        first, share = np.where(right2, 0, share2), np.where(right2, share2, share1)
+        if len(other):
+            begin = guessed[other]
+            whole = total[other]
+            unit = (_WHOLE - begin) // whole
+            symbol = slots.take(np.minimum((at[other] - begin) // unit, whole - 1) + base[other])
+            found[other] = names.take(symbol)
+            first[other] = begin + unit * befores.take(symbol)
+            share[other] = unit * counts.take(symbol)
+        coder.part(n, first, share)
+        model.learn(n, found, right2, found == model.guess1)
+        ids[t, :n] = found
     ids = np.ascontiguousarray(ids.T)
-    found: list[np.ndarray] = [ids[0]] * len(order)
-    for lane, k in enumerate(order):
-        found[k] = ids[lane, :sizes[k]]
+    found = [np.zeros(n, np.uint16) for n in sizes]
+    for k, (b, p, n) in enumerate(zip(block.tolist(), place.tolist(), size.tolist())):
+        found[b][p * LANE_IDS:p * LANE_IDS + n] = ids[k, :n]
     return found
 
 

@@ -14,16 +14,19 @@ with rows; ids must be below 65,536, else writing stops.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from shelfspark.llm.bpe import Vocabulary
+from shelfspark.llm.bpe import WordIds, byte_characters, special_strings
 from shelfspark.llm.encode import ids_of_pieces
 from shelfspark.llm.frames import written
 from shelfspark.llm.id_coder import BLOCK_IDS, LANES, checksum, decode_blocks, encode_blocks
@@ -32,6 +35,19 @@ from shelfspark.session import scratch_path
 END_ID = 1
 
 
+@lru_cache(2)
+def library_words(told: str) -> WordIds:
+    """Ids as the tokenizers library gives them to single words, for a tokenizer file of this content.
+    Kept by the worker, so that a word is encoded once for all its tasks."""
+    model = Tokenizer.from_str(told).model
+    characters = str.maketrans(dict(enumerate(byte_characters())))
+
+    def encode(words: list[bytes]) -> list[list[int]]:
+        return [[t.id for t in model.tokenize(w.decode("latin-1").translate(characters))] for w in words]
+
+    return WordIds(special_strings(json.loads(told)), encode)
+
+
 def _blocks(documents: Iterator[tuple[object, np.ndarray]]) -> Iterator[dict]:
     """Documents (id, ids) packed into blocks without payload."""
     held: list[tuple[object, np.ndarray]] = []
@@ -63,10 +79,12 @@ def _blocks(documents: Iterator[tuple[object, np.ndarray]]) -> Iterator[dict]:
 def write_ids(docs: DataFrame, tokenizer: str, path: str, doc: str = "doc_id", text: str = "text",
               end_id: int = END_ID) -> None:
     """Encode all texts, append ``end_id`` to each, and write the files to a shared path."""
-    vocabulary = Vocabulary(tokenizer)
-    if vocabulary.size > 1 << 16:
+    with open(tokenizer, encoding="utf-8") as file:
+        told = file.read()
+    content = json.loads(told)
+    if max(*content["model"]["vocab"].values(), *special_strings(content).values()) >= 1 << 16:
         raise ValueError("the coder takes ids below 65,536")
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = docs.sparkSession.sparkContext.broadcast(told)
     rows = docs.select(F.col(doc).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     # The text's hash splits an id that very many rows have.
     ordered = (rows.withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie")
@@ -76,7 +94,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, doc: str = "doc_id", t
               f"docs array<struct<doc_id: {kind}, n_ids: int>>, payload binary")
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, np.ndarray]]:
-        for part, ids, bounds in ids_of_pieces(batches, 1, shared.value):
+        for part, ids, bounds in ids_of_pieces(batches, 1, words=library_words(shared.value)):
             for k, name in enumerate(part.column(0).to_pylist()):
                 yield name, np.append(ids[bounds[k]:bounds[k + 1]], end_id).astype(np.uint16)
 

@@ -163,6 +163,66 @@ def test_coder_round_trip(size):
     assert id_coder.encode_blocks(blocks[3:4]) == payloads[3:4]
 
 
+@pytest.mark.parametrize("size", [1023, 1024, 1025, 5000, id_coder.BLOCK_IDS])
+def test_coder_round_trip_of_several_lanes(size):
+    draw = np.random.default_rng(size)
+    blocks = [np.zeros(size, np.uint16), np.full(size, 65_535, np.uint16),
+              draw.permutation(65_536)[:size].astype(np.uint16),
+              (draw.zipf(1.3, size) % 65_536).astype(np.uint16), np.array([3], np.uint16)]
+    payloads = id_coder.encode_blocks(blocks)
+    back = id_coder.decode_blocks(payloads, [len(b) for b in blocks])
+    assert all((a == b).all() for a, b in zip(blocks, back))
+    assert [id_coder.encode_blocks([b])[0] for b in blocks] == payloads
+
+
+def test_lanes_of_a_block_advance_together(monkeypatch):
+    """A full block took a step for each of its ids before."""
+    widths = []
+    ask = id_coder.Model.ask
+    monkeypatch.setattr(id_coder.Model, "ask", lambda self, n: (widths.append(n), ask(self, n))[1])
+    block = (np.random.default_rng(5).zipf(1.3, id_coder.BLOCK_IDS) % 65_536).astype(np.uint16)
+    payloads = id_coder.encode_blocks([block])
+    assert len(widths) == id_coder.LANE_IDS <= len(block) // 16 and sum(widths) == len(block)
+    assert (id_coder.decode_blocks(payloads, [len(block)])[0] == block).all()
+
+
+def test_words_are_encoded_once_for_all_pieces(tokenizer, library, monkeypatch):
+    with open(tokenizer, encoding="utf-8") as file:
+        words = token_files.library_words(file.read())
+    with open(tokenizer, encoding="utf-8") as file:
+        assert token_files.library_words(file.read()) is words
+    asked = []
+    encode_words = words.encode
+    monkeypatch.setattr(words, "encode", lambda new: (asked.extend(new), encode_words(new))[1])
+    texts = ["once told wordstold", "told again, \U0001f600\U00010400x once <|endoftext|> don't ''s", "told once"]
+    for _ in range(2):
+        for text in texts:
+            batch = pa.RecordBatch.from_arrays([pa.array([text])], ["t"])
+            (_, ids, _), = ids_of_pieces(iter([batch]), 0, words=words)
+            assert ids.tolist() == wanted(library, [text])[0]
+    assert len(asked) == len(set(asked))
+
+
+def test_words_are_forgotten_when_there_are_too_many(tokenizer, library, vocabulary, monkeypatch):
+    from shelfspark.llm import bpe
+
+    monkeypatch.setattr(bpe, "WORD_IDS", 3)
+    words = bpe.WordIds(vocabulary.special, vocabulary.encode_words)
+    texts = ["one two three four", "two five", "one five six", ""]
+    batches = [pa.RecordBatch.from_arrays([pa.array([t])], ["t"]) for t in texts]
+    found = [ids.tolist() for _, ids, _ in ids_of_pieces(iter(batches), 0, words=words)]
+    assert found == wanted(library, texts)
+
+
+@pytest.mark.parametrize("odd", [*ODD_TEXTS, "\U00010400\U00010401 ab\U0001d7d81", "é\U0001f468\u200d\U0001f469x"])
+def test_library_words_give_the_ids_of_whole_texts(tokenizer, library, odd):
+    with open(tokenizer, encoding="utf-8") as file:
+        words = token_files.library_words(file.read())
+    batch = pa.RecordBatch.from_arrays([pa.array([odd], pa.string())], ["t"])
+    (_, ids, _), = ids_of_pieces(iter([batch]), 0, words=words)
+    assert ids.tolist() == wanted(library, [odd])[0]
+
+
 def test_predictable_ids_take_little_room():
     block = np.tile(np.arange(50, dtype=np.uint16) * 900, 40)
     assert len(id_coder.encode_blocks([block])[0]) < len(block) // 4
