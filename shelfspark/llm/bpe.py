@@ -15,7 +15,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Callable
-from itertools import chain, islice
+from itertools import islice
 
 import numpy as np
 
@@ -302,9 +302,13 @@ class WordIds:
         special = self.splitter.special
         fresh = list(islice(self.numbers, done, None))
         plain = iter(self.encode([w.encode() for w in fresh if w not in special]))
-        found = [[special[w]] if w in special else next(plain) for w in fresh]
-        self.sizes = np.concatenate((self.sizes, np.fromiter(map(len, found), np.int64, len(found))))
-        self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(found), np.int32)))
+        flat, sizes = [], []
+        for w in fresh:
+            ids = [special[w]] if w in special else next(plain)
+            flat += ids
+            sizes.append(len(ids))
+        self.sizes = np.concatenate((self.sizes, np.array(sizes, np.int64)))
+        self.flat = np.concatenate((self.flat, np.array(flat, np.int32)))
         counts = self.sizes[codes]
         total = np.concatenate(([0], np.cumsum(counts)))
         # Position of each id in `flat`: its word's begin plus its place in the word.

@@ -42,8 +42,13 @@ def library_words(told: str) -> WordIds:
     model = Tokenizer.from_str(told).model
     characters = str.maketrans(dict(enumerate(byte_characters())))
 
-    def encode(words: list[bytes]) -> list[list[int]]:
-        return [[t.id for t in model.tokenize(w.decode("latin-1").translate(characters))] for w in words]
+    def encode(words: list[bytes]) -> Iterator[list[int]]:
+        for word in words:
+            letters = word.decode("latin-1")
+            # Visible ASCII characters stand for themselves.
+            if not (letters.isascii() and letters.isprintable()):
+                letters = letters.translate(characters)
+            yield [t.id for t in model.tokenize(letters)]
 
     return WordIds(special_strings(json.loads(told)), encode)
 
@@ -95,8 +100,10 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, doc: str = "doc_id", t
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, np.ndarray]]:
         for part, ids, bounds in ids_of_pieces(batches, 1, words=library_words(shared.value)):
-            for k, name in enumerate(part.column(0).to_pylist()):
-                yield name, np.append(ids[bounds[k]:bounds[k + 1]], end_id).astype(np.uint16)
+            ended = np.insert(ids.astype(np.uint16), bounds[1:], end_id)
+            edges = (bounds + np.arange(len(bounds))).tolist()
+            for name, a, b in zip(part.column(0).to_pylist(), edges, edges[1:]):
+                yield name, ended[a:b]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, done = TaskContext.get().partitionId(), 0
