@@ -67,3 +67,49 @@ def test_judgments_in_several_passes(spark, tmp_path, monkeypatch):
     assert {(r.qid, r.sku) for r in found.collect()} == want and len(want) >= 5
     assert found.count() == len(want)
 
+
+
+def answer(spark, folder, name):
+    """Rows of a query by class, once they are those of its SQL."""
+    frame = all_queries()[name](spark, str(folder))
+    con = duckdb.connect()
+    for path in Path(folder).glob("*.parquet"):
+        con.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}{'/*.parquet' if path.is_dir() else ''}'")
+    cursor, got = con.execute(all_oracles()[name]), frame.collect()
+    columns = [d[0] for d in cursor.description]
+    assert sorted(columns) == sorted(frame.columns)
+    assert canonical([tuple(r) for r in got], frame.columns) == canonical(cursor.fetchall(), columns)
+    return {r.query_class: r for r in got}
+
+
+def test_best_alphas_by_label(spark, tmp_path):
+    """Queries count for the class they were made for, a class without any scores 0, and the best single
+    weight stands beside the classes' own."""
+    passages = [(0, "plain words of a passage that is long and bare of cues"), (3, "red cotton for small hands"),
+                (1, "a walk along the river in spring"), (4, "lamp oil and lamp glass")]
+    texts = ["here " + p + " there" for _, p in passages] + [
+        "lamp lamp lamp lamp", "red red red red hands", "river river spring", "bare bare passage", "red cotton for small"]
+    spark.createDataFrame(passages, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, "en", t) for i, t in enumerate(texts)], "doc_id long, lang string, text string"
+                          ).write.parquet(f"{tmp_path}/documents.parquet")
+    got = answer(spark, tmp_path, "argmax_alpha")
+    assert set(got) == {"exploratory", "attribute", "identifier"}
+    assert got["attribute"].ndcg > 0 and got["exploratory"].ndcg > 0
+    assert (got["identifier"].alpha, got["identifier"].ndcg) == (0.0, 0.0)
+    beside = {tuple(r)[3:] for r in got.values()}
+    assert len(beside) == 1
+    _, fixed, dynamic, advantage = beside.pop()
+    assert dynamic == pytest.approx(sum(r.ndcg for r in got.values()) / 3, abs=2e-6)
+    assert advantage == pytest.approx(dynamic - fixed, abs=2e-6)
+
+
+def test_tuned_alphas(spark):
+    """By hand: the lowest weight wins a tie, of a class and of all classes together."""
+    from shelfspark.operators import evaluation as ev
+
+    scores = {"a": {.1: .5, .2: .9, .3: .9}, "b": {.1: .7, .2: .3, .3: .1}, "c": {.1: .0, .2: .0, .3: .0}}
+    sweep = spark.createDataFrame([(c, w, s) for c, row in scores.items() for w, s in row.items()],
+                                  "query_class string, alpha double, ndcg double")
+    got = {r.query_class: tuple(r)[1:] for r in ev.tuned_alphas(sweep).collect()}
+    shared = (.1, pytest.approx(.4), pytest.approx(1.6 / 3), pytest.approx(.4 / 3))
+    assert got == {"a": (.2, .9, *shared), "b": (.1, .7, *shared), "c": (.1, .0, *shared)}
